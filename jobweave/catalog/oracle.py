@@ -261,7 +261,10 @@ chart_sal AS (SELECT * FROM chart_sal0 WHERE salary_midpoint_usd <= (SELECT quan
 
 
 def over(ctes: str, select: str) -> str:
-    return f"WITH {ctes}\n{select.strip()}"
+    select = select.strip()
+    if select.startswith("WITH "):
+        return f"WITH {ctes},\n{select[5:]}"
+    return f"WITH {ctes}\n{select}"
 
 
 def raw(select: str) -> str:
