@@ -49,6 +49,43 @@ def alternation(words: Sequence[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A Column reused in Python is an expression repeated in the plan; binding it
+    as a lambda variable keeps costly text steps from running once per use.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def run_lengths(arr: Column) -> Column:
+    """(term, tf) for the distinct items of an array, by sorting inside the row."""
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)),
+                          lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return let(starts, lambda st: F.transform(st, lambda i, p: F.struct(
+            F.get(s, i - 1).alias("term"),
+            (F.coalesce(F.get(st, p + 1), F.size(s) + 1) - i).alias("tf"))))
+
+    empty = F.array().cast("array<struct<term:string,tf:int>>")
+    return F.when(F.size(arr) == 0, empty).otherwise(let(F.sort_array(arr), counted))
+
+
+def explode_each(df, arr, name: str, keep=()):
+    """One row per array item.
+
+    The outer form plus a filter on the result: the plain form makes the
+    optimizer add a size test that repeats the whole array expression.
+    """
+    out = df.select(*keep, F.explode_outer(arr).alias(name))
+    return out.where(F.col(name).isNotNull())
+
+
+def inline_each(df, arr, first: str, keep=()):
+    """One row per struct of an array; ``first`` is a field that is never NULL."""
+    return df.select(*keep, F.inline_outer(arr)).where(F.col(first).isNotNull())
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 

@@ -6,20 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobweave import rules
-from jobweave.functions.common import as_col, contains_any, first_rule, half_even, text
+from jobweave.functions.common import as_col, contains_any, first_rule, half_even, let, text
 
 
 def parse_experience_years(c: str | Column) -> Column:
     """Lowest stated years in a text; NULL when nothing usable is stated."""
-    low = F.lower(text(c))
-    candidates = []
-    for pattern, divisor in rules.EXPERIENCE_PATTERNS:
-        value = F.regexp_extract(low, pattern, 1).try_cast("double")
-        if divisor != 1:
-            value = half_even(value / divisor, 1)
-        candidates.append(F.when(value.between(0, rules.EXPERIENCE_MAX_YEARS), value))
-    return (F.when(contains_any(low, rules.NO_EXPERIENCE_WORDS), F.lit(0.0))
-             .when(low.rlike(r"\d"), F.coalesce(*candidates)))
+    def years(low: Column) -> Column:
+        candidates = []
+        for pattern, divisor in rules.EXPERIENCE_PATTERNS:
+            value = F.regexp_extract(low, pattern, 1).try_cast("double")
+            if divisor != 1:
+                value = half_even(value / divisor, 1)
+            candidates.append(let(value, lambda v: F.when(v.between(0, rules.EXPERIENCE_MAX_YEARS), v)))
+        return (F.when(contains_any(low, rules.NO_EXPERIENCE_WORDS), F.lit(0.0))
+                 .when(low.rlike(r"\d"), F.coalesce(*candidates)))
+
+    return let(F.lower(text(c)), years)
 
 
 def experience_years(number="experience_years",

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobweave import rules
-from jobweave.functions.common import (as_col, lookup, ordered_distinct_ci, sort_ci, text)
+from jobweave.functions.common import as_col, let, lookup, ordered_distinct_ci, sort_ci, text
 from jobweave.functions.text import comma_list
 
 
@@ -115,20 +115,25 @@ def extract_skills(c: str | Column, table: Mapping[str, str] | None = None) -> C
 
     A skill counts when it stands between characters outside ``[a-z0-9+#/]``.
     Instead of one regular expression per alias the text is cut into tokens of
-    exactly those characters; 1..n-token phrases are intersected with the alias
-    list (a hash intersection inside one projection, no join and no shuffle).
-    Accented letters separate tokens, so they become a token no alias contains.
+    exactly those characters, one space between them.  One-word aliases are a
+    hash intersection with the token list, longer ones a plain substring test:
+    one projection, no join and no shuffle.  Accented letters separate tokens,
+    so they become a token no alias contains.
     """
     table = table or text_alias_table()
+    single = [k for k in table if " " not in k]
+    several = [k for k in table if " " in k]
     marked = F.regexp_replace(normalize_text_col(c), r"[À-ỹ]+", " | ")
-    tokens = F.split(F.trim(F.regexp_replace(marked, r" +", " ")), " ")
-    widest = max(len(k.split(" ")) for k in table)
-    grams = tokens
-    for n in range(2, widest + 1):
-        grams = F.concat(grams, phrases(tokens, n))
-    hits = F.array_intersect(grams, F.array(*[F.lit(k) for k in table]))
+    marked = F.regexp_replace(marked, r" +", " ")
     literal = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return sort_ci(F.array_distinct(F.transform(hits, lambda h: F.element_at(literal, h))))
+
+    def hits(m: Column) -> Column:
+        words = F.array_intersect(F.split(m, " "), F.array(*[F.lit(k) for k in single]))
+        runs = [F.when(m.contains(f" {k} "), F.lit(k)) for k in several]
+        return F.concat(words, F.array_compact(F.array(*runs))) if runs else words
+
+    names = F.transform(let(marked, hits), lambda h: F.element_at(literal, h))
+    return let(F.array_distinct(names), sort_ci)
 
 
 def phrases(tokens: Column, n: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.functions.common import explode_each
 from jobweave.functions.location import workplace
 from jobweave.functions.skills import skill_category, skill_pairs
 from jobweave.operators import counts as K
@@ -92,7 +93,7 @@ def skill_cooccurrence_matrix(df: DataFrame, n: int = 20, skills: str = "skills"
     top = M.skill_counts(df, skills, n)
     keys = K.key_array(top, "skill")
     kept = df.select(F.array_intersect(F.col(skills), keys).alias("kept"))
-    pairs = kept.select(F.explode(skill_pairs("kept")).alias("p"))
+    pairs = explode_each(kept, skill_pairs("kept"), "p")
     counts = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
     both = F.array(F.struct(F.col("a").alias("skill_a"), F.col("b").alias("skill_b"), "n"),
                    F.struct(F.col("b").alias("skill_a"), F.col("a").alias("skill_b"), "n"))

@@ -12,18 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave import rules
-from jobweave.functions.common import text
+from jobweave.functions.common import explode_each, inline_each, run_lengths, text
 from jobweave.functions.skills import extract_skills, phrases, skill_category, skill_pairs
 from jobweave.operators import counts as K
 
-TOKEN = r"(?U)\b[a-zA-ZÀ-ỹ][a-zA-ZÀ-ỹ0-9+#]{1,}\b"
+# A word: starts with a letter, two characters or more, ends before trailing '+' and '#'.
+# Cleaned text holds no other separators, so the look-behind stands for a word boundary.
+TOKEN = r"(?<![a-z0-9À-ỹ])[a-zÀ-ỹ][a-z0-9+#À-ỹ]*[a-z0-9À-ỹ]"
 STOP_WORDS = rules.STOP_WORDS_VI + rules.STOP_WORDS_EN
 
 
 def clean_keyword_text(c: str | Column) -> Column:
-    c = F.regexp_replace(F.lower(text(c)), r"https?://\S+", " ")
-    c = F.regexp_replace(c, r"[^a-z0-9+#À-ỹ ]+", " ")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Lower case, links removed, every run of other characters one space."""
+    low = F.lower(text(c))
+    no_links = F.when(low.contains("http"), F.regexp_replace(low, r"https?://\S+", " ")).otherwise(low)
+    return F.trim(F.regexp_replace(no_links, r"[^a-z0-9+#À-ỹ]+", " "))
 
 
 def tokens(c: str | Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
@@ -32,23 +35,21 @@ def tokens(c: str | Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
 
 
 def with_terms(df: DataFrame, text_col: str, ngrams: int = 2, keep: Sequence[str] = ()) -> DataFrame:
-    """Keep columns and ``terms``: words and word runs of each non-blank text."""
-    df = df.where(F.trim(text(text_col)) != "").select(*keep, tokens(text_col).alias("terms"))
-    runs = [phrases(F.col("terms"), n) for n in range(2, ngrams + 1)]
-    return df.withColumn("terms", F.concat("terms", *runs)) if runs else df
+    """Keep columns and ``terms``: (term, tf) for words and word runs of each non-blank text.
 
+    Occurrences are counted inside the row, so later steps handle a term once
+    per document and need no shuffle by document to count it.
+    """
+    df = df.where(F.trim(text(text_col)) != "").select(*keep, tokens(text_col).alias("_tokens"))
+    runs = [phrases(F.col("_tokens"), n) for n in range(2, ngrams + 1)]
+    df = df.withColumn("_grams", F.concat("_tokens", *runs) if runs else F.col("_tokens"))
+    return df.select(*keep, run_lengths(F.col("_grams")).alias("terms"))
 
-def vocabulary(docs: DataFrame, by: Sequence[str], max_features: int, min_df: int) -> DataFrame:
-    """Most used terms with corpus and document frequency.
 
-    One pass: every occurrence counts for cf, the first of a document also for
-    df.  The partial counts are merged before the shuffle.
-    """
-    each = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
-                    F.transform(F.array_distinct("terms"),
-                                lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))))
-    counts = (docs.select(*by, F.inline(each)).groupBy(*by, "term")
-              .agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).where(F.col("df") >= min_df))
+def vocabulary(docs: DataFrame, by: Sequence[str], max_features: int, min_df: int) -> DataFrame:
+    """Most used terms with corpus and document frequency; counts merge before the shuffle."""
+    counts = (inline_each(docs, "terms", "term", by).groupBy(*by, "term")
+              .agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).where(F.col("df") >= min_df))
     if by:
         return K.top_per_group(counts, by, [F.desc("cf"), F.col("term")], max_features).drop("rank")
     return counts.orderBy(F.desc("cf"), "term").limit(max_features)
@@ -59,24 +60,23 @@ def keyword_weights(df: DataFrame, text_col: str, doc: str, by: Sequence[str] =
     """(by..., doc, term, weight, docs) for the vocabulary terms of each document.
 
     The text is read twice on purpose: first to choose the vocabulary, then to
-    keep only its terms.  The shuffle by document thus carries at most
+    keep only its terms.  The one shuffle by document thus carries at most
     ``max_features`` short rows per document instead of every term.
     """
     by = list(by)
     docs = with_terms(df, text_col, ngrams, [*by, doc])
     vocab = vocabulary(docs, by, max_features, min_df)
     if by:
-        vocab = vocab.join(docs.groupBy(*by).agg(F.count("*").alias("docs")), by)
+        vocab = vocab.join(df.where(F.trim(text(text_col)) != "").groupBy(*by).agg(F.count("*").alias("docs")), by)
     else:
-        vocab = vocab.withColumn("docs", docs.agg(F.count("*")).scalar())
+        vocab = vocab.withColumn("docs", df.where(F.trim(text(text_col)) != "").agg(F.count("*")).scalar())
     idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
     vocab = vocab.select(*by, "term", "docs", idf.alias("idf"))
     small = vocab if by else F.broadcast(vocab)            # without groups: max_features rows
-    hits = docs.select(*by, doc, F.explode("terms").alias("term")).join(small, [*by, "term"])
-    tf = hits.groupBy(*by, doc, "term", "idf", "docs").agg(F.count("*").alias("tf"))
+    hits = inline_each(docs, "terms", "term", [*by, doc]).join(small, [*by, "term"])
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(*by, doc)))
-    return tf.select(*by, doc, "term", (raw / norm).alias("weight"), "docs")
+    return hits.select(*by, doc, "term", (raw / norm).alias("weight"), "docs")
 
 
 def corpus_keywords(df: DataFrame, text_col: str, doc: str, by: Sequence[str] = (), n: int = 30,
@@ -111,7 +111,7 @@ def frequency_keywords(df: DataFrame, text_col: str, n: int | None = None) -> Da
     words = F.filter(F.split(clean_keyword_text(text_col), " "), lambda t: (F.length(t) > 2) & (
         ~t.isin(*STOP_WORDS) | t.isin(*rules.KEEP_WORDS)))
     docs = df.where(F.trim(text(text_col)) != "").select(words.alias("w"))
-    each = docs.select(F.explode(F.concat("w", phrases(F.col("w"), 2))).alias("keyword"))
+    each = explode_each(docs, F.concat("w", phrases(F.col("w"), 2)), "keyword")
     return K.value_counts(each, "keyword", n)
 
 
@@ -131,12 +131,12 @@ def keyword_share(df: DataFrame, text_col: str, patterns: dict[str, str]) -> Dat
 
 
 def extracted_skill_frequency(df: DataFrame, text_col: str, n: int | None = 50, table=None) -> DataFrame:
-    each = df.select(F.explode(extract_skills(text_col, table)).alias("skill"))
+    each = explode_each(df, extract_skills(text_col, table), "skill")
     return K.value_counts(each, "skill", n).withColumn("category", skill_category("skill"))
 
 
 def pair_rankings(df: DataFrame, skills: str, n: int | None = 30) -> DataFrame:
     """Most frequent pairs of distinct skills within a row."""
-    each = df.select(F.explode(skill_pairs(skills)).alias("p"))
+    each = explode_each(df, skill_pairs(skills), "p")
     out = each.groupBy(F.col("p.a").alias("skill_a"), F.col("p.b").alias("skill_b")).agg(F.count("*").alias("n"))
     return out if n is None else out.orderBy(F.desc("n"), "skill_a", "skill_b").limit(n)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobweave import rules
 from jobweave import schema as S
-from jobweave.functions.common import text
+from jobweave.functions.common import explode_each, text
 from jobweave.operators import counts as K
 from jobweave.operators.gold import salary_subset
 from jobweave.operators.quantiles import median, median_by
@@ -140,7 +140,7 @@ def high_paying_skills(paid: DataFrame, skills: str = "dash_skills", min_count:
 
 # -- skills --------------------------------------------------------------------------
 def explode_skills(df: DataFrame, skills: str, keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keep, F.explode(skills).alias("skill"))
+    return explode_each(df, skills, "skill", keep)
 
 
 def skill_counts(df: DataFrame, skills: str = "dash_skills", n: int | None = None,

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from jobweave import rules
 from jobweave.functions import experience, skills
-from jobweave.functions.common import as_col, half_even, lookup, text
+from jobweave.functions.common import as_col, half_even, lookup, run_lengths, text
 from jobweave.operators.counts import top_per_group
-from jobweave.operators.keywords import with_terms
+from jobweave.operators.keywords import tokens, with_terms
 
 FEATURES, JD_TERMS, RESUME_TERMS, ATS_FEATURES = 150, 20, 40, 120
 
@@ -72,19 +72,21 @@ def with_sections(df: DataFrame, text_col: str = "text", sections=None) -> DataF
 
 
 # -- per-document features -----------------------------------------------------------
-def term_maps(df: DataFrame, doc: str, text_col: str, name: str = "term_counts") -> DataFrame:
-    """(doc, map term -> count) over words and word pairs."""
-    each = with_terms(df, text_col, 2, [doc]).select(doc, F.explode("terms").alias("t"))
-    counts = each.groupBy(doc, "t").agg(F.count("*").alias("n"))
-    return counts.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias(name))
+def with_term_map(df: DataFrame, text_col: str, name: str = "term_counts") -> DataFrame:
+    """Add a map term -> count over words and word pairs, counted inside the row."""
+    df = df.withColumn("_tokens", tokens(text_col))
+    df = df.withColumn("_grams", F.concat("_tokens", skills.phrases(F.col("_tokens"), 2)))
+    return df.withColumn(name, F.map_from_entries(run_lengths(F.col("_grams")))).drop("_tokens", "_grams")
 
 
 def document_features(df: DataFrame, doc: str, text_col: str, years: Column | None = None,
                       skills_col: Column | None = None, keywords: bool = True) -> DataFrame:
     """(doc, skills, years, term_counts): what a pair needs to know about a document."""
-    feats = df.select(doc, (skills.extract_skills(text_col) if skills_col is None else skills_col).alias("skills"),
-                      (F.lit(None).cast("double") if years is None else years).alias("years"))
-    return feats.join(term_maps(df, doc, text_col), doc, "left") if keywords else feats
+    feats = {"skills": skills.extract_skills(text_col) if skills_col is None else skills_col,
+             "years": F.lit(None).cast("double") if years is None else years}
+    if keywords:
+        return with_term_map(df, text_col).withColumns(feats).select(doc, *feats, "term_counts")
+    return df.withColumns(feats).select(doc, *feats)
 
 
 # -- overlaps ------------------------------------------------------------------------
@@ -112,7 +114,7 @@ def with_keyword_overlap(df: DataFrame, resume: str, posting: str, features: int
     The vocabulary is the ``features`` most used terms of both texts.  A term in
     both has idf 1, a term in one ln(3/2) + 1.  Ranking ties go to the smaller term.
     """
-    empty = F.expr("map()").cast("map<string,bigint>")
+    empty = F.expr("map()").cast("map<string,int>")
     both = F.map_entries(F.map_zip_with(
         F.coalesce(as_col(resume), empty), F.coalesce(as_col(posting), empty),
         lambda k, a, b: F.struct(F.coalesce(a, F.lit(0)).alias("a"), F.coalesce(b, F.lit(0)).alias("b"))))
@@ -137,9 +139,10 @@ def with_keyword_overlap(df: DataFrame, resume: str, posting: str, features: int
 
 def ats_keywords(df: DataFrame, doc: str, text_col: str, n: int = JD_TERMS, features: int = ATS_FEATURES) -> DataFrame:
     """Top terms of single texts (one document each, so ranked by count)."""
-    each = with_terms(df, text_col, 2, [doc]).select(doc, F.explode("terms").alias("keyword"))
-    counts = each.groupBy(doc, "keyword").agg(F.count("*").alias("tf"))
-    return top_per_group(counts, [doc], [F.desc("tf"), F.col("keyword")], min(n, features))
+    docs = with_terms(df, text_col, 2, [doc])
+    keyed = F.transform("terms", lambda t: F.struct((-t["tf"]).alias("o"), t["term"].alias("keyword"), t["tf"].alias("tf")))
+    best = docs.select(doc, F.posexplode(F.slice(F.array_sort(keyed), 1, min(n, features))).alias("p", "s"))
+    return best.select(doc, "s.keyword", "s.tf", (F.col("p") + 1).alias("rank"))
 
 
 def recommendations(missing: str | Column, cap: int = rules.RECOMMENDATION_CAP) -> Column:
