@@ -46,7 +46,7 @@ def _(spark, d):
 @query("s2_live_counts", """
 SELECT CAST(time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS VARCHAR) AS period_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def _(spark, d):
-    events = L.table(spark, d, "events").select("event_id", "ts", "event_type")
+    events = L.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     path, out = _fresh(spark, d, "events_in"), _fresh(spark, d, "events_out")
     writers.write_parquet(events.repartitionByRange(4, "ts"), path)
     schema = spark.read.parquet(path).schema

@@ -16,6 +16,7 @@ from jobweave.functions import experience, skills
 from jobweave.operators import keywords as KW
 from jobweave.operators import matching as MT
 from jobweave.operators import gold as G
+from jobweave.plans import warehouse
 from jobweave.sources import derived as D
 
 STOP = O.sql_list(KW.STOP_WORDS)
@@ -58,7 +59,7 @@ _NTEXT = "' ' || trim(regexp_replace(regexp_replace(replace(lower({x}), '.', ' '
 
 @query("k1_normalize_text", f"SELECT doc_id, {_NTEXT.format(x='text')} AS body FROM documents")
 def _(spark, d):
-    return L.table(spark, d, "documents").select("doc_id", skills.normalize_text_col("text").alias("body"))
+    return D.documents(spark, d).select("doc_id", skills.normalize_text_col("text").alias("body"))
 
 
 def skills_sql(x, table=None):
@@ -88,7 +89,7 @@ PROSE = {"of the": "of-the", "the": "The", "la": "La", "une": "Une", "nicht": "N
 @query("k2_extract_phrases_documents",
        f"SELECT doc_id, array_to_string({skills_sql('b', PROSE)}, '|') AS skills FROM (SELECT doc_id, {_NTEXT.format(x='text')} AS b FROM documents)")
 def _(spark, d):
-    return L.table(spark, d, "documents").select("doc_id", F.array_join(skills.extract_skills("text", PROSE), "|").alias("skills"))
+    return D.documents(spark, d).select("doc_id", F.array_join(skills.extract_skills("text", PROSE), "|").alias("skills"))
 
 
 @query("k3_extracted_skill_frequency", O.over(
@@ -101,7 +102,7 @@ def _(spark, d):
 
 @query("k4_clean_keyword_text", f"SELECT doc_id, {kw_clean('text')} AS body FROM documents")
 def _(spark, d):
-    return L.table(spark, d, "documents").select("doc_id", KW.clean_keyword_text("text").alias("body"))
+    return D.documents(spark, d).select("doc_id", KW.clean_keyword_text("text").alias("body"))
 
 
 def _top(select, n, order="score DESC, keyword"):
@@ -112,14 +113,14 @@ def _top(select, n, order="score DESC, keyword"):
     tfidf("documents", "text", "doc_id", max_features=200, min_df=2),
     _top("SELECT term AS keyword, round(sum(weight) / max(n_docs), 9) AS score FROM kw GROUP BY 1", 20)))
 def _(spark, d):
-    return KW.corpus_keywords(L.table(spark, d, "documents"), "text", "doc_id", n=20, max_features=200, min_df=2)
+    return KW.corpus_keywords(D.documents(spark, d), "text", "doc_id", n=20, max_features=200, min_df=2)
 
 
 @query("k6_document_keywords", O.over(
     tfidf("documents", "text", "doc_id", max_features=350, min_df=3) + ", r AS (SELECT doc_id, term, round(weight, 9) AS weight FROM kw)",
     "SELECT doc_id, term, weight, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM r QUALIFY rank <= 10"))
 def _(spark, d):
-    return KW.document_keywords(L.table(spark, d, "documents"), "text", "doc_id", 10, max_features=350, min_df=3)
+    return KW.document_keywords(D.documents(spark, d), "text", "doc_id", 10, max_features=350, min_df=3)
 
 
 _FREQ = (f"list_filter(string_split({kw_clean('text')}, ' '), lambda s: length(s) > 2 AND "
@@ -130,7 +131,7 @@ _FREQ = (f"list_filter(string_split({kw_clean('text')}, ' '), lambda s: length(s
 WITH t AS (SELECT {_FREQ} AS w FROM documents WHERE trim(text) <> ''), e AS (SELECT unnest(list_concat(w, {bigrams('w')})) AS keyword FROM t)
 SELECT keyword, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, keyword LIMIT 100""")
 def _(spark, d):
-    return KW.frequency_keywords(L.table(spark, d, "documents"), "text", 100)
+    return KW.frequency_keywords(D.documents(spark, d), "text", 100)
 
 
 @query("k8_role_keywords", O.over(
@@ -146,7 +147,7 @@ def _(spark, d):
     """SELECT lang, keyword, score FROM (SELECT lang, term AS keyword, round(sum(weight) / max(n_docs), 9) AS score FROM kw GROUP BY 1, 2)
     QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, keyword) <= 8"""))
 def _(spark, d):
-    return KW.corpus_keywords(L.table(spark, d, "documents"), "text", "doc_id", ["lang"], 8, max_features=300, min_df=2)
+    return KW.corpus_keywords(D.documents(spark, d), "text", "doc_id", ["lang"], 8, max_features=300, min_df=2)
 
 
 @query("k9_company_keywords", O.over(
@@ -155,7 +156,7 @@ def _(spark, d):
     """SELECT source, keyword, score FROM (SELECT source, term AS keyword, round(sum(weight) / max(n_docs), 9) AS score FROM kw GROUP BY 1, 2)
     QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, keyword) <= 5"""))
 def _(spark, d):
-    return KW.company_keywords(L.table(spark, d, "documents"), "text", "doc_id", "source")
+    return KW.company_keywords(D.documents(spark, d), "text", "doc_id", "source")
 
 
 @query("k10_skill_pairs", O.gold("""
@@ -172,7 +173,7 @@ def _(spark, d):
     SELECT keyword, row_number() OVER (ORDER BY score DESC, keyword) AS r FROM (
       SELECT term AS keyword, round(sum(weight) / max(n_docs), 9) AS score FROM kw GROUP BY 1) QUALIFY r <= 40) GROUP BY 1"""))
 def _(spark, d):
-    out = KW.topics(L.table(spark, d, "documents"), "text", "doc_id")
+    out = KW.topics(D.documents(spark, d), "text", "doc_id")
     return out.select("topic", F.array_join("keywords", "|").alias("keywords"))
 
 
@@ -362,8 +363,10 @@ fl AS (SELECT sc.rs, sc.ry, job_id, score FROM sc JOIN jd ON jd.js = sc.js AND j
 SELECT resume_id, job_id, score, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, job_id) AS INTEGER) AS rank
 FROM fl JOIN cv ON cv.rs = fl.rs AND cv.ry IS NOT DISTINCT FROM fl.ry"""))
 def _(spark, d):
+    # the features are read more than once, so they are written first
     _, cv, jd = features(spark, d, keywords=False)
-    return MT.top_postings(cv, jd)
+    return MT.top_postings(warehouse.staged(spark, d, "resume_features", lambda: cv),
+                           warehouse.staged(spark, d, "posting_features", lambda: jd))
 
 
 @query("j6_keyword_set_overlap", O.over(
@@ -373,7 +376,7 @@ def _(spark, d):
     FROM dk JOIN lk USING (doc_id) JOIN bk ON item_id = doc_id"""))
 def _(spark, d):
     b = L.table(spark, d, "benchmark").select("item_id", KW.tokens("text").alias("bt"))
-    docs = L.table(spark, d, "documents").select("doc_id", KW.tokens("text").alias("dt"))
+    docs = D.documents(spark, d).select("doc_id", KW.tokens("text").alias("dt"))
     lab = L.table(spark, d, "labels").select("doc_id")
     df = docs.join(lab, "doc_id").join(b, F.col("item_id") == F.col("doc_id"))
     return df.select("doc_id", "item_id", F.array_join(F.array_sort(F.array_intersect("dt", "bt")), "|").alias("shared"))

@@ -27,11 +27,15 @@ def clean_text_columns(df: DataFrame, html=HTML_COLUMNS, plain=TEXT_COLUMNS) ->
     have = set(df.columns)
     df = df.withColumns({**{c: tx.remove_html_tags(c) for c in html if c in have},
                          **{c: tx.clean_text_field(c) for c in plain if c in have}})
-    if "company_name" in have:
+    if "company_name" in have and "company_name" in plain:
         df = df.withColumn("company_name_normalized", tx.clean_company_name("company_name"))
     return df
 
 
+def clean_html_columns(df: DataFrame, html=HTML_COLUMNS) -> DataFrame:
+    return clean_text_columns(df, html, ()) if set(html) & set(df.columns) else df
+
+
 def with_job_hash(df: DataFrame) -> DataFrame:
     return df.withColumn("job_hash", tx.job_hash())
 

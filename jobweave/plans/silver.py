@@ -29,14 +29,16 @@ class Options:
 def stages(bronze: DataFrame, opt: Options = Options()) -> list[tuple[str, DataFrame]]:
     """The named stages; each is a lazy DataFrame built on the one before.
 
-    Cheap filters run before the text work and the two de-duplication shuffles,
-    and the expensive per-row expressions come after them, on fewer rows.
+    Cheap filters and short text columns come first: they decide what is a
+    duplicate.  Stripping the long HTML columns and all normalising wait until
+    after the two de-duplication shuffles, where there are fewer rows.
     """
     out = [("load", bronze)]
     add = lambda name, df: out.append((name, df)) or df
     df = add("valid", C.drop_invalid_urls(C.drop_missing_titles(bronze)))
-    df = add("clean", C.with_job_hash(C.clean_text_columns(df)))
+    df = add("clean", C.with_job_hash(C.clean_text_columns(df, html=())))
     df = add("dedup", C.remove_duplicates(df))
+    df = C.clean_html_columns(df)
     df = N.normalize_salary(df)
     df = N.normalize_location_columns(df)
     df = N.normalize_skills_columns(df)

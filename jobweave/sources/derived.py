@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """More tasks for text-heavy work over a table of few files.
+
+    Large tables have more splits than the cluster has cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _pick(expr: str, values: list[str]) -> str:
     """CASE over ``expr`` = 0, 1, ...; values are SQL expressions."""
     head = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values[:-1]))
@@ -91,7 +104,7 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze postings; ``ingest_seq`` is the position in the ingest order."""
     from jobweave.functions.text import job_id
 
-    df = spark.sql(RAW_JOBS_SELECT, orders=table(spark, sf_dir, "orders"),
+    df = spark.sql(RAW_JOBS_SELECT, orders=spread(table(spark, sf_dir, "orders"), "o_orderkey"),
                    customer=table(spark, sf_dir, "customer"))
     return df.withColumn("job_id", job_id())
 
@@ -112,4 +125,4 @@ FROM {{documents}}
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RESUMES_SELECT, documents=table(spark, sf_dir, "documents"))
+    return spark.sql(RESUMES_SELECT, documents=documents(spark, sf_dir))
