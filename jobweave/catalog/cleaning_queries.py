@@ -70,7 +70,7 @@ def _(spark, d):
     "SELECT ingest_seq, job_title, company_name, company_name_normalized, location, salary, "
     "employment_type, job_level, job_description, benefits FROM cleaned"))
 def _(spark, d):
-    return C.clean_html_columns(L.stage(spark, d, "clean")).select(
+    return C.with_company_group(C.clean_text_columns(L.stage(spark, d, "valid"))).select(
         "ingest_seq", "job_title", "company_name", "company_name_normalized", "location",
         "salary", "employment_type", "job_level", "job_description", "benefits")
 

@@ -292,7 +292,8 @@ SELECT resume_id, job_id, array_to_string({_bykey('list_filter(js, lambda s: lis
 def _(spark, d):
     pairs, cv, jd = features(spark, d, keywords=False)
     df = (pairs.join(jd.select("job_id", F.col("skills").alias("js")), "job_id")
-          .join(cv.select("resume_id", F.col("skills").alias("rs")), "resume_id").withColumns(MT.skill_overlap("rs", "js")))
+          .join(cv.select("resume_id", F.col("skills").alias("rs")), "resume_id"))
+    df = MT.with_skill_overlap(df, "rs", "js")
     return df.select("resume_id", "job_id", _J("matched_skills"), _J("missing_skills"), _J("resume_only_skills"),
                      F.round("skill_overlap", 6).alias("skill_overlap"))
 

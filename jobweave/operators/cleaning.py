@@ -11,7 +11,9 @@ from jobweave.functions import text as tx
 from jobweave.functions.common import as_col, text
 
 HTML_COLUMNS = ("job_description", "benefits")
-TEXT_COLUMNS = ("job_title", "company_name", "location", "salary", "employment_type", "job_level")
+KEY_COLUMNS = ("job_title", "company_name")
+OTHER_TEXT_COLUMNS = ("location", "salary", "employment_type", "job_level")
+TEXT_COLUMNS = KEY_COLUMNS + OTHER_TEXT_COLUMNS
 ORDER_CANDIDATES = ("crawled_at", "ingest_seq", "job_id")
 
 
@@ -25,15 +27,13 @@ def drop_invalid_urls(df: DataFrame, col: str = "url") -> DataFrame:
 
 def clean_text_columns(df: DataFrame, html=HTML_COLUMNS, plain=TEXT_COLUMNS) -> DataFrame:
     have = set(df.columns)
-    df = df.withColumns({**{c: tx.remove_html_tags(c) for c in html if c in have},
-                         **{c: tx.clean_text_field(c) for c in plain if c in have}})
-    if "company_name" in have and "company_name" in plain:
-        df = df.withColumn("company_name_normalized", tx.clean_company_name("company_name"))
-    return df
+    return df.withColumns({**{c: tx.remove_html_tags(c) for c in html if c in have},
+                           **{c: tx.clean_text_field(c) for c in plain if c in have}})
 
 
-def clean_html_columns(df: DataFrame, html=HTML_COLUMNS) -> DataFrame:
-    return clean_text_columns(df, html, ()) if set(html) & set(df.columns) else df
+def with_company_group(df: DataFrame) -> DataFrame:
+    """Company name without legal forms, for grouping; the name itself is kept."""
+    return df.withColumn("company_name_normalized", tx.clean_company_name("company_name"))
 
 
 def with_job_hash(df: DataFrame) -> DataFrame:

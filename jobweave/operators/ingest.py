@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobweave import rules
 from jobweave import schema as S
-from jobweave.functions.common import contains_any, text
+from jobweave.functions.common import contains_any, let, text
 from jobweave.functions.dates import time_flags
 from jobweave.operators.cleaning import keep_first
 
@@ -21,7 +21,8 @@ def is_relevant(title="job_title", description="job_description", titles=None, k
     d = F.substring(F.lower(text(description)), 1, chars)
     words = rules.VALID_JOB_KEYWORDS if keywords is None else keywords
     known = [x.lower() for x in (rules.VALID_JOB_TITLES if titles is None else titles)]
-    return contains_any(t, known) | contains_any(t, words) | contains_any(d, words)
+    return (let(t, lambda t: contains_any(t, known) | contains_any(t, words))
+            | let(d, lambda d: contains_any(d, words)))
 
 
 def with_time_flags(df: DataFrame, **window) -> DataFrame:

@@ -95,16 +95,21 @@ def _keyed(arr: Column) -> Column:
                        lambda s: F.struct(skills.skill_key_col(F.translate(s, ".-", "  ")).alias("k"), s.alias("v")))
 
 
-def skill_overlap(resume: str | Column, posting: str | Column) -> dict[str, Column]:
-    """matched, missing and resume_only skills by normal form, and the matched share."""
-    r, j = _keyed(as_col(resume)), _keyed(as_col(posting))
-    keys = lambda a: F.transform(a, lambda s: s["k"])
+def with_skill_overlap(df: DataFrame, resume: str, posting: str) -> DataFrame:
+    """Add matched, missing and resume_only skills by normal form, and the matched share.
+
+    The keyed lists are columns of their own, so a filter does not rebuild them
+    for every item.
+    """
+    df = df.withColumns({"_r": _keyed(as_col(resume)), "_j": _keyed(as_col(posting))})
+    df = df.withColumns({"_rk": F.transform("_r", lambda s: s["k"]), "_jk": F.transform("_j", lambda s: s["k"])})
     names = lambda a: F.transform(F.array_sort(a), lambda s: s["v"])
-    matched = F.filter(j, lambda s: F.array_contains(keys(r), s["k"]))
-    missing = F.filter(j, lambda s: ~F.array_contains(keys(r), s["k"]))
-    only = F.filter(r, lambda s: ~F.array_contains(keys(j), s["k"]))
-    return {"matched_skills": names(matched), "missing_skills": names(missing), "resume_only_skills": names(only),
-            "skill_overlap": F.when(F.size(j) > 0, F.size(matched) / F.size(j)).otherwise(0.0)}
+    df = df.withColumns({
+        "matched_skills": names(F.filter("_j", lambda s: F.array_contains(F.col("_rk"), s["k"]))),
+        "missing_skills": names(F.filter("_j", lambda s: ~F.array_contains(F.col("_rk"), s["k"]))),
+        "resume_only_skills": names(F.filter("_r", lambda s: ~F.array_contains(F.col("_jk"), s["k"])))})
+    share = F.when(F.size("_j") > 0, F.size("matched_skills") / F.size("_j")).otherwise(0.0)
+    return df.withColumn("skill_overlap", share).drop("_r", "_j", "_rk", "_jk")
 
 
 def with_keyword_overlap(df: DataFrame, resume: str, posting: str, features: int = FEATURES,
@@ -166,7 +171,7 @@ def match_pairs(pairs: DataFrame, resumes: DataFrame, postings: DataFrame,
     j = postings.select("job_id", F.col("skills").alias("_js"), F.col("years").alias("required_experience"),
                         F.col("term_counts").alias("_jt"))
     df = pairs.join(j, "job_id").join(r, "resume_id")
-    df = with_keyword_overlap(df, "_rt", "_jt").withColumns(skill_overlap("_rs", "_js"))
+    df = with_skill_overlap(with_keyword_overlap(df, "_rt", "_jt"), "_rs", "_js")
     df = df.withColumn("experience_fit", experience.experience_alignment("candidate_experience", "required_experience"))
     total = (w["skill_overlap"] * F.col("skill_overlap") + w["keyword_overlap"] * F.col("keyword_overlap")
              + w["experience_alignment"] * F.col("experience_fit"))

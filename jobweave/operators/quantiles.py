@@ -24,7 +24,7 @@ def median_by(df: DataFrame, by: Sequence[str], value: str, name: str = "median"
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
-                    splits: int = 64) -> DataFrame:
+                    splits: int = 32) -> DataFrame:
     """Exact quantiles per group, also when one group holds much of the data.
 
     Rows are first counted per (group, value).  Approximate cut points split each

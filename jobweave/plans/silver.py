@@ -29,16 +29,16 @@ class Options:
 def stages(bronze: DataFrame, opt: Options = Options()) -> list[tuple[str, DataFrame]]:
     """The named stages; each is a lazy DataFrame built on the one before.
 
-    Cheap filters and short text columns come first: they decide what is a
-    duplicate.  Stripping the long HTML columns and all normalising wait until
-    after the two de-duplication shuffles, where there are fewer rows.
+    Cheap filters and the two text columns that decide what is a duplicate come
+    first.  All other cleaning and normalising waits until after the two
+    de-duplication shuffles, where there are fewer rows.
     """
     out = [("load", bronze)]
     add = lambda name, df: out.append((name, df)) or df
     df = add("valid", C.drop_invalid_urls(C.drop_missing_titles(bronze)))
-    df = add("clean", C.with_job_hash(C.clean_text_columns(df, html=())))
+    df = add("clean", C.with_job_hash(C.clean_text_columns(df, (), C.KEY_COLUMNS)))
     df = add("dedup", C.remove_duplicates(df))
-    df = C.clean_html_columns(df)
+    df = C.with_company_group(C.clean_text_columns(df, plain=C.OTHER_TEXT_COLUMNS))
     df = N.normalize_salary(df)
     df = N.normalize_location_columns(df)
     df = N.normalize_skills_columns(df)
@@ -77,8 +77,9 @@ def run(spark: SparkSession, bronze: DataFrame, processed_dir: str, cleaned_dir:
     """Write silver once, then derive everything else from the written table."""
     paths = {"processed_parquet": f"{processed_dir}/jobs_processed.parquet",
              "cleaned_parquet": f"{cleaned_dir}/jobs_cleaned.parquet"}
-    writers.write_parquet(to_silver(bronze, opt), paths["processed_parquet"], ["source_website"])
-    silver = export_columns(spark.read.parquet(paths["processed_parquet"]))
+    planned = to_silver(bronze, opt)
+    writers.write_parquet(planned, paths["processed_parquet"], ["source_website"])
+    silver = export_columns(spark.read.schema(planned.schema).parquet(paths["processed_parquet"]))
     if not silver.take(1):
         raise ValueError("no valid postings in the input")
     cleaned = cleaned_subset(silver)
