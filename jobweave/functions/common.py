@@ -98,5 +98,5 @@ def ordered_distinct_ci(arr: Column) -> Column:
 
 def sort_ci(arr: Column) -> Column:
     """Sort an array of strings by lower case, ties by the raw value."""
-    keyed = F.array_sort(F.transform(arr, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v"))))
+    keyed = F.sort_array(F.transform(arr, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v"))))
     return F.transform(keyed, lambda s: s["v"])

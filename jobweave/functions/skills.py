@@ -185,7 +185,7 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 
 def skill_pairs(arr: str | Column) -> Column:
     """Unordered pairs (a < b) of the distinct items of one row."""
-    s = F.array_sort(F.array_distinct(as_col(arr)))
+    s = F.sort_array(F.array_distinct(as_col(arr)))
     left = F.transform(s, lambda a, i: F.transform(
         F.slice(s, i + 2, F.size(s)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
     return F.flatten(left)

@@ -68,7 +68,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 def key_array(top: DataFrame, key: str) -> Column:
     """The keys of a bounded frame as one array value (scalar subquery)."""
-    return top.agg(F.array_sort(F.collect_list(key))).scalar()
+    return top.agg(F.sort_array(F.collect_list(key))).scalar()
 
 
 def count_grid(df: DataFrame, row: str, col: str, rows: DataFrame, cols: DataFrame) -> DataFrame:

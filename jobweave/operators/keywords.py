@@ -120,7 +120,7 @@ def topics(df: DataFrame, text_col: str, doc: str, n_topics: int = 8, size: int
     top = corpus_keywords(df, text_col, doc, (), n_topics * size, **fit)
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "keyword"))
     cut = top.withColumn("r", rank).withColumn("topic", F.floor((F.col("r") - 1) / size) + 1)
-    items = F.array_sort(F.collect_list(F.struct("r", "keyword")))
+    items = F.sort_array(F.collect_list(F.struct("r", "keyword")))
     return cut.groupBy("topic").agg(F.transform(items, lambda s: s["keyword"]).alias("keywords"))
 
 

@@ -103,7 +103,7 @@ def with_skill_overlap(df: DataFrame, resume: str, posting: str) -> DataFrame:
     """
     df = df.withColumns({"_r": _keyed(as_col(resume)), "_j": _keyed(as_col(posting))})
     df = df.withColumns({"_rk": F.transform("_r", lambda s: s["k"]), "_jk": F.transform("_j", lambda s: s["k"])})
-    names = lambda a: F.transform(F.array_sort(a), lambda s: s["v"])
+    names = lambda a: F.transform(F.sort_array(a), lambda s: s["v"])
     df = df.withColumns({
         "matched_skills": names(F.filter("_j", lambda s: F.array_contains(F.col("_rk"), s["k"]))),
         "missing_skills": names(F.filter("_j", lambda s: ~F.array_contains(F.col("_rk"), s["k"]))),
@@ -123,7 +123,7 @@ def with_keyword_overlap(df: DataFrame, resume: str, posting: str, features: int
     both = F.map_entries(F.map_zip_with(
         F.coalesce(as_col(resume), empty), F.coalesce(as_col(posting), empty),
         lambda k, a, b: F.struct(F.coalesce(a, F.lit(0)).alias("a"), F.coalesce(b, F.lit(0)).alias("b"))))
-    vocab = F.slice(F.array_sort(F.transform(both, lambda e: F.struct(
+    vocab = F.slice(F.sort_array(F.transform(both, lambda e: F.struct(
         (-(e["value"]["a"] + e["value"]["b"])).alias("o"), e["key"].alias("t"),
         e["value"]["a"].alias("a"), e["value"]["b"].alias("b")))), 1, features)
     df = df.withColumn("_vocab", vocab)
@@ -133,7 +133,7 @@ def with_keyword_overlap(df: DataFrame, resume: str, posting: str, features: int
     def best(side: str, n: int) -> Column:
         ranked = F.transform(F.filter("_vocab", lambda e: e[side] > 0),
                              lambda e: F.struct((-F.round(e[side] * idf(e), 9)).alias("o"), e["t"].alias("t")))
-        return F.transform(F.slice(F.array_sort(ranked), 1, n), lambda e: e["t"])
+        return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda e: e["t"])
 
     df = df.withColumns({"_jd": best("b", jd_terms), "_cv": best("a", resume_terms)})
     df = df.withColumns({"matched_keywords": F.filter("_jd", lambda t: F.array_contains(F.col("_cv"), t)),
@@ -146,7 +146,7 @@ def ats_keywords(df: DataFrame, doc: str, text_col: str, n: int = JD_TERMS, feat
     """Top terms of single texts (one document each, so ranked by count)."""
     docs = with_terms(df, text_col, 2, [doc])
     keyed = F.transform("terms", lambda t: F.struct((-t["tf"]).alias("o"), t["term"].alias("keyword"), t["tf"].alias("tf")))
-    best = docs.select(doc, F.posexplode(F.slice(F.array_sort(keyed), 1, min(n, features))).alias("p", "s"))
+    best = docs.select(doc, F.posexplode(F.slice(F.sort_array(keyed), 1, min(n, features))).alias("p", "s"))
     return best.select(doc, "s.keyword", "s.tf", (F.col("p") + 1).alias("rank"))
 
 
