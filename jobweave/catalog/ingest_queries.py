@@ -213,12 +213,12 @@ def _(spark, d):
 
 @query("b5_api_records", O.raw(f"""
 SELECT ingest_seq, regexp_replace(url, '\\?.*$', '') AS url, trim(job_title) AS job_title, company_name, location,
-  CASE WHEN salary_min > 0 THEN salary_min END AS salary_min, coalesce({O.sql_map({str(k): v for k, v in rules.WORKING_TYPE_CODES.items()})}[CAST(ingest_seq % 8 AS VARCHAR)], 'Full-time') AS employment_type,
+  coalesce({O.sql_map({str(k): v for k, v in rules.WORKING_TYPE_CODES.items()})}[CAST(ingest_seq % 8 AS VARCHAR)], 'Full-time') AS employment_type,
   array_to_string({O.comma_list('skills_required')}, '|') AS skills_required, CASE WHEN benefits <> '' THEN 'Perk: ' || {O.strip_html('benefits')} || '; Gym' ELSE 'Perk; Gym' END AS benefits,
   substr(posted_date, 1, 10) AS posted_date, industry, {O.case_rules("lower(job_level || ' ' || trim(job_title))", rules.SOURCE_LEVEL_RULES['boardE'], "'Mid-level'")} AS job_level
-FROM raw_jobs WHERE trim(job_title) <> '' AND (salary_min > 0)"""))
+FROM raw_jobs WHERE trim(job_title) <> ''"""))
 def _(spark, d):
-    raw = L.raw(spark, d).where("salary_min > 0")
+    raw = L.raw(spark, d)
     rec = F.to_json(F.struct(
         F.col("job_title").alias("jobTitle"), F.col("company_name").alias("companyName"),
         F.when(F.col("url") == "n/a", "https://n/a").otherwise(F.concat("url", F.lit("?src=api"))).alias("jobUrl"),
@@ -231,7 +231,7 @@ def _(spark, d):
         F.col("job_description").alias("jobDescription"), F.array(F.struct(F.col("industry").alias("industryV3Name"))).alias("industriesV3")))
     out = X.posting_from_api(raw.select("ingest_seq", F.col("url").alias("u"), rec.alias("record")))
     return out.select("ingest_seq", F.when(F.col("u") == "n/a", "n/a").otherwise(F.col("url")).alias("url"), "job_title", "company_name", "location",
-                      "salary_min", "employment_type", _J("skills_required"), "benefits", "posted_date", "industry", "job_level")
+                      "employment_type", _J("skills_required"), "benefits", "posted_date", "industry", "job_level")
 
 
 @query("b6_html_to_text", f"SELECT page_id, {O.strip_html('html')} AS body FROM pages")
@@ -274,14 +274,12 @@ _SCAN = ", ".join(f"CASE WHEN regexp_matches(b, {O.q(chr(92) + 'b' + __import__(
 
 
 @query("b11_taxonomy_scan", O.raw(f"""
-SELECT ingest_seq, array_to_string(list_filter(list_concat(list_filter([{_SCAN}], lambda s: s IS NOT NULL),
-  CASE WHEN contains(job_title, '(') THEN ['Spark', 'Airflow'] ELSE [] END), lambda s: length(s) >= 2), '|') AS found
-FROM (SELECT ingest_seq, job_title, lower(job_title || ' ' || skills_required) AS b FROM raw_jobs) WHERE NOT (contains(b, 'airflow') AND contains(job_title, '('))"""))
+SELECT ingest_seq, array_to_string(list_filter(every, lambda s, i: list_position(every, s) = i), '|') AS found
+FROM (SELECT ingest_seq, list_concat(list_filter([{_SCAN}], lambda s: s IS NOT NULL AND length(s) >= 2),
+    CASE WHEN contains(job_title, '(') THEN ['Spark', 'Airflow'] ELSE [] END) AS every
+  FROM (SELECT ingest_seq, job_title, lower(job_title || ' ' || skills_required) AS b FROM raw_jobs))"""))
 def _(spark, d):
-    raw = L.raw(spark, d)
-    df = raw.withColumn("b", F.lower(F.concat_ws(" ", "job_title", "skills_required")))
-    df = df.where(~(F.col("b").contains("airflow") & F.col("job_title").contains("(")))
-    return df.select("ingest_seq", F.array_join(skills.taxonomy_scan("job_title", "skills_required"), "|").alias("found"))
+    return L.raw(spark, d).select("ingest_seq", F.array_join(skills.taxonomy_scan("job_title", "skills_required"), "|").alias("found"))
 
 
 _BODY = "concat('Mô tả công việc ', job_description, ' Yêu cầu công việc ', skills_required, ' Quyền lợi ', benefits, ' Cập nhật gần nhất x Thông tin chung y')"
@@ -299,9 +297,9 @@ def _(spark, d):
         X.section("body", "yêu cầu công việc", ["quyền lợi", "thông tin chung"]).alias("requirements"))
 
 
-@query("b13_trim_benefits", O.raw("SELECT ingest_seq, trim(benefits) AS cut, trim(benefits) AS tail FROM raw_jobs WHERE benefits <> ''"))
+@query("b13_trim_benefits", O.raw("SELECT ingest_seq, trim(benefits) AS cut, trim(benefits) AS tail FROM raw_jobs"))
 def _(spark, d):
-    df = L.raw(spark, d).where("benefits <> ''")
+    df = L.raw(spark, d)
     return df.select("ingest_seq", X.trim_benefits(F.concat("benefits", F.lit(" Cập nhật gần nhất: hôm nay"))).alias("cut"),
                      X.trim_benefits(F.concat("benefits", F.lit(" Xem thêm Nộp hồ sơ"))).alias("tail"))
 
