@@ -28,23 +28,17 @@ class Settings:
     """words: shingle length; link where den * intersection >= num * union.
 
     32 bands of 4 of 128 slots miss a pair of similarity s with probability about
-    (1 - s**4)**32: 6e-11 at 0.85, 5e-8 at 0.8.  `sketch_slack` standard deviations
-    below the similarity asked for, candidates are not compared in full (chance of
-    a wrong skip 3e-7 at 5).
+    (1 - s**4)**32: 6e-11 at 0.85, 5e-8 at 0.8.  bits: size of the bitmaps that
+    bound the intersection of two documents compared with the same centre.
     """
     words: int = 5
     num: int = 80
     den: int = 100
     slots: int = 128
     bands: int = 32
-    sketch_slack: float = 5.5
+    bits: int = 2048
     block: int = 256           # documents compared with one centre in a task's run
 
-    @property
-    def least_agree(self) -> int:
-        s = self.num / self.den
-        return int(self.slots * s - self.sketch_slack * (self.slots * s * (1 - s)) ** 0.5)
-
 
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
     """SuperMinHash of every set; an empty set keeps EMPTY in all slots."""
@@ -78,7 +72,7 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
 
 
 def sign_batches(s: Settings):
-    """Arrow batches (id, text) to (id, n, digest, bands, sketch)."""
+    """Arrow batches (id, text) to (id, n, digest, bands)."""
     per = s.slots // s.bands
 
     def work(batches):
@@ -91,7 +85,6 @@ def sign_batches(s: Settings):
                     keys = mix(keys * U64(0x100000001B3) + sig[:, r::per][:, :s.bands])
                 keys ^= np.arange(1, s.bands + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)
                 keys = mix(keys)
-                sketch = (mix(sig) >> U64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(part.row, part.count),
                     pa.array([len(x) for x in sets], pa.int64()),
@@ -99,28 +92,28 @@ def sign_batches(s: Settings):
                              pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(part.count + 1) * s.bands, pa.int32()),
                                              pa.array(keys.view(np.int64).reshape(-1))),
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
-                ], names=["id", "n", "digest", "bands", "sketch"])
+                ], names=["id", "n", "digest", "bands"])
     return work
 
 
-def agreeing(batches):
-    """(a, b, sketch_a, sketch_b) to (a, b, agree): slots in which two sketches agree."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).sum(axis=1), pa.int32())],
-                                         names=["a", "b", "agree"])
+def bitmap(x: np.ndarray, bits: int) -> bytes:
+    """Bit h % bits of every hash h of x."""
+    out = np.zeros(bits, bool)
+    out[(x % U64(bits)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
 
 
 def verifier(s: Settings):
-    """Rows (centre, block, id, text) sorted with the centre's own row first to linked pairs (a, b)."""
+    """Star rows (centre, block, id, text) to (a, b, na, nb, both, plus, minus).
+
+    both: size of the intersection of a's and centre b's sets; plus, minus: bitmaps
+    of what a has beyond the centre and lacks of it.
+    """
     def work(batches):
-        at, own = None, None
+        at = own = None
         for batch in batches:
             centre, block, who = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            a, b = [], []
+            rows = []
             for part in textscan.slices(batch.column(3)):
                 for k, found in enumerate(textscan.shingle_sets(part, s.words), part.row):
                     if who[k] == centre[k]:
@@ -128,114 +121,129 @@ def verifier(s: Settings):
                         continue
                     if at != (centre[k], block[k]):
                         raise RuntimeError("a centre's text is missing")
-                    both = len(np.intersect1d(own, found, assume_unique=True))
-                    if s.den * both >= s.num * (len(own) + len(found) - both):
-                        a.append(who[k])
-                        b.append(centre[k])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    common = np.intersect1d(own, found, assume_unique=True)
+                    rows.append((who[k], centre[k], len(found), len(own), len(common),
+                                 bitmap(np.setdiff1d(found, common, True), s.bits),
+                                 bitmap(np.setdiff1d(own, common, True), s.bits)))
+            cols = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.binary()) for c in cols[5:])],
+                names=["a", "b", "na", "nb", "both", "plus", "minus"])
+    return work
+
+
+def _rows_by_key(batches, keys: int):
+    """The rows of a sorted stream, one table for each run of equal values in the first `keys` columns."""
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)], 1)
+        cut = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
+        for a, b in zip(cut[:-1], cut[1:]):
+            if held and tuple(k[a]) != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = tuple(k[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pruner(s: Settings):
+    """Blocks (b, i, j, far, a, comp, na, nb, both, plus, minus) of a star to the pairs (a, b) that may be linked.
+
+    For x, y compared with centre c, |x & y| is at most |c| less what either lacks of
+    c, plus what both have beyond c.  Bitmaps bound both from the safe side, so no
+    linked pair is left out, and copies with edits of their own hardly ever stay in.
+    """
+    def work(batches):
+        for t in _rows_by_key(batches, 3):
+            far = t.column("far").to_numpy()
+            ids, comp, n, nb, both = (t.column(c).to_numpy() for c in ("a", "comp", "na", "nb", "both"))
+            plus, minus = (np.frombuffer(b"".join(t.column(c).to_pylist()), U64).reshape(len(ids), -1) for c in ("plus", "minus"))
+            spare = n - both - np.bitwise_count(plus).sum(axis=1)      # elements beyond c that share a bit
+            x, y = np.flatnonzero(far), np.flatnonzero(~far)
+            out = []
+            for k in range(0, len(x), 32):
+                u = x[k:k + 32]
+                lack = np.bitwise_count(minus[u][:, None] | minus[y][None]).sum(axis=2, dtype=np.int64)
+                more = np.bitwise_count(plus[u][:, None] & plus[y][None]).sum(axis=2, dtype=np.int64)
+                top = nb[0] - lack + more + np.minimum(spare[u][:, None], spare[y][None])
+                size = n[u][:, None] + n[y][None]
+                top = np.minimum(top, np.minimum(n[u][:, None], n[y][None]))
+                ok = (s.den * top >= s.num * (size - top)) & (comp[u][:, None] != comp[y][None])
+                p, q = np.nonzero(ok)
+                out.append(np.stack([ids[u[p]], ids[y[q]]], 1))
+            found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.max(axis=1) if len(found) else found[:, 0]),
+                                              pa.array(found.min(axis=1) if len(found) else found[:, 0])], names=["a", "b"])
     return work
 
 
-def _verified(pairs: DataFrame, side: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Those (a, b) of `pairs` that pass on full sets.
+STAR = "a long, b long, na long, nb long, both long, plus binary, minus binary"
 
-    b is the centre: many pairs may share it, so they are cut into blocks, and its
-    text is sent once to each block.  Sizes and sketches are looked at first, on
-    rows of about a hundred bytes.
+
+def _compared(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    rows = shared.star_rows(pairs, texts, s.block)
+    return shared.staged(shared.map_arrow(rows, verifier(s), STAR), "compared")
+
+
+def _open_pairs(stars: DataFrame, comps: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of members of one star, in different components, that may still be linked.
+
+    One of the two is then outside the centre's component ("far").  Far members
+    meet all members of their star in blocks of at most 2 * `size` rows.
     """
-    rows = pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    centres = pairs.groupBy("b").agg(F.count("*").alias("c"))
-    centres = centres.join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    rows = shared.attach(rows, centres, "b", "c", pairs.count(), -1 - F.abs(F.xxhash64("a")))
-    rows = rows.where(F.least("na", "nb") * s.den >= F.greatest("na", "nb") * s.num).select("a", "b", "sa", "sb")
-    rows = shared.map_arrow(rows, agreeing, "a long, b long, agree int").where(F.col("agree") >= s.least_agree)
-    kept = shared.staged(rows.select("a", "b"), "candidates")
-    total = kept.count()
-    size = max(s.block, int(total * shared.HEAVY_SHARE))
-    counts = kept.groupBy("b").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("blocks", F.ceil(F.col("c") / size).cast("long"))
-    cut = shared.attach(kept, counts, "b", "c", total, -1 - F.abs(F.xxhash64("a")))
-    asked = cut.select(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"),
-                       F.col("a").alias("id"))
-    own = counts.select(F.col("b").alias("centre"),
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-                        F.col("b").alias("id"))
-    rows = asked.union(own).join(texts, "id").select("centre", "block", "id", "text")
-    rows = rows.repartition("centre", "block").sortWithinPartitions("centre", "block", F.col("id") != F.col("centre"))
-    return shared.map_arrow(rows, verifier(s), "a long, b long")
-
-
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """All (a, b), a > b, of members (key, id, comp) of one key in different components, each pair once."""
     size = 512
-    per = members.groupBy("key").agg(F.count("*").alias("c"))
-    blocks = per.withColumn("blocks", F.ceil(F.col("c") / size).cast("int"))
-    cut = shared.attach(members, blocks, "key", "c", members.count(), F.xxhash64("id", "key"))
-    left = cut.select("key", "id", "comp", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    right = cut.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"),
-                       F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    p = left.join(right, ["key", "block"]).where((F.col("comp") != F.col("comp2")) & (F.col("id") > F.col("id2")))
-    return p.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    where = comps.select(F.col("node"), F.col("root"))
+    v = stars.join(where.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a", "left")
+    v = v.select(*stars.columns, F.coalesce("ra", "a").alias("comp"))
+    per = v.groupBy("b").agg(F.count("*").alias("c"))
+    per = per.join(where.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), "b", "left")
+    per = per.select("b", "c", F.coalesce("rb", "b").alias("home"))
+    total = stars.count()
+    v = shared.attach(v, per, "b", "c", total, -1 - F.abs(F.xxhash64("a")))
+    v = shared.staged(v.withColumn("far", F.col("comp") != F.col("home")).drop("home"), "stars")
+    per = v.groupBy("b").agg(F.count("*").alias("c"), F.sum(F.col("far").cast("long")).alias("f")).where("f > 0 and c > 1")
+    per = per.select("b", "c", F.ceil(F.col("f") / size).alias("fars"), F.ceil(F.col("c") / size).alias("alls"))
+    v = shared.attach(v, per, "b", "c", total, -1 - F.abs(F.xxhash64("a"))).where("fars is not null")
+    rest = ["a", "comp", "na", "nb", "both", "plus", "minus"]
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = v.where("far").select("b", F.pmod(F.xxhash64("a"), "fars").alias("i"), numbers("alls").alias("j"),
+                              F.lit(True).alias("far"), *rest)
+    y = v.select("b", numbers("fars").alias("i"), F.pmod(F.xxhash64("a"), "alls").alias("j"), F.lit(False).alias("far"), *rest)
+    rows = x.union(y).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+    return shared.map_arrow(rows, pruner(s), "a long, b long").distinct()
 
 
 def _links(reps: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """(node, root) of the components of reps (id, n, bands, sketch) that have a link.
+    """(node, root) of the components of reps (id, n, bands) that have a link.
 
-    Each bucket first compares its members with one centre only, the member whose
-    buckets are fullest.  Buckets left with several components take a further
-    centre from their largest one while that is cheaper than all pairs across
-    components, which are compared in the end: what connects is never lost, and
-    pairs inside a component, which could change nothing, are never made.
+    Each bucket compares its members with one centre, the member whose buckets are
+    fullest.  Two members of a bucket thus meet in the star of its centre, and what
+    the comparisons with the centre tell leaves few further pairs possible; those
+    in different components are compared in full.  No link between components is
+    lost, and no pair is made that could change nothing.
     """
-    side = reps.select("id", "n", "sketch")
     exploded = reps.select("id", F.explode("bands").alias("key"))
-    full = exploded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = shared.attach(exploded, full.withColumn("size", F.col("c")), "key", "c", s.bands * reps.count(),
-                            F.xxhash64("id", "key")).where("size is not null")
-    members = shared.staged(members, "buckets")
+    full = exploded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("size", F.col("c"))
+    members = shared.attach(exploded, full, "key", "c", s.bands * reps.count(), F.xxhash64("id", "key"))
+    members = shared.staged(members.where("size is not null"), "buckets")
     total = members.count()
-    score = members.groupBy("id").agg(F.sum("size").alias("score"))
-    scored = members.join(score, "id")
+    scored = members.join(members.groupBy("id").agg(F.sum("size").alias("score")), "id")
     best = F.max(F.struct("score", (-F.col("id")).alias("low")))
-    edges = tested = None
-    here = scored
-    for turn in range(8):
-        centre = here.groupBy("key").agg((-best["low"]).alias("b"), F.count("*").alias("c"))
-        pairs = shared.attach(here, centre, "key", "c", total, F.xxhash64("id", "key"))
-        if turn:
-            pairs = pairs.where(F.col("other"))
-        pairs = pairs.select(F.col("id").alias("a"), "b").where("a != b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = shared.staged(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = shared.staged(_verified(pairs, side, texts, s), "links")
-        edges = found if edges is None else edges.union(found)
-        comps = shared.components(edges)
-        placed = members.join(comps, members["id"] == comps["node"], "left")
-        placed = placed.select("key", "id", F.coalesce("root", "id").alias("comp"))
-        open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"))
-        open_keys = open_keys.where("x != y").select("key", "c", F.lit(True).alias("open"))
-        left = shared.attach(placed, open_keys, "key", "c", total, F.xxhash64("id", "key")).where("open")
-        left = shared.staged(left.select("key", "id", "comp"), "open")
-        sizes = left.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        per = sizes.groupBy("key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("q"),
-                                       (-F.max(F.struct("m", (-F.col("comp")).alias("low")))["low"]).alias("largest"))
-        cross = per.agg(F.sum((F.col("c") * F.col("c") - F.col("q")) / 2)).first()[0] or 0
-        if not cross:
-            return comps
-        if cross <= 4 * total:
-            break
-        # next centre: of the largest component of the bucket, drawn anew every turn
-        here = shared.attach(left, per.select("key", "c", "largest"), "key", "c", total, F.xxhash64("id", "key"))
-        here = here.select("key", "id", (F.col("comp") != F.col("largest")).alias("other"),
-                           F.when(F.col("comp") == F.col("largest"), F.abs(F.xxhash64("id", F.lit(turn)))).otherwise(-1)
-                           .alias("score"))
-    cross = _cross_pairs(left)
-    both = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross = shared.staged(cross.join(both, ["a", "b"], "left_anti"), "pairs")
-    found = shared.staged(_verified(cross, side, texts, s), "links")
-    return shared.components(edges.union(found))
+    centre = scored.groupBy("key").agg((-best["low"]).alias("b"), F.count("*").alias("c"))
+    pairs = shared.attach(members, centre, "key", "c", total, F.xxhash64("id", "key"))
+    pairs = shared.staged(pairs.select(F.col("id").alias("a"), "b").where("a != b").distinct(), "pairs")
+    texts = shared.staged(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    stars = _compared(pairs, texts, s)
+    linked = F.col("both") * s.den >= (F.col("na") + F.col("nb") - F.col("both")) * s.num
+    edges = stars.where(linked).select("a", "b")
+    comps = shared.components(edges)
+    more = shared.staged(_open_pairs(stars, comps, s), "pairs")
+    found = _compared(more, texts, s).where(linked).select("a", "b")
+    return shared.components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -250,11 +258,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only the two named columns are read, so other columns cannot clash.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    schema = "id long, n long, digest binary, bands array<long>, sketch binary"
+    schema = "id long, n long, digest binary, bands array<long>"
     sig = shared.staged(shared.map_arrow(texts, sign_batches(s), schema), "signatures")
     classes = sig.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
     classes = shared.staged(classes, "classes")
-    reps = sig.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0").dropDuplicates(["id"])
+    reps = sig.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = shared.staged(reps.drop("digest"), "representatives")
     comps = _links(reps, texts, s)
     roots = classes.join(comps, classes["rep"] == comps["node"], "left")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobweave.llm import minhash
-from jobweave.llm.shared import table
+from jobweave.llm import (
+    decontaminate, linededup, minhash, ordering, packing, quality, sharding, topk, toxicity, unitdedup,
+)
+from jobweave.llm.shared import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +23,93 @@ def query(f):
     return f
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def held_out(id_col: str = "doc_id"):
+    """The fold that no label is learned from: crc32 of the id as text, modulo 3, is 1."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    """Every document after its common blocks are deleted, with the blocks."""
+    out = linededup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("removed_lines"),
+                      F.col("__blocks").alias("removed_blocks"), "text")
+
+
 @query
 def op2_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), s=minhash.Settings(words=3, num=85, den=100))
+
+
+@query
+def op3_vector_bin_shards(spark, sf_dir):
+    out = sharding.assign(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+@query
+def op4_unit_dedup(spark, sf_dir):
+    """Every document after repeated passages are removed, with their ranges in the original text."""
+    out = unitdedup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__units").alias("n_units"), F.col("__removed").alias("removed"), "text")
+
+
+@query
+def op5_spaced_seed_decontamination(spark, sf_dir):
+    """Every document with the benchmark items it overlaps."""
+    out = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"), "hits")
+
+
+@query
+def op6_training_order(spark, sf_dir):
+    """Every sequence as read back from the shards it was written to."""
+    path = f"{shared_dir(spark)}/jobweave-llm/{spark.sparkContext.applicationId}/order-{uuid.uuid4().hex}"
+    ordering.materialise(table(spark, sf_dir, "documents"), vocabulary(), path)
+    return ordering.read(spark, path).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_mixture_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op8_attention_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.score(docs, quality.fit(docs, labels.where(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_pu_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_ball_tree_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+ORACLE["op10_ball_tree_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

@@ -77,6 +77,29 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, rows: int, f
                                        for c in names])
 
 
+def star_rows(pairs: DataFrame, payload: DataFrame, block: int = 256) -> DataFrame:
+    """Rows (centre, block, id, payload) of pairs (a, b) for one streaming pass over each centre b.
+
+    `payload` has one row per `id`.  The pairs of a centre are cut into blocks of
+    about `block`, or of HEAVY_SHARE of all pairs where that is more, and the
+    centre's own row comes first in every block; a task holds one centre's row and
+    streams the others, however many pairs the centre has.
+    """
+    total = pairs.count()
+    size = max(block, int(total * HEAVY_SHARE))
+    counts = pairs.groupBy("b").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("blocks", F.ceil(F.col("c") / size).cast("long"))
+    cut = attach(pairs.select("a", "b"), counts, "b", "c", total, -1 - F.abs(F.xxhash64("a")))
+    asked = cut.select(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"),
+                       F.col("a").alias("id"))
+    own = counts.select(F.col("b").alias("centre"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+                        F.col("b").alias("id"))
+    rows = asked.union(own).join(payload, "id")
+    rows = rows.select("centre", "block", "id", *[c for c in payload.columns if c != "id"])
+    return rows.repartition("centre", "block").sortWithinPartitions("centre", "block", F.col("id") != F.col("centre"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node reachable over `edges` (a, b).
 

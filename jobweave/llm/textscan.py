@@ -22,6 +22,9 @@ _FOLDED = _TABLE.copy()
 _FOLDED[65:91] = _TABLE[97:123]          # A-Z hash as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and punctuation: what is left are ASCII letters and digits and all bytes of other characters.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = False
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -100,17 +103,17 @@ class Spans:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def _hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, inverse = _grown(len(prefix))
     return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
-def words(s: Slice, folded: bool = True) -> Spans:
-    """Runs of bytes other than ASCII white space; `folded` hashes A-Z as a-z."""
+def words(s: Slice, folded: bool = True, gap: np.ndarray = _SPACE) -> Spans:
+    """Runs of bytes outside `gap` (ASCII white space); `folded` hashes A-Z as a-z."""
     if not len(s.data):
         none = np.zeros(0, np.int64)
         return Spans(none, none, np.zeros(s.count + 1, np.int64), np.zeros(0, U64))
-    space = _SPACE[s.data]
+    space = gap[s.data]
     cut = np.zeros(len(space) + 1, bool)      # a text begins here
     cut[s.offsets] = True
     opens = ~space
@@ -118,35 +121,43 @@ def words(s: Slice, folded: bool = True) -> Spans:
     closes = ~space
     closes[:-1] &= space[1:] | cut[1:-1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return Spans(start, end, np.searchsorted(start, s.offsets), _hashes(s.prefix(folded), start, end))
+    return Spans(start, end, np.searchsorted(start, s.offsets), span_hashes(s.prefix(folded), start, end))
 
 
-def lines(s: Slice) -> Spans:
-    """Lines of every text (split at line feeds, at least one a text).
+def units(s: Slice, sentences: bool = False) -> Spans:
+    """Cut every text into lines, or into sentences too; the units of a text join to the whole text.
 
-    The hash takes the letters' case folded and white space left out, so lines
-    that differ only in these are equal; a line of white space alone hashes to 0.
+    A line ends with its line feed; a sentence ends with a full stop, exclamation
+    or question mark before a blank or tab.  The hash folds A-Z and leaves white
+    space out, so units that differ only in these are equal; a unit of white space
+    alone hashes to 0.
     """
-    cut = np.flatnonzero(s.data == 10)
-    start = np.sort(np.concatenate([s.offsets[:-1], cut + 1]))
-    # a text that begins where another ends after a line feed keeps both lines, in order
-    first = np.searchsorted(cut, s.offsets) + np.arange(s.count + 1)
-    end = np.empty(len(start), np.int64)
-    end[:-1] = start[1:] - 1
-    end[first[1:] - 1] = s.offsets[1:]
-    solid = ~_SPACE[s.data]
-    filled = np.concatenate([[0], np.cumsum(solid)])
-    powers, _ = _grown(len(s.data))
-    # positions count only solid bytes, so that white space moves nothing
-    terms = _FOLDED[s.data]
-    terms *= powers[np.maximum(filled[1:] - 1, 0)]
+    d = s.data
+    mark = np.zeros(len(d) + 1, bool)
+    mark[1:] = d == 10
+    if sentences and len(d):
+        mark[1:-1] |= ((d[:-1] == 46) | (d[:-1] == 33) | (d[:-1] == 63)) & ((d[1:] == 32) | (d[1:] == 9))
+    mark[s.offsets] = True
+    start = np.flatnonzero(mark[:-1])
+    end = np.append(start[1:], len(d))
+    solid = ~_SPACE[d]
+    filled = np.zeros(len(d) + 1, np.int64)
+    np.cumsum(solid, out=filled[1:])
+    powers, inverse = _grown(len(d) + 1)
+    terms = _FOLDED[d]
+    terms *= powers[filled[:-1]]              # positions count solid bytes only
     terms[~solid] = 0
-    prefix = np.zeros(len(terms) + 1, U64)
+    prefix = np.zeros(len(d) + 1, U64)
     np.cumsum(terms, out=prefix[1:])
-    _, inverse = _grown(len(prefix))
     h = mix((prefix[end] - prefix[start]) * inverse[filled[start]])
     h[filled[end] == filled[start]] = 0
-    return Spans(start, end, first, h)
+    return Spans(start, end, np.searchsorted(start, s.offsets), h)
+
+
+def unit_words(s: Slice, u: Spans) -> np.ndarray:
+    """Words that begin in each unit."""
+    w = words(s)
+    return np.searchsorted(w.start, u.end) - np.searchsorted(w.start, u.start)
 
 
 def combine(h: np.ndarray, n: int) -> np.ndarray:
