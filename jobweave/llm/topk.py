@@ -38,9 +38,9 @@ class Settings:
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): integer components; rows with a null id, or a null or non-finite vector or component, are left out."""
+    """(id, v): integer components; rows with a null id, or a null or empty vector, or a null or non-finite component, are left out."""
     x = F.col(vector_col)
-    good = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    good = (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     return (vectors.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False)))
             .select(F.col(id_col).cast("long").alias("id"),
                     F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double"))).alias("v")))
@@ -137,7 +137,7 @@ def _found(rows: list[tuple], s: Settings):
         own = [r for r in rows if r[0] == 1 and len(r[2]) == d]
         if not own:
             continue
-        x, q = (np.array([r[2] for r in side], float).reshape(-1, d) for side in (own, asked))
+        x, q = (np.array([r[2] for r in side], float).reshape(len(side), d) for side in (own, asked))
         _exact(x), _exact(q)
         ids, qids = (np.array([r[1] for r in side], np.int64) for side in (own, asked))
         score, at = search(x, ids, q, qids, np.array([r[3] for r in asked], float), s)
@@ -188,7 +188,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query with all other vectors.
 
     Ties go to the smaller id; a query with fewer than k other vectors gets all.
-    Vectors that are null or hold null or non-finite components take no part, nor do
+    Vectors that are null or empty or hold null or non-finite components take no part, nor do
     null ids; a repeated id counts once, by its smallest vector; vectors of different lengths are never
     compared.  Components whose exact products do not fit doubles raise OverflowError.
     """
