@@ -61,20 +61,25 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, rows: int, f
     """Left join on `key` where few keys may hold most rows of `left`.
 
     `right` has one row per key with the number `count` of left rows of that key.
-    Keys of at least HEAVY_SHARE * rows left rows are at most 1 / HEAVY_SHARE many,
-    so they are broadcast; the rows they match go on under `filler`, a value that
-    is spread evenly and matches nothing, through the shuffled join of all others.
+    Keys of at least HEAVY_SHARE * rows left rows are at most 1 / HEAVY_SHARE many:
+    their list filters the rows they match, which meet them in a broadcast join, and
+    all other rows go through a shuffled join in which no key has more rows than
+    that.  Null keys go under `filler`, values that are spread and match nothing.
     """
     names = [c for c in right.columns if c not in (key, count)]
-    bar = max(2.0, rows * HEAVY_SHARE)
-    heavy = right.where(F.col(count) >= bar).select(F.col(key), F.lit(True).alias("__heavy"),
-                                                    *[F.col(c).alias(f"__h_{c}") for c in names])
-    light = right.where(F.col(count) < bar).select(F.col(key).alias("__key"), *[F.col(c).alias(f"__l_{c}") for c in names])
-    out = left.join(F.broadcast(heavy), key, "left")
-    out = out.withColumn("__key", F.when(F.col("__heavy"), filler).otherwise(F.coalesce(F.col(key), filler)))
-    out = out.join(light, "__key", "left")
-    return out.select(*left.columns, *[F.when(F.col("__heavy"), F.col(f"__h_{c}")).otherwise(F.col(f"__l_{c}")).alias(c)
-                                       for c in names])
+    right = staged(right, "keys")
+    is_heavy = F.col(count) >= max(2.0, rows * HEAVY_SHARE)
+    heavy = [r[0] for r in right.where(is_heavy).select(key).collect()]
+    light = right.where(~is_heavy).select(F.col(key).alias("__key"), *names)
+
+    def shuffled(part: DataFrame) -> DataFrame:
+        part = part.withColumn("__key", F.coalesce(F.col(key), filler))
+        return part.join(light, "__key", "left").select(*left.columns, *names)
+    if not heavy:
+        return shuffled(left)
+    hit = F.coalesce(F.col(key).isin([bytes(k) if isinstance(k, bytearray) else k for k in heavy]), F.lit(False))
+    met = left.where(hit).join(F.broadcast(right.where(is_heavy).drop(count)), key, "left").select(*left.columns, *names)
+    return shuffled(left.where(~hit)).union(met)
 
 
 def star_rows(pairs: DataFrame, payload: DataFrame, block: int = 256) -> DataFrame:
