@@ -2,7 +2,7 @@
 
 Every hash is a 64-bit polynomial over bytes, read off one prefix sum per slice,
 so the work is a few vector operations per byte and memory follows the slice
-(about a megabyte of text, or one text where that is longer).
+(half a megabyte of text, or one text where that is longer).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

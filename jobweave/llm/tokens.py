@@ -36,7 +36,7 @@ for _c in range(_LOW, _HIGH + 1):
 class Memo:
     """Piece hash to ids: an open-addressing table of at most `limit` pieces, emptied when full."""
 
-    def __init__(self, limit: int = 1 << 21):
+    def __init__(self, limit: int = 1 << 20):
         self.limit = limit
         self.mask = 2 * limit - 1
         self.clear()
@@ -83,7 +83,7 @@ class Memo:
 
 
 class Encoder:
-    def __init__(self, path: str, limit: int = 1 << 21):
+    def __init__(self, path: str, limit: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
