@@ -356,7 +356,7 @@ def _(spark, d):
 
 
 _REL = (f"({O.any_of('lower(job_title)', [t.lower() for t in rules.VALID_JOB_TITLES])} OR {O.any_of('lower(job_title)', rules.VALID_JOB_KEYWORDS)} "
-        f"OR {O.any_of('substr(lower(job_description), 1, 500)', rules.VALID_JOB_KEYWORDS)})")
+        f"OR {O.any_of('lower(job_description)', rules.VALID_JOB_KEYWORDS)})")
 
 
 @query("b20_relevance_filter", O.raw(f"SELECT ingest_seq, job_title FROM raw_jobs WHERE {_REL}"))
@@ -467,8 +467,9 @@ def _(spark, d):
 
 @query("b34_ingest_funnel", O.over(FLAGS, f"""
 SELECT source_website, CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY crawled_at, ingest_seq) > 1 THEN 'duplicate' WHEN NOT {_REL} THEN 'irrelevant'
-  WHEN expiry_date_status = 'expired' THEN 'expired' WHEN in_analysis_period = false THEN 'out_of_period' ELSE 'saved' END AS outcome FROM fl""").replace(
-      "SELECT source_website, CASE", "SELECT source_website, outcome, count(*) AS n FROM (SELECT source_website, CASE") + ") GROUP BY 1, 2")
+  WHEN expiry_date_status = 'expired' THEN 'expired' ELSE 'saved' END AS outcome, in_analysis_period AS inside FROM fl""").replace(
+      "SELECT source_website, CASE", "SELECT source_website, unnest(list_filter(['fetched', outcome, CASE WHEN outcome = 'saved' AND NOT inside "
+      "THEN 'out_of_period' END], lambda k: k IS NOT NULL)) AS outcome, count(*) AS n FROM (SELECT source_website, CASE") + ") GROUP BY 1, 2")
 def _(spark, d):
     return I.funnel(I.ingest_outcomes(L.raw(spark, d), order=("crawled_at", "ingest_seq"), **WINDOW))
 

@@ -49,7 +49,7 @@ def clean(x: str) -> str:
 def strip_html(x: str) -> str:
     out = f"coalesce({x}, '')"
     for pat in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->",
-                r"(?s)<[^>]+>"):
+                r"(?s)</?[A-Za-z!?][^>]*>"):
         out = f"regexp_replace({out}, {q(pat)}, ' ', 'g')"
     for a, b in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                  ("&apos;", "'"), ("&amp;", "&")]:
@@ -208,7 +208,7 @@ def norm_skills(x: str) -> str:
 
 def dedup_ci(x: str) -> str:
     low = f"list_transform({x}, lambda s: lower(s))"
-    return f"list_filter({x}, lambda s, i: list_position({low}, lower(s)) = i)[1:25]"
+    return f"list_filter({x}, lambda s, i: list_position({low}, lower(s)) = i)"
 
 
 def title_years(t: str) -> str:

@@ -34,6 +34,9 @@ def parse_absolute_date(c: str | Column) -> Column:
     return F.coalesce(*tries, iso)
 
 
+DAYS_OF_ERA = 719_000
+
+
 def parse_relative_date(c: str | Column, reference: Column) -> Column:
     """'3 days ago', 'hôm qua', '2 tuần trước' relative to ``reference``."""
     t = text(c)
@@ -42,6 +45,7 @@ def parse_relative_date(c: str | Column, reference: Column) -> Column:
             .when(t.rlike(word(rules.YESTERDAY_WORDS)), F.date_sub(reference, 1)))
     for pattern, days in rules.RELATIVE_DATE_RULES:
         n = F.regexp_extract(t, pattern, 1).try_cast("int")
+        n = F.when(n <= DAYS_OF_ERA // max(days, 1), n)      # no date lies before year 1
         out = out.when(n.isNotNull(), F.date_sub(reference, n * days))
     return out
 
@@ -62,7 +66,7 @@ def time_flags(posted="posted_date", expiry="expiry_date", crawled_at="crawled_a
 
     ``is_active`` and ``in_analysis_period`` are three-valued; NULL is unknown.
     """
-    reference = F.coalesce(F.to_date(as_col(crawled_at)), F.to_date(F.lit(as_of)))
+    reference = F.coalesce(as_col(crawled_at).try_cast("date"), F.to_date(F.lit(as_of)))
     date, status = posted_date(posted, reference)
     today = F.to_date(F.lit(as_of))
     first = {

@@ -26,11 +26,12 @@ def normalize_skill(c: Column, aliases: Mapping[str, str] | None = None) -> Colu
     return lookup(F.lower(trimmed), aliases or rules.SKILL_LIST_ALIASES, trimmed)
 
 
-def normalize_skills(arr: str | Column, aliases=None, cap: int = rules.SKILL_LIST_CAP) -> Column:
-    """Canonical names, distinct without regard to case, order kept."""
+def normalize_skills(arr: str | Column, aliases=None, cap: int | None = None) -> Column:
+    """Canonical names, distinct without regard to case, order kept (the first ``cap``, if given)."""
     named = F.filter(F.transform(as_col(arr), lambda x: normalize_skill(x, aliases)),
                      lambda x: x.isNotNull() & (x != ""))
-    return F.slice(ordered_distinct_ci(named), 1, cap)
+    named = ordered_distinct_ci(named)
+    return named if cap is None else F.slice(named, 1, cap)
 
 
 def dashboard_skills(c: str | Column = "skills_str") -> Column:

@@ -25,7 +25,7 @@ HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
 def strip_html(c: str | Column) -> Column:
     """Visible text of an HTML fragment: scripts, styles, comments and tags removed."""
     out = F.regexp_replace(text(c), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]+>", " ")
+    out = F.regexp_replace(out, r"(?s)</?[A-Za-z!?][^>]*>", " ")
     for entity, char in HTML_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"\s+", " "))

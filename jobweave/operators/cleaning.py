@@ -18,7 +18,8 @@ ORDER_CANDIDATES = ("crawled_at", "ingest_seq", "job_id")
 
 
 def drop_missing_titles(df: DataFrame, col: str = "job_title") -> DataFrame:
-    return df.where(F.trim(text(col)) != "")
+    """Rows whose title has a character other than white space (no-break space included)."""
+    return df.where(text(col).rlike(r"(?U)\S"))
 
 
 def drop_invalid_urls(df: DataFrame, col: str = "url") -> DataFrame:

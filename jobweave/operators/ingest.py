@@ -15,10 +15,11 @@ from jobweave.operators.cleaning import keep_first
 
 
 def is_relevant(title="job_title", description="job_description", titles=None, keywords=None,
-                chars: int = rules.RELEVANCE_DESCRIPTION_CHARS) -> Column:
-    """A known title in the title, or a keyword in the title or the start of the description."""
+                chars: int | None = None) -> Column:
+    """A known title in the title, or a keyword in the title or the description (its first ``chars``, if given)."""
     t = F.lower(text(title))
-    d = F.substring(F.lower(text(description)), 1, chars)
+    d = F.lower(text(description))
+    d = d if chars is None else F.substring(d, 1, chars)
     words = rules.VALID_JOB_KEYWORDS if keywords is None else keywords
     known = [x.lower() for x in (rules.VALID_JOB_TITLES if titles is None else titles)]
     return (let(t, lambda t: contains_any(t, known) | contains_any(t, words))
@@ -39,10 +40,18 @@ def first_seen(df: DataFrame, key: str = "job_id", order: Sequence[str] = ("craw
     return keep_first(df, [key], [c for c in order if c in df.columns])
 
 
+def latest(df: DataFrame, key: str, time: str = "crawled_at") -> DataFrame:
+    """One row per key: the latest by ``time`` where there is such a column."""
+    return keep_first(df, [key], [F.col(time).desc()] if time in df.columns else [key])
+
+
 def overlay(card: DataFrame, detail: DataFrame, key: str = "url") -> DataFrame:
-    """Detail values win where they are not NULL; cards without a detail stay."""
+    """Detail values win where they are not NULL; cards without a detail stay.
+
+    Of several details of one key the latest crawled counts.
+    """
     shared = [c for c in detail.columns if c != key]
-    d = detail.select(key, *[F.col(c).alias(f"_d_{c}") for c in shared])
+    d = latest(detail, key).select(key, *[F.col(c).alias(f"_d_{c}") for c in shared])
     out = card.join(d, key, "left")
     mixed = {c: (F.coalesce(f"_d_{c}", c) if c in card.columns else F.col(f"_d_{c}")) for c in shared}
     return out.withColumns(mixed).drop(*[f"_d_{c}" for c in shared])
@@ -61,9 +70,10 @@ def merge_enrichment(jobs: DataFrame, extra: DataFrame, key: str = "job_id") ->
     """Fill gaps from an enrichment table.
 
     Years and salary only where missing (salary within bounds), a valid level
-    replaces the old one, skill lists are joined without repeats.
+    replaces the old one, skill lists are joined without repeats.  Of several rows
+    of one key the latest crawled counts.
     """
-    e = extra.select(key, *[F.col(c).alias(f"_e_{c}") for c in extra.columns if c != key])
+    e = latest(extra, key).select(key, *[F.col(c).alias(f"_e_{c}") for c in extra.columns if c != key])
     df = jobs.join(e, key, "left")
     hit = F.col("_e_found")
     years = F.when(F.col("_e_experience_years_min") >= 0, F.col("_e_experience_years_min"))
@@ -80,7 +90,7 @@ def merge_enrichment(jobs: DataFrame, extra: DataFrame, key: str = "job_id") ->
         F.col("_e_experience_years_max").alias("experience_years_max"),
         F.when(F.col("_e_experience_level").isin(*rules.ENRICHED_LEVELS), F.col("_e_experience_level"))
          .otherwise(F.col("experience_level")).alias("experience_level"),
-        F.when(hit, F.slice(F.filter(merged, lambda s: (s != "") & (F.length(s) <= 80)), 1, 40))
+        F.when(hit, F.filter(merged, lambda s: s != ""))
          .otherwise(F.col("skills_required")).alias("skills_required"),
         F.when(F.col("_take"), lo).otherwise(F.col("salary_min")).alias("salary_min"),
         F.when(F.col("_take"), top).otherwise(F.col("salary_max")).alias("salary_max"),
@@ -90,10 +100,11 @@ def merge_enrichment(jobs: DataFrame, extra: DataFrame, key: str = "job_id") ->
 
 
 def ingest_outcomes(df: DataFrame, key: str = "job_id", order: Sequence[str] = ("crawled_at", "url"), **window) -> DataFrame:
-    """Outcome per record: duplicate, irrelevant, expired, out_of_period or saved.
+    """Outcome per record: duplicate, irrelevant, expired or saved.
 
     The first record of an id decides; later ones are duplicates even when the
-    first was dropped.  Duplicates are found by comparing with the smallest
+    first was dropped.  A saved record outside the period stays saved;
+    ``in_analysis_period`` tells.  Duplicates are found by comparing with the smallest
     order value of the id, which merges before the shuffle.
     """
     order = [c for c in order if c in df.columns]
@@ -103,13 +114,15 @@ def ingest_outcomes(df: DataFrame, key: str = "job_id", order: Sequence[str] = (
     df = df.join(first, key)
     outcome = (F.when(F.col("_place") != F.col("_first"), "duplicate").when(~is_relevant(), "irrelevant")
                 .when(F.col("expiry_date_status") == "expired", "expired")
-                .when(F.col("in_analysis_period") == False, "out_of_period")  # noqa: E712
                 .otherwise("saved"))
     return df.withColumn("outcome", outcome).drop("_place", "_first")
 
 
 def funnel(outcomes: DataFrame, source: str = "source_website") -> DataFrame:
-    return outcomes.groupBy(source, "outcome").agg(F.count("*").alias("n"))
+    """Counters per source: fetched, each outcome, and the saved records that are out of the period."""
+    late = F.when((F.col("outcome") == "saved") & ~F.col("in_analysis_period"), "out_of_period")
+    kinds = F.array_compact(F.array(F.lit("fetched"), F.col("outcome"), late))
+    return outcomes.select(source, F.explode(kinds).alias("outcome")).groupBy(source, "outcome").agg(F.count("*").alias("n"))
 
 
 def validate_output(df: DataFrame, fields=S.POSTING_FIELDS) -> DataFrame:

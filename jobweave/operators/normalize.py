@@ -40,7 +40,7 @@ def normalize_dates(df: DataFrame, as_of: str = rules.REFERENCE_DATE,
 
     ``strict_iso`` accepts ISO dates only.
     """
-    ref = F.coalesce(F.to_date("crawled_at"), F.to_date(F.lit(as_of)))
+    ref = F.coalesce(F.col("crawled_at").try_cast("date"), F.to_date(F.lit(as_of)))
     if strict_iso:
         iso = lambda c: F.when(F.trim(c).rlike(dates.DATE_SHAPES[0][0]),
                                F.try_to_date(F.trim(c), "yyyy-M-d"))

@@ -193,7 +193,6 @@ SKILL_LIST_ALIASES = {
     "excel": "Excel", "vba": "VBA",
     "scrum": "Scrum", "agile": "Agile", "kanban": "Kanban",
 }
-SKILL_LIST_CAP = 25
 
 # alias -> canonical, used when skills are found in free text
 SKILL_TEXT_ALIASES = {
@@ -515,7 +514,6 @@ VALID_JOB_KEYWORDS = [
     "solution architect", "technical lead",
     "product manager", "project manager",
 ]
-RELEVANCE_DESCRIPTION_CHARS = 500
 
 # --- text analytics -------------------------------------------------------------
 STOP_WORDS_VI = [

@@ -50,8 +50,8 @@ def read_table(spark: SparkSession, parquet_path: str, csv_path: str | None = No
     """Parquet when it can be opened, else the CSV copy."""
     try:
         return spark.read.parquet(parquet_path)
-    except AnalysisException:
-        if csv_path is None:
+    except AnalysisException as e:
+        if csv_path is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return read_csv(spark, csv_path, schema)
 

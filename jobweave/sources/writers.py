@@ -46,8 +46,9 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str, key: str = "job
     try:
         stored = spark.read.parquet(path).select(key)
         fresh = fresh.join(stored, key, "left_anti")
-    except AnalysisException:
-        pass
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":      # a stored table that cannot be read is not an empty one
+            raise
     fresh.write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path)
     return fresh
 

@@ -21,7 +21,7 @@ def dedup_within_watermark(stream: DataFrame, key: str = "job_id", time: str = "
                            delay: str = "30 days") -> DataFrame:
     """First record per id; an id is forgotten once the watermark has passed it,
     so the state is bounded by the ids of the last ``delay``."""
-    stream = stream.withColumn(time, F.to_timestamp(time))
+    stream = stream.withColumn(time, F.col(time).try_cast("timestamp"))
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 

@@ -140,3 +140,36 @@ def test_empty_input_is_an_error(spark, sf, tmp_path):
 
 def test_rules_are_consistent():
     assert set(rules.SKILL_LIST_ALIASES) == {k.lower() for k in rules.SKILL_LIST_ALIASES}
+
+
+def test_bad_dates_do_not_end_the_job(spark):
+    from jobweave.operators.normalize import normalize_dates
+    df = spark.createDataFrame([("not a date", "999999999 months ago", None), ("2026-01-05", "3 days ago", None)],
+                               "crawled_at string, posted_date string, expiry_date string")
+    got = normalize_dates(df, as_of="2026-02-01").collect()
+    assert len(got) == 2
+
+
+def test_repeated_details_keep_one_posting(spark):
+    from jobweave.operators import ingest
+    card = spark.createDataFrame([("u", "a")], "url string, job_title string")
+    detail = spark.createDataFrame([("u", "old", "2026-01-01"), ("u", "new", "2026-01-02")],
+                                   "url string, job_title string, crawled_at string")
+    assert [r.job_title for r in ingest.overlay(card, detail).collect()] == ["new"]
+
+
+def test_bare_less_than_and_blank_titles(spark):
+    from jobweave.functions import text
+    from jobweave.operators.cleaning import drop_missing_titles
+    df = spark.createDataFrame([("lương < 10 triệu, kinh nghiệm > 2 năm <b>SQL</b>",), ("\t ",)], "t string")
+    got = drop_missing_titles(df, "t").select(text.strip_html("t").alias("x")).collect()
+    assert [r.x for r in got] == ["lương < 10 triệu, kinh nghiệm > 2 năm SQL"]
+
+
+def test_no_cap_on_skills_or_on_the_relevant_part(spark):
+    from jobweave.functions import skills
+    from jobweave.operators import ingest
+    df = spark.createDataFrame([("x", "y " * 400 + "python sql data engineer", ["s%d" % k for k in range(60)])],
+                               "job_title string, job_description string, s array<string>")
+    row = df.select(ingest.is_relevant().alias("r"), skills.normalize_skills("s").alias("s")).first()
+    assert row.r and len(row.s) == 60
