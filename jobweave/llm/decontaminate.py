@@ -157,34 +157,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Null and empty texts and items without a token overlap with nothing; a null
     item id is left out; an empty benchmark gives empty lists.  Repeated rows are
     each reported.  Texts are scanned whole and nothing is shuffled; a benchmark
-    of several blocks takes one pass a block, joined by id.
+    of several blocks takes one pass a block, with the hits so far written in between.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = []
-    for seeds in blocks(benchmark, item_col, item_text, s):
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(HITS_SQL).alias("hits"))
+    for n, seeds in enumerate(blocks(benchmark, item_col, item_text, s)):
+        if n:           # a task holds the seeds of one block
+            rows = shared.staged(rows, "scanned")
         shared_seeds = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def work(batches, b=shared_seeds):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_found(batch.column(1), b.value), HITS)],
-                                                 names=["id", "hits"])
-        kind = rows.schema["id"].dataType.simpleString()
-        parts.append(shared.map_arrow(rows, work, f"id {kind}, hits {HITS_SQL}"))
-    if not parts:
-        return rows.select(F.col("id").alias(id_col), F.array().cast(HITS_SQL).alias("hits"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.union(p)
-        out = out.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
-    return out.withColumnRenamed("id", id_col)
+                before = batch.column(2).to_pylist()
+                found = [x + y for x, y in zip(before, _found(batch.column(1), b.value))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, HITS)], names=["id", "text", "hits"])
+        rows = shared.map_arrow(rows, work, f"id {kind}, text string, hits {HITS_SQL}")
+    return rows.select(F.col("id").alias(id_col), F.array_sort("hits").alias("hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                   item_text: str = "text", s: Settings = Settings()) -> DataFrame:
     """docs without those that overlap a benchmark item; all columns and other rows stay as they are."""
     at = docs.columns.index(text_col)
-    for seeds in blocks(benchmark, item_col, item_text, s):
+    for n, seeds in enumerate(blocks(benchmark, item_col, item_text, s)):
+        if n:           # a task holds the seeds of one block
+            docs = shared.staged(docs, "scanned")
         shared_seeds = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def work(batches, b=shared_seeds):

@@ -305,6 +305,10 @@ def test_decontamination_of_hard_rows(hard, none, spark):
     assert kept.count() == len(HARD) - 4
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert decontaminate.overlaps(hard, bench.limit(0)).count() == len(HARD)
+    bench = spark.createDataFrame([(1, PASSAGE), (2, prose(50))], "item_id long, text string")
+    small = decontaminate.Settings(block_bytes=100)          # two passes report repeated rows one by one too
+    once, twice = (sorted(map(str, decontaminate.overlaps(hard, bench, s=s).collect())) for s in (decontaminate.Settings(), small))
+    assert once == twice and len(twice) == len(HARD)
 
 
 # 6 training order -------------------------------------------------------------------------------
