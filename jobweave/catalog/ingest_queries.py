@@ -116,13 +116,13 @@ def _(spark, d):
     return lines.groupBy(readers.dated_file_columns(name)["file_source"].alias("source_website")).agg(F.count("*").alias("n"))
 
 
-@query("a11_append_new", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("a11_append_new", "SELECT o_orderkey, o_custkey FROM orders")
 def _(spark, d):
     path = _fresh(spark, d, "append")
     orders = L.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     writers.append_new(spark, orders.where("o_orderstatus = 'F'"), path, "o_orderkey")
     writers.append_new(spark, orders, path, "o_orderkey")
-    return spark.read.parquet(path).where("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey")
+    return spark.read.parquet(path).select("o_orderkey", "o_custkey")
 
 
 @query("a13_overview_summary", O.gold("""
@@ -178,60 +178,99 @@ def _(spark, d):
     return X.with_json_ld(L.table(spark, d, "pages")).select("page_id")
 
 
+_ALL = list(dict.fromkeys(s for g in rules.SKILL_TAXONOMY.values() for s in g))
+_SCAN = ", ".join(f"CASE WHEN regexp_matches(b, {O.q(chr(92) + 'b' + __import__('re').escape(s.lower()) + chr(92) + 'b')}) THEN {O.q(s)} END" for s in _ALL)
+_FOUND = f"list_filter([{_SCAN}], lambda s: s IS NOT NULL AND length(s) >= 2)"
+
+
+def _level(source, x="job_title"):
+    return O.case_rules(f"lower({x})", rules.SOURCE_LEVEL_RULES[source], O.q(rules.SOURCE_LEVEL_DEFAULT))
+
+
+_NUMS = "list_transform(regexp_extract_all(salary, '\\d[\\d,\\.]*'), lambda v: TRY_CAST(replace(v, ',', '') AS DOUBLE))"
+_P = "lower(strip_accents(trim(salary)))"
+_VAGUE = O.any_of(_P, [sal.strip_plain(w) for w in rules.INGEST_NEGOTIABLE_WORDS])
+_USD = f"(contains(salary, '$') OR contains({_P}, 'usd'))"
+_SCALE = f"(CASE WHEN {_USD} THEN 1 ELSE 1e6 END)"
+
+
 _LOC = "trim(location)"
+_PAY = "CAST(100 + ingest_seq % 900 AS INT) || '-' || CAST(1000 + ingest_seq % 900 AS INT) || ' USD' AS salary"
 
 
 @query("b2_posting_source_a", O.over(LD, f"""
-SELECT ingest_seq, company_name, CAST(100 + ingest_seq % 900 AS DOUBLE) AS salary_min, CAST(1000 + ingest_seq % 900 AS DOUBLE) AS salary_max, 'USD' AS salary_currency,
+SELECT ingest_seq, trim(job_title) AS job_title, {_level('itviec', 'trim(job_title)')} AS job_level, company_name, CAST(100 + ingest_seq % 900 AS DOUBLE) AS salary_min,
+  CAST(1000 + ingest_seq % 900 AS DOUBLE) AS salary_max, 'USD' AS salary_currency, '2001-09-30T00:00:00' AS expiry_date,
   CASE WHEN {_LOC} = '' THEN 'Quarter' ELSE {_LOC} END || CASE WHEN ingest_seq % 3 = 0 THEN ', Second' ELSE '' END AS location,
   CASE WHEN ingest_seq % 2 = 0 THEN 'Part Time' ELSE 'Full Time' END AS employment_type, array_to_string({O.comma_list('skills_required')}, '|') AS skills_required,
   {O.strip_html('job_description')} AS job_description, {O.strip_html('benefits')} AS benefits, posted_date, 'IT / Technology' AS industry FROM ld"""))
 def _(spark, d):
     return X.posting_from_ld_a(ld(spark, d), "ingest_seq").select(
-        "ingest_seq", "company_name", "salary_min", "salary_max", "salary_currency", "location", "employment_type", _J("skills_required"),
-        "job_description", "benefits", "posted_date", "industry")
+        "ingest_seq", "job_title", "job_level", "company_name", "salary_min", "salary_max", "salary_currency", "expiry_date", "location",
+        "employment_type", _J("skills_required"), "job_description", "benefits", "posted_date", "industry")
 
 
 @query("b3_posting_source_b", O.over(LD, f"""
-SELECT ingest_seq, job_title, company_name, 'Quarter' AS location, CAST(100 + ingest_seq % 900 AS DOUBLE) AS salary_min, CASE WHEN ingest_seq % 2 = 0 THEN 'Part-time' ELSE 'Full-time' END AS employment_type,
-  array_to_string({O.comma_list('skills_required')}, '|') AS skills_required, CAST(CASE WHEN ingest_seq % 5 = 0 THEN 3.0 ELSE 2.5 END AS DOUBLE) AS experience_years,
-  substr(posted_date, 1, 10) AS posted_date, '2001-09-30' AS expiry_date FROM ld"""))
+SELECT ingest_seq, job_title, {_level('careerviet')} AS job_level, company_name, 'Quarter' AS location, {_PAY}, CAST(100 + ingest_seq % 900 AS DOUBLE) AS salary_min,
+  CAST(1000 + ingest_seq % 900 AS DOUBLE) AS salary_max, 'USD' AS salary_currency, CASE WHEN ingest_seq % 2 = 0 THEN 'Part-time' ELSE 'Full-time' END AS employment_type,
+  array_to_string(CASE WHEN skills_required = '' THEN {_FOUND} ELSE {O.comma_list('skills_required')} END, '|') AS skills_required,
+  CAST(CASE WHEN ingest_seq % 5 = 0 THEN 3.0 ELSE 2.5 END AS DOUBLE) AS experience_years, body AS job_description, benefits,
+  substr(posted_date, 1, 10) AS posted_date, '2001-09-30' AS expiry_date, 'IT / Technology' AS industry
+FROM (SELECT *, {O.strip_html('job_description')} AS body, lower(body) AS b FROM ld)"""))
 def _(spark, d):
     return X.posting_from_ld_b(ld(spark, d), "ingest_seq").select(
-        "ingest_seq", "job_title", "company_name", "location", "salary_min", "employment_type", _J("skills_required"), "experience_years",
-        "posted_date", "expiry_date")
+        "ingest_seq", "job_title", "job_level", "company_name", "location", "salary", "salary_min", "salary_max", "salary_currency", "employment_type",
+        _J("skills_required"), "experience_years", "job_description", "benefits", "posted_date", "expiry_date", "industry")
 
 
 @query("b4_overlay_source_c", O.over(LD, f"""
-SELECT ingest_seq, nullif({O.strip_html('job_description')}, '') AS job_description, nullif({O.strip_html('benefits')}, '') AS benefits,
-  CAST(100 + ingest_seq % 900 AS DOUBLE) AS salary_min, CASE WHEN ingest_seq % 2 = 0 THEN 'Part-time' ELSE 'Full-time' END AS employment_type,
-  CAST(CASE WHEN ingest_seq % 5 <> 0 THEN 2.5 END AS DOUBLE) AS experience_years, nullif(substr(posted_date, 1, 10), '') AS posted_date FROM ld"""))
+SELECT ingest_seq, nullif({O.strip_html('job_description')}, '') AS job_description, nullif({O.strip_html('benefits')}, '') AS benefits, {_PAY},
+  CAST(100 + ingest_seq % 900 AS DOUBLE) AS salary_min, CAST(1000 + ingest_seq % 900 AS DOUBLE) AS salary_max, 'USD' AS salary_currency,
+  CASE WHEN ingest_seq % 2 = 0 THEN 'Part-time' ELSE 'Full-time' END AS employment_type, array_to_string({O.comma_list('skills_required')}, '|') AS skills_required,
+  CAST(CASE WHEN ingest_seq % 5 <> 0 THEN 2.5 END AS DOUBLE) AS experience_years, nullif(substr(posted_date, 1, 10), '') AS posted_date,
+  '2001-09-30' AS expiry_date FROM ld"""))
 def _(spark, d):
     return X.overlay_from_ld_c(ld(spark, d), "ingest_seq").select(
-        "ingest_seq", "job_description", "benefits", "salary_min", "employment_type", "experience_years", "posted_date")
+        "ingest_seq", "job_description", "benefits", "salary", "salary_min", "salary_max", "salary_currency", "employment_type",
+        _J("skills_required"), "experience_years", "posted_date", "expiry_date")
 
 
+# records under the newer names with lists of objects, and (odd numbers) under the older ones with lists of strings
 @query("b5_api_records", O.raw(f"""
-SELECT ingest_seq, regexp_replace(url, '\\?.*$', '') AS url, trim(job_title) AS job_title, company_name, location,
+SELECT ingest_seq, regexp_replace(url, '\\?.*$', '') AS url, trim(job_title) AS job_title, company_name, location, salary,
+  CASE WHEN salary_min > 0 THEN salary_min ELSE lo END AS salary_min, CASE WHEN salary_min > 0 THEN salary_max ELSE hi END AS salary_max,
+  CASE WHEN salary_min > 0 THEN 'USD' ELSE currency END AS salary_currency,
   coalesce({O.sql_map({str(k): v for k, v in rules.WORKING_TYPE_CODES.items()})}[CAST(ingest_seq % 8 AS VARCHAR)], 'Full-time') AS employment_type,
   array_to_string({O.comma_list('skills_required')}, '|') AS skills_required, CASE WHEN benefits <> '' THEN 'Perk: ' || {O.strip_html('benefits')} || '; Gym' ELSE 'Perk; Gym' END AS benefits,
-  substr(posted_date, 1, 10) AS posted_date, industry, {O.case_rules("lower(job_level || ' ' || trim(job_title))", rules.SOURCE_LEVEL_RULES['boardE'], "'Mid-level'")} AS job_level
-FROM raw_jobs WHERE trim(job_title) <> ''"""))
+  {O.strip_html('job_description')} AS job_description, substr(posted_date, 1, 10) AS posted_date, industry, {_level('vietnamworks', "job_level || ' ' || trim(job_title)")} AS job_level
+FROM (SELECT *, CASE WHEN {_VAGUE} THEN 'negotiable' WHEN {_USD} THEN 'USD' ELSE 'VND' END AS currency,
+    CASE WHEN NOT {_VAGUE} AND len({_NUMS}) > 0 THEN least({_NUMS}[1], {_NUMS}[-1]) * {_SCALE} END AS lo,
+    CASE WHEN NOT {_VAGUE} AND len({_NUMS}) > 0 THEN greatest({_NUMS}[1], {_NUMS}[-1]) * {_SCALE} END AS hi
+  FROM (SELECT * REPLACE (CASE WHEN salary = '' THEN 'Thỏa thuận' ELSE salary END AS salary) FROM raw_jobs WHERE trim(job_title) <> ''))"""))
 def _(spark, d):
     raw = L.raw(spark, d)
-    rec = F.to_json(F.struct(
-        F.col("job_title").alias("jobTitle"), F.col("company_name").alias("companyName"),
-        F.when(F.col("url") == "n/a", "https://n/a").otherwise(F.concat("url", F.lit("?src=api"))).alias("jobUrl"),
-        F.col("salary_min").alias("salaryMin"), F.col("salary_max").alias("salaryMax"), F.col("posted_date").alias("approvedOn"),
-        F.col("job_level").alias("jobLevel"), (F.col("ingest_seq") % 8).cast("int").alias("typeWorkingId"),
-        F.array(F.struct(F.col("location").alias("cityName"))).alias("workingLocations"),
-        F.transform(skills.parse_skill_list("skills_required"), lambda s: F.struct(s.alias("skillName"))).alias("skills"),
-        F.array(F.struct(F.lit("Perk").alias("benefitName"), tx.strip_html("benefits").alias("benefitValue")),
+    url = F.when(F.col("url") == "n/a", "https://n/a").otherwise(F.concat("url", F.lit("?src=api")))
+    listed = skills.parse_skill_list("skills_required")
+    perk = tx.strip_html("benefits")
+    same = ["salary_min AS salaryMin", "salary_max AS salaryMax", "posted_date AS approvedOn", "CAST(ingest_seq % 8 AS INT) AS typeWorkingId",
+            "array(named_struct('cityName', location)) AS workingLocations", "job_description AS jobDescription"]
+    same = [F.expr(e) for e in same]
+    newer = F.to_json(F.struct(
+        F.col("job_title").alias("jobTitle"), F.col("company_name").alias("companyName"), url.alias("jobUrl"), F.col("job_level").alias("jobLevel"),
+        F.col("salary").alias("prettySalary"), F.transform(listed, lambda s: F.struct(s.alias("skillName"))).alias("skills"),
+        F.array(F.struct(F.lit("Perk").alias("benefitName"), perk.alias("benefitValue")),
                 F.struct(F.lit("Gym").alias("benefitName"), F.lit("").alias("benefitValue"))).alias("benefits"),
-        F.col("job_description").alias("jobDescription"), F.array(F.struct(F.col("industry").alias("industryV3Name"))).alias("industriesV3")))
+        F.array(F.struct(F.col("industry").alias("industryV3Name"))).alias("industriesV3"), *same))
+    older = F.to_json(F.struct(
+        F.col("job_title").alias("title"), F.col("company_name"), url.alias("canonical"), F.col("job_level").alias("jobLevelVI"),
+        F.col("salary").alias("prettySalaryVI"), listed.alias("skills"),
+        F.array(F.when(perk != "", F.concat(F.lit("Perk: "), perk)).otherwise("Perk"), F.lit("Gym")).alias("benefits"),
+        F.array(F.struct(F.col("industry").alias("name"))).alias("industries"), *same))
+    rec = F.when(F.col("ingest_seq") % 2 == 1, older).otherwise(newer)
     out = X.posting_from_api(raw.select("ingest_seq", F.col("url").alias("u"), rec.alias("record")))
     return out.select("ingest_seq", F.when(F.col("u") == "n/a", "n/a").otherwise(F.col("url")).alias("url"), "job_title", "company_name", "location",
-                      "employment_type", _J("skills_required"), "benefits", "posted_date", "industry", "job_level")
+                      "salary", "salary_min", "salary_max", "salary_currency", "employment_type", _J("skills_required"), "benefits",
+                      "job_description", "posted_date", "industry", "job_level")
 
 
 @query("b6_html_to_text", f"SELECT page_id, {O.strip_html('html')} AS body FROM pages")
@@ -239,6 +278,16 @@ def _(spark, d):
     return L.table(spark, d, "pages").select("page_id", tx.strip_html("html").alias("body"))
 
 
+_MARKED = ["<p>Caf&eacute; &#233; &#xE9; l&agrave;m vi&#7879;c</p> &amp;lt; 1 < ", " &ndash; &nope; &#128512;&#xD800;&nbsp;<br/>&copy;&#39;&quot;"]
+_PLAIN = ["Café é é làm việc &lt; 1 < ", " – &nope; 😀\ufffd ©'\""]
+
+
+@query("b6_html_entities", f"SELECT o_orderkey, {O.q(_PLAIN[0])} || o_orderkey || {O.q(_PLAIN[1])} AS body FROM orders")
+def _(spark, d):
+    html = F.concat(F.lit(_MARKED[0]), F.col("o_orderkey").cast("string"), F.lit(_MARKED[1]))
+    return L.table(spark, d, "orders").select("o_orderkey", tx.strip_html(html).alias("body"))
+
+
 @query("b7_canonical_url", """SELECT page_id, regexp_replace(url, '\\?.*$', '') AS canonical, regexp_matches(url, '(?i)^https?://[^/?#]+') AS valid,
   'https://x.org' || regexp_replace('/p?id=' || page_id, '\\?.*$', '') AS resolved FROM pages""")
 def _(spark, d):
@@ -257,29 +306,26 @@ def _(spark, d):
 _PHRASES = "coalesce(" + ", ".join(f"nullif(regexp_extract(job_description, {O.q('(?i)' + p)}, 0), '')" for p in rules.EXPERIENCE_PHRASES) + ", '')"
 
 
-@query("b9_experience_phrase", O.raw(f"SELECT ingest_seq, substr(trim({_PHRASES}), 1, 100) AS phrase FROM raw_jobs"))
+@query("b9_experience_phrase", O.raw(f"SELECT ingest_seq, trim({_PHRASES}) AS phrase FROM raw_jobs"))
 def _(spark, d):
     return L.raw(spark, d).select("ingest_seq", experience.experience_phrase("job_description").alias("phrase"))
 
 
 @query("b10_phrase_years", O.raw(f"""SELECT ingest_seq, TRY_CAST(nullif(regexp_extract(p, '\\d+(?:\\.\\d+)?', 0), '') AS DOUBLE) AS years,
-  CAST(NULL AS DOUBLE) AS bare FROM (SELECT ingest_seq, substr(trim({_PHRASES}), 1, 100) AS p FROM raw_jobs)"""))
+  CAST(NULL AS DOUBLE) AS bare FROM (SELECT ingest_seq, trim({_PHRASES}) AS p FROM raw_jobs)"""))
 def _(spark, d):
     return L.raw(spark, d).select("ingest_seq", experience.phrase_years(experience.experience_phrase("job_description")).alias("years"),
                                   experience.phrase_years(F.col("ingest_seq").cast("string")).alias("bare"))
 
 
-_ALL = list(dict.fromkeys(s for g in rules.SKILL_TAXONOMY.values() for s in g))
-_SCAN = ", ".join(f"CASE WHEN regexp_matches(b, {O.q(chr(92) + 'b' + __import__('re').escape(s.lower()) + chr(92) + 'b')}) THEN {O.q(s)} END" for s in _ALL)
-
-
 @query("b11_taxonomy_scan", O.raw(f"""
 SELECT ingest_seq, array_to_string(list_filter(every, lambda s, i: list_position(every, s) = i), '|') AS found
-FROM (SELECT ingest_seq, list_concat(list_filter([{_SCAN}], lambda s: s IS NOT NULL AND length(s) >= 2),
-    CASE WHEN contains(job_title, '(') THEN ['Spark', 'Airflow'] ELSE [] END) AS every
-  FROM (SELECT ingest_seq, job_title, lower(job_title || ' ' || skills_required) AS b FROM raw_jobs))"""))
+FROM (SELECT ingest_seq, list_concat({_FOUND}, CASE WHEN contains(job_title, '(') THEN ['Spark', 'Airflow'] ELSE [] END) AS every
+  FROM (SELECT ingest_seq, job_title, lower(job_title || ' ' || job_description || ' ' || skills_required || ' ' || {O.q(", ".join(_ALL[::3]))}) AS b FROM raw_jobs))"""))
 def _(spark, d):
-    return L.raw(spark, d).select("ingest_seq", F.array_join(skills.taxonomy_scan("job_title", "skills_required"), "|").alias("found"))
+    # more names than any list of one page
+    many = F.concat_ws(" ", "job_description", "skills_required", F.lit(", ".join(_ALL[::3])))
+    return L.raw(spark, d).select("ingest_seq", F.array_join(skills.taxonomy_scan("job_title", many), "|").alias("found"))
 
 
 _BODY = "concat('Mô tả công việc ', job_description, ' Yêu cầu công việc ', skills_required, ' Quyền lợi ', benefits, ' Cập nhật gần nhất x Thông tin chung y')"
@@ -316,11 +362,14 @@ SELECT ingest_seq, CASE WHEN contains(lower(location), 'hà nội') THEN 'Hà N
   WHEN contains(lower(location), 'hcm') THEN 'HCM' ELSE '' END AS location,
   CASE WHEN regexp_matches(lower(employment_type), 'fulltime|full.time') THEN 'Full-time' WHEN regexp_matches(lower(employment_type), 'part.time') THEN 'Part-time'
     WHEN contains(lower(location || employment_type), 'remote') THEN 'Remote' ELSE 'Full-time' END AS employment_type,
-  CASE WHEN contains(posted_date, 'days') THEN posted_date ELSE '' END AS posted_date FROM raw_jobs"""))
+  CASE WHEN contains(posted_date, 'days') THEN posted_date ELSE '' END AS posted_date,
+  array_to_string(list_filter(every, lambda s, i: list_position(every, s) = i), '|') AS skills_required
+FROM (SELECT *, list_concat("""  + _FOUND + """, CASE WHEN contains(job_title, '(') THEN ['Spark', 'Airflow'] ELSE [] END) AS every
+  FROM (SELECT *, lower(location || ' ' || employment_type || ' ' || skills_required || ' ' || posted_date) AS b FROM raw_jobs))"""))
 def _(spark, d):
-    df = L.raw(spark, d).withColumn("card", F.concat_ws(" ", "job_title", "company_name", "salary", "location", "employment_type", "posted_date"))
+    df = L.raw(spark, d).withColumn("card", F.concat_ws(" ", "job_title", "company_name", "salary", "location", "employment_type", "skills_required", "posted_date"))
     m = X.card_metadata("card", "job_title", "company_name", "salary")
-    return df.select("ingest_seq", *[m[k].alias(k) for k in ("location", "employment_type", "posted_date")])
+    return df.select("ingest_seq", *[m[k].alias(k) for k in ("location", "employment_type", "posted_date")], F.array_join(m["skills_required"], "|").alias("skills_required"))
 
 
 @query("b16_source_level", O.raw("SELECT ingest_seq, CASE source_website " + " ".join(
@@ -330,13 +379,6 @@ def _(spark, d):
     return L.raw(spark, d).select("ingest_seq", experience.source_level().alias("job_level"))
 
 
-_NUMS = "list_transform(regexp_extract_all(salary, '\\d[\\d,\\.]*'), lambda v: TRY_CAST(replace(v, ',', '') AS DOUBLE))"
-_P = "lower(strip_accents(trim(salary)))"
-_VAGUE = O.any_of(_P, [sal.strip_plain(w) for w in rules.INGEST_NEGOTIABLE_WORDS])
-_USD = f"(contains(salary, '$') OR contains({_P}, 'usd'))"
-_SCALE = f"(CASE WHEN {_USD} THEN 1 ELSE 1e6 END)"
-
-
 @query("b17_ingest_salary", O.raw(f"""
 SELECT ingest_seq, CASE WHEN salary = '' THEN '' WHEN {_VAGUE} THEN 'negotiable' WHEN {_USD} THEN 'USD' ELSE 'VND' END AS ingest_currency,
   CASE WHEN salary <> '' AND NOT {_VAGUE} AND len({_NUMS}) > 0 THEN least({_NUMS}[1], {_NUMS}[-1]) * {_SCALE} END AS ingest_min,

@@ -79,9 +79,9 @@ def _(spark, d):
 
 @query("e9_equality_filters", O.gold("""
 SELECT job_hash, job_title FROM gold WHERE city = 'Hanoi' AND role_category = 'Data Engineer'
-  AND source_website = 'boardB' AND experience_level_inferred = 'fresher'"""))
+  AND source_website = 'topcv' AND experience_level_inferred = 'fresher'"""))
 def _(spark, d):
-    spec = G.FilterSpec(cities=["Hanoi"], roles=["Data Engineer"], sources=["boardB"], levels=["fresher"])
+    spec = G.FilterSpec(cities=["Hanoi"], roles=["Data Engineer"], sources=["topcv"], levels=["fresher"])
     return G.apply_filters(L.gold(spark, d), spec).select("job_hash", "job_title")
 
 
@@ -473,7 +473,9 @@ def _(spark, d):
     return K.completeness(L.raw(spark, d), "source_website", M.raw_checks())
 
 
-_PROFILE = ["job_title", "salary_min", "salary_max", "experience_years", "skills_required", "posted_date", "url"]
+_PROFILE = ["ingest_seq", "o_custkey", "job_title", "company_name", "salary", "salary_min", "salary_max", "salary_currency", "location",
+            "employment_type", "job_level", "skills_required", "experience_years", "job_description", "benefits", "requirements", "posted_date",
+            "expiry_date", "url", "source_website", "industry", "job_type", "crawled_at", "job_id"]
 
 
 @query("g25_non_null_profile", O.raw(" UNION ALL ".join(

@@ -52,7 +52,7 @@ def strip_html(x: str) -> str:
                 r"(?s)</?[A-Za-z!?][^>]*>"):
         out = f"regexp_replace({out}, {q(pat)}, ' ', 'g')"
     for a, b in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&apos;", "'"), ("&amp;", "&")]:
+                 ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
         out = f"replace({out}, {q(a)}, {q(b)})"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
@@ -242,7 +242,7 @@ silver AS (SELECT *, CAST(greatest(date_diff('day', posted_date_dt, DATE '{D.AS_
 DASH_SKILLS = (
     "list_filter(list_transform(regexp_split_to_array(coalesce(skills_str, ''), '[;,\\n|]'), "
     "lambda s: regexp_replace(trim(lower(s)), '^[\"'']+|[\"'']+$', '', 'g')), "
-    f"lambda s: length(s) > 2 AND length(s) < 40 AND NOT list_contains({sql_list(rules.SOFT_SKILLS)}, s))")
+    f"lambda s: s <> '' AND NOT list_contains({sql_list(rules.SOFT_SKILLS)}, s))")
 
 GOLD = f"""{SILVER},
 gold AS (SELECT *, {role('job_title')} AS role_category, {DASH_SKILLS} AS dash_skills,

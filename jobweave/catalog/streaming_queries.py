@@ -17,7 +17,7 @@ def _posting_files(spark, d):
     path = _fresh(spark, d, "stream_in")
     raw = L.raw(spark, d).select("job_id", "job_title", "source_website", "crawled_at")
     raw.write.json(path)
-    raw.where("source_website = 'boardA'").write.mode("append").json(path)
+    raw.where("source_website = 'careerviet'").write.mode("append").json(path)
     return path
 
 

@@ -181,10 +181,11 @@ _PATTERNS = {"ml": r"(?i)\b(pytorch|tensorflow|nlp|sklearn)\b", "english": r"(?i
 
 
 @query("k12_keyword_share", O.raw(" UNION ALL ".join(
-    f"SELECT '{k}' AS metric, round(avg(CASE WHEN regexp_matches(skills_required, {O.q(p)}) THEN 1.0 ELSE 0 END), 6) AS value FROM raw_jobs"
+    f"SELECT '{k}' AS metric, round(avg(CASE WHEN regexp_matches({_JD_RAW}, {O.q(p)}) THEN 1.0 ELSE 0 END), 6) AS value FROM raw_jobs"
     for k, p in _PATTERNS.items())))
 def _(spark, d):
-    return rounded(KW.keyword_share(L.raw(spark, d), "skills_required", _PATTERNS), "value")
+    df = L.raw(spark, d).withColumn("jd", F.concat_ws("\n", "job_title", "skills_required", "job_description"))
+    return rounded(KW.keyword_share(df, "jd", _PATTERNS), "value")
 
 
 # -- L ---------------------------------------------------------------------------------
@@ -217,11 +218,11 @@ l2 AS (SELECT *, {O.sql_map(MT.header_table())}[{_HEAD}] AS sec FROM l1),
 l3 AS (SELECT *, count(sec) OVER (PARTITION BY resume_id ORDER BY pos) AS seg FROM l2),
 l4 AS (SELECT resume_id, seg, max(sec) AS sec, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (sec IS NULL), '') AS body FROM l3 GROUP BY 1, 2),
 l5 AS (SELECT * FROM l4 WHERE seg > 0 QUALIFY row_number() OVER (PARTITION BY resume_id, sec ORDER BY seg DESC) = 1),
-l6 AS (SELECT resume_id, string_agg(line, chr(10) ORDER BY pos) AS head12 FROM l1 WHERE pos <= 12 GROUP BY 1),
+l6 AS (SELECT resume_id, string_agg(line, chr(10) ORDER BY pos) AS whole FROM l1 GROUP BY 1),
 l7 AS (SELECT resume_id, max(seg) AS segs FROM l3 GROUP BY 1)""",
     "SELECT l0.resume_id, " + ", ".join(
         f"coalesce((SELECT body FROM l5 WHERE l5.resume_id = l0.resume_id AND sec = '{s}'), '') AS {s}" for s in _SECTIONS if s != "summary")
-    + """, CASE WHEN segs = 0 THEN head12 ELSE coalesce(nullif((SELECT body FROM l5 WHERE l5.resume_id = l0.resume_id AND sec = 'summary'), ''),
+    + """, CASE WHEN segs = 0 THEN whole ELSE coalesce(nullif((SELECT body FROM l5 WHERE l5.resume_id = l0.resume_id AND sec = 'summary'), ''),
       (SELECT body FROM l4 WHERE l4.resume_id = l0.resume_id AND seg = 0), '') END AS summary
     FROM l0 LEFT JOIN l6 USING (resume_id) LEFT JOIN l7 USING (resume_id)"""))
 def _(spark, d):
@@ -324,7 +325,7 @@ def _(spark, d):
     return MT.ats_keywords(L.raw(spark, d), "ingest_seq", "job_description")
 
 
-_REC = (f"list_transform(({_bykey('missing')})[1:12], lambda s: coalesce({O.sql_map(rules.LEARNING_SUGGESTIONS)}[s], "
+_REC = (f"list_transform({_bykey('missing')}, lambda s: coalesce({O.sql_map(rules.LEARNING_SUGGESTIONS)}[s], "
         f"{O.q(rules.LEARNING_TEMPLATE[0])} || s || {O.q(rules.LEARNING_TEMPLATE[1])}))")
 
 
@@ -371,16 +372,17 @@ def _(spark, d):
 
 
 @query("j6_keyword_set_overlap", O.over(
-    f"bk AS (SELECT item_id, list_distinct({kw_tokens('text')}) AS bt FROM benchmark), dk AS (SELECT doc_id, list_distinct({kw_tokens('text')}) AS dt FROM documents), "
-    "lk AS (SELECT doc_id, quality FROM labels)",
-    """SELECT doc_id, item_id, array_to_string(list_sort(list_filter(dt, lambda s: list_contains(bt, s))), '|') AS shared
-    FROM dk JOIN lk USING (doc_id) JOIN bk ON item_id = doc_id"""))
+    tfidf("documents", "text", "doc_id", max_features=350, min_df=3) + """, r AS (SELECT doc_id, term, round(weight, 9) AS weight FROM kw),
+t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 20),
+ks AS (SELECT doc_id, list(term) AS terms FROM t GROUP BY 1)""",
+    """SELECT a.doc_id, b.doc_id AS other_id, array_to_string(list_sort(list_filter(a.terms, lambda s: list_contains(b.terms, s))), '|') AS shared
+    FROM ks a JOIN ks b ON b.doc_id = a.doc_id + 1"""))
 def _(spark, d):
-    b = L.table(spark, d, "benchmark").select("item_id", KW.tokens("text").alias("bt"))
-    docs = D.documents(spark, d).select("doc_id", KW.tokens("text").alias("dt"))
-    lab = L.table(spark, d, "labels").select("doc_id")
-    df = docs.join(lab, "doc_id").join(b, F.col("item_id") == F.col("doc_id"))
-    return df.select("doc_id", "item_id", F.array_join(F.array_sort(F.array_intersect("dt", "bt")), "|").alias("shared"))
+    docs = D.documents(spark, d)
+    lists = KW.keyword_lists(docs, "text", "doc_id", 20, max_features=350, min_df=3)
+    pairs = docs.select("doc_id", (F.col("doc_id") + 1).alias("other_id"))
+    out = KW.keyword_set_overlap(pairs, lists, "doc_id", "other_id", "doc_id")
+    return out.withColumn("shared", F.array_join("shared", "|"))
 
 
 @query("o6_radar", O.over(MATCH, " UNION ALL ".join(

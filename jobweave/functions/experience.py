@@ -69,16 +69,17 @@ def source_level(title="job_title", source="source_website", table=None) -> Colu
 
 
 def experience_phrase(c: str | Column) -> Column:
-    """First phrase that mentions years of experience, at most 100 characters."""
-    hits = [F.nullif(F.regexp_extract(text(c), "(?iuU)" + p, 0), F.lit(""))
-            for p in rules.EXPERIENCE_PHRASES]
-    return F.substring(F.trim(F.coalesce(*hits, F.lit(""))), 1, 100)
+    """First phrase that mentions years of experience."""
+    def found(t: Column) -> Column:
+        hits = [F.nullif(F.regexp_extract(t, "(?iuU)" + p, 0), F.lit("")) for p in rules.EXPERIENCE_PHRASES]
+        return F.trim(F.coalesce(*hits, F.lit("")))
+    return let(text(c), found)
 
 
 def phrase_years(c: str | Column) -> Column:
     """First number of a phrase; a bare integer has no unit and gives NULL."""
-    t = F.trim(text(c))
-    return F.when(~t.rlike(r"^\d+$"), F.regexp_extract(t, r"\d+(?:\.\d+)?", 0).try_cast("double"))
+    return let(F.trim(text(c)), lambda t: F.when(
+        ~t.rlike(r"^\d+$"), F.regexp_extract(t, r"\d+(?:\.\d+)?", 0).try_cast("double")))
 
 
 def _all_years(c: str | Column) -> Column:

@@ -34,12 +34,13 @@ def normalize_skills(arr: str | Column, aliases=None, cap: int | None = None) ->
     return named if cap is None else F.slice(named, 1, cap)
 
 
-def dashboard_skills(c: str | Column = "skills_str") -> Column:
-    """Lower-case items of 3..39 characters that are not soft skills."""
+def dashboard_skills(c: str | Column = "skills_str", shortest: int = 1, longest: int | None = None) -> Column:
+    """Lower-case items that are not soft skills, of ``shortest`` to ``longest`` characters if given."""
     strip = lambda x: F.regexp_replace(F.trim(F.lower(x)), r"""^["']+|["']+$""", "")
     items = F.transform(F.split(text(c), r"[;,\n|]"), strip)
     soft = [F.lit(w) for w in rules.SOFT_SKILLS]
-    return F.filter(items, lambda x: (F.length(x) > 2) & (F.length(x) < 40) & ~x.isin(*soft))
+    fits = lambda x: F.length(x) >= shortest if longest is None else F.length(x).between(shortest, longest)
+    return F.filter(items, lambda x: fits(x) & ~x.isin(*soft))
 
 
 def chart_skills(c: str | Column = "skills_str") -> Column:
@@ -153,23 +154,23 @@ def extract_skills_regex(c: str | Column, table: Mapping[str, str] | None = None
     return sort_ci(F.array_distinct(F.array_compact(F.array(*hits))))
 
 
-def taxonomy_scan(title: str | Column, description: str | Column | None = None, cap: int = 20,
-                  skip_pattern: str | None = None, taxonomy=None) -> Column:
-    """Taxonomy names with word boundaries, then parts of ``(a/b, c)`` in the title."""
+def taxonomy_scan(title: str | Column, description: str | Column | None = None, cap: int | None = None,
+                  skip_pattern: str | None = None, taxonomy=None, body: Column | None = None) -> Column:
+    """Taxonomy names with word boundaries, then parts of ``(a/b, c)`` in the title.
+
+    Names are sought in ``body``, or else in title and description.  ``cap`` keeps the first ones only.
+    """
     names = list(dict.fromkeys(s for g in (taxonomy or rules.SKILL_TAXONOMY).values() for s in g))
-    body = F.lower(text(title) if description is None
-                   else F.concat_ws(" ", text(title), text(description)))
-    found = F.filter(F.array(*[F.when(body.rlike(r"(?U)\b" + re.escape(s.lower()) + r"\b"), F.lit(s))
-                               for s in names]), lambda x: x.isNotNull())
-    groups = F.regexp_extract_all(text(title), F.lit(r"\(([^)]{3,60})\)"), F.lit(1))
+    if body is None:
+        body = text(title) if description is None else F.concat_ws(" ", text(title), text(description))
+    found = let(F.lower(body), lambda b: F.array_compact(F.array(*[
+        F.when(b.contains(s.lower()) & b.rlike(r"(?U)\b" + re.escape(s.lower()) + r"\b"), F.lit(s)) for s in names])))
+    groups = F.regexp_extract_all(text(title), F.lit(r"\(([^)]+)\)"), F.lit(1))
     parts = F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"[/,;]"))), lambda x: F.trim(x))
-    keep = lambda x: (F.length(x) >= 1) & (F.length(x) <= 40)
     if skip_pattern:
-        parts = F.filter(parts, lambda x: keep(x) & ~x.rlike(skip_pattern))
-    else:
-        parts = F.filter(parts, keep)
-    every = F.filter(F.concat(found, parts), lambda x: F.length(x) >= 2)
-    return F.slice(F.array_distinct(every), 1, cap)
+        parts = F.filter(parts, lambda x: ~x.rlike(skip_pattern))
+    every = F.array_distinct(F.filter(F.concat(found, parts), lambda x: F.length(x) >= 2))
+    return every if cap is None else F.slice(every, 1, cap)
 
 
 def normalize_items(arr: str | Column) -> Column:

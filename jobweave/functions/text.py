@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobweave import rules
-from jobweave.functions.common import as_col, text
+from jobweave.functions.common import as_col, let, text
 
 
 def clean_text_field(c: str | Column) -> Column:
@@ -17,18 +18,41 @@ def clean_text_field(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(one_line, r" {2,}", " "))
 
 
-# named entities decoded by strip_html; '&amp;' comes last (fixed values)
-HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                 ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+# every named reference of HTML that ends in ';'; a no-break space becomes a space
+NAMED_ENTITIES = {f"&{name}": " " if char == "\xa0" else char for name, char in html5.items() if name.endswith(";")}
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def decode_entities(c: str | Column) -> Column:
+    """Named and numeric character references decoded in one pass from left to right.
+
+    Unknown names stay as they are; numbers that name no character become U+FFFD.
+    """
+    table = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES.items() for x in kv])
+
+    def number(t: Column) -> Column:
+        digits = F.regexp_extract(t, r"&#[xX]?([0-9a-fA-F]+);", 1)
+        code = F.when(F.lower(F.substring(t, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code)), 8, "0")), "UTF-32")
+        return F.when(code == 160, " ").otherwise(F.coalesce(char, F.lit("\ufffd")))
+
+    def decoded(t: Column) -> Column:
+        return F.when(~t.startswith("&"), t).when(t.startswith("&#") & t.endswith(";"), number(t)).otherwise(
+            F.coalesce(F.try_element_at(table, t), t))
+
+    def every(t: Column) -> Column:
+        parts = F.regexp_extract_all(t, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))
+        return F.when(t.rlike(ENTITY), F.array_join(F.transform(parts, decoded), "")).otherwise(t)
+
+    return let(text(c), every)
 
 
 def strip_html(c: str | Column) -> Column:
     """Visible text of an HTML fragment: scripts, styles, comments and tags removed."""
     out = F.regexp_replace(text(c), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)</?[A-Za-z!?][^>]*>", " ")
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(decode_entities(out), r"\s+", " "))
 
 
 def remove_html_tags(c: str | Column) -> Column:

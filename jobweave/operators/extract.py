@@ -64,6 +64,11 @@ def _month_years() -> Column:
     return half_even(_get("$.experienceRequirements.monthsOfExperience", "double") / 12, 1)
 
 
+def _range_text(currency: Column) -> Column:
+    """'min-max currency' with the numbers as the page writes them."""
+    return F.concat_ws(" ", F.concat_ws("-", _get("$.baseSalary.value.minValue"), F.coalesce(_get("$.baseSalary.value.maxValue"), F.lit("0"))), currency)
+
+
 def _employment_code(default: bool = True) -> Column:
     raw = F.coalesce(F.get(_get("$.employmentType", "array<string>"), F.lit(0)), _get("$.employmentType"))
     code = F.upper(F.regexp_replace(F.coalesce(raw, F.lit("")), r"""^["']+|["']+$""", ""))
@@ -78,23 +83,28 @@ def posting_from_ld_a(df: DataFrame, url: str = "url") -> DataFrame:
     df = with_ingest_salary(df.withColumn("_sal", _str("$.baseSalary.value.value")), "_sal", "_in_")
     lo, hi = _get("$.baseSalary.value.minValue", "double"), _get("$.baseSalary.value.maxValue", "double")
     raw_type = F.coalesce(F.array_join(_get("$.employmentType", "array<string>"), ", "), _str("$.employmentType"))
-    description = tx.strip_html(_str("$.description"))
+    title = clean_title(_str("$.title"))
+    level = experience.first_rule(F.lower(title), rules.SOURCE_LEVEL_RULES["itviec"], rules.SOURCE_LEVEL_DEFAULT)
+    df = df.withColumn("_body", tx.strip_html(_str("$.description")))
     return df.select(
-        url, clean_title(_str("$.title")).alias("job_title"), _str("$.hiringOrganization.name").alias("company_name"),
+        url, level.alias("job_level"), clean_title(_str("$.title")).alias("job_title"), _str("$.hiringOrganization.name").alias("company_name"),
         F.col("_sal").alias("salary"), F.coalesce(lo, "_in_min").alias("salary_min"),
         F.when(lo.isNull(), F.col("_in_max")).otherwise(hi).alias("salary_max"),
         F.when(lo.isNull() & (F.col("_sal") != ""), F.col("_in_currency")).otherwise(_str("$.baseSalary.currency"))
          .alias("salary_currency"),
         F.array_join(known, ", ").alias("location"), F.initcap(F.replace(raw_type, F.lit("_"), F.lit(" "))).alias("employment_type"),
         tx.comma_list(F.coalesce(F.array_join(_get("$.skills", "array<string>"), ", "), _str("$.skills"))).alias("skills_required"),
-        experience.phrase_years(experience.experience_phrase(description)).alias("experience_years"),
-        description.alias("job_description"), F.substring(tx.strip_html(_str("$.jobBenefits")), 1, 500).alias("benefits"),
+        experience.phrase_years(experience.experience_phrase("_body")).alias("experience_years"),
+        F.col("_body").alias("job_description"), tx.strip_html(_str("$.jobBenefits")).alias("benefits"),
         _str("$.datePosted").alias("posted_date"), _str("$.validThrough").alias("expiry_date"),
         F.coalesce(_get("$.industry"), F.lit(rules.DEFAULT_INDUSTRY)).alias("industry"))
 
 
 def posting_from_ld_b(df: DataFrame, url: str = "url") -> DataFrame:
-    """Source B: first location, employment codes, months to years, 20 skills, defaults."""
+    """Source B: first location, employment codes, months to years, level by title, defaults.
+
+    A page without a skill list has the taxonomy names of its description.
+    """
     first = F.get(_places(), F.lit(0))
     lo, hi = _get("$.baseSalary.value.minValue", "double"), _get("$.baseSalary.value.maxValue", "double")
     paid = F.coalesce((lo != 0) & (hi != 0), F.lit(False))
@@ -102,19 +112,22 @@ def posting_from_ld_b(df: DataFrame, url: str = "url") -> DataFrame:
     phrase = experience.phrase_years(experience.experience_phrase(_get("$.experienceRequirements")))
     benefits = F.coalesce(F.array_join(F.filter(F.transform(_get("$.jobBenefits", "array<string>"), lambda x: F.trim(x)),
                                                 lambda x: x != ""), "; "),
-                          F.substring(_str("$.jobBenefits"), 1, 1000))
-    return df.select(
+                          _str("$.jobBenefits"))
+    out = df.select(
         url, F.trim(_str("$.title")).alias("job_title"), F.trim(_str("$.hiringOrganization.name")).alias("company_name"),
         F.trim(F.coalesce(F.nullif(first["addressLocality"], F.lit("")), first["addressRegion"], F.lit(""))).alias("location"),
-        F.substring(tx.strip_html(_str("$.description")), 1, 3000).alias("job_description"),
-        F.when(paid, F.concat_ws(" ", F.concat_ws("-", lo, hi), currency)).otherwise("Thỏa thuận").alias("salary"),
+        tx.strip_html(_str("$.description")).alias("job_description"),
+        F.when(paid, _range_text(currency)).otherwise("Thỏa thuận").alias("salary"),
         F.when(paid, lo).alias("salary_min"), F.when(paid, hi).alias("salary_max"),
         F.when(paid, currency).otherwise("VND").alias("salary_currency"),
         F.substring(_str("$.datePosted"), 1, 10).alias("posted_date"), F.substring(_str("$.validThrough"), 1, 10).alias("expiry_date"),
         _employment_code().alias("employment_type"),
-        F.coalesce(F.slice(_list_or_text("$.skills"), 1, 20), F.array().cast("array<string>")).alias("skills_required"),
-        benefits.alias("benefits"), F.coalesce(_month_years(), phrase).alias("experience_years"),
+        _list_or_text("$.skills").alias("_listed"), benefits.alias("benefits"), F.coalesce(_month_years(), phrase).alias("experience_years"),
         F.trim(F.coalesce(F.nullif(_get("$.industry"), F.lit("")), F.lit(rules.DEFAULT_INDUSTRY))).alias("industry"))
+    scanned = skills.taxonomy_scan(F.lit(""), "job_description")
+    level = experience.first_rule(F.lower("job_title"), rules.SOURCE_LEVEL_RULES["careerviet"], rules.SOURCE_LEVEL_DEFAULT)
+    return out.withColumns({"skills_required": F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(scanned),
+                            "job_level": level}).drop("_listed")
 
 
 def overlay_from_ld_c(df: DataFrame, url: str = "url") -> DataFrame:
@@ -125,61 +138,70 @@ def overlay_from_ld_c(df: DataFrame, url: str = "url") -> DataFrame:
     currency = F.coalesce(_get("$.baseSalary.currency"), F.lit("USD"))
     paid = lo > 0
     return df.select(
-        url, some(F.substring(tx.strip_html(_str("$.description")), 1, 3000)).alias("job_description"),
+        url, some(tx.strip_html(_str("$.description"))).alias("job_description"),
         some(F.substring(_str("$.datePosted"), 1, 10)).alias("posted_date"),
         some(F.substring(_str("$.validThrough"), 1, 10)).alias("expiry_date"),
-        F.slice(_list_or_text("$.skills"), 1, 20).alias("skills_required"),
-        some(F.substring(tx.strip_html(_str("$.jobBenefits")), 1, 1500)).alias("benefits"),
+        _list_or_text("$.skills").alias("skills_required"),
+        some(tx.strip_html(_str("$.jobBenefits"))).alias("benefits"),
         F.when(paid, lo).alias("salary_min"), F.when(paid, hi).alias("salary_max"), F.when(paid, currency).alias("salary_currency"),
-        F.when(paid, F.concat_ws(" ", F.concat_ws("-", lo, hi), currency)).alias("salary"),
+        F.when(paid, _range_text(currency)).alias("salary"),
         _employment_code(default=False).alias("employment_type"), _month_years().alias("experience_years"))
 
 
-API_SCHEMA = """jobTitle string, companyName string, jobUrl string, alias string, jobId string, prettySalary string,
- salaryMin double, salaryMax double, salaryCurrency string, approvedOn string, onlineOn string, createdOn string,
- expiredOn string, yearsOfExperience double, jobLevel string, typeWorkingId int,
- workingLocations array<struct<cityName:string,cityNameVI:string,address:string>>, address string,
- skills array<struct<skillName:string>>, benefits array<struct<benefitName:string,benefitNameVI:string,benefitValue:string>>,
- jobDescription string, jobRequirement string, industriesV3 array<struct<industryV3Name:string,industryName:string,name:string>>"""
-
-
 def posting_from_api(df: DataFrame, record: str = "record", base_url: str = "") -> DataFrame:
-    """API records (JSON text) to postings; records without a title are dropped."""
-    df = df.withColumn("r", F.from_json(record, API_SCHEMA))
-    r = lambda c: F.col(f"r.{c}")
+    """API records (JSON text) to postings; records that are not JSON or have no title are dropped.
+
+    A field may come under its older name; members of lists are objects or plain strings.
+    """
+    df = df.withColumn("r", F.try_parse_json(record))
+    r = lambda c, kind="string": F.try_variant_get(F.col("r"), f"$.{c}", kind)
     first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
-    title = F.trim(first(r("jobTitle")))
+    none = F.array().cast("array<variant>")
+
+    def member(v: Column, *names: str) -> Column:
+        return first(*[F.try_variant_get(v, f"$.{n}", "string") for n in names])
+
+    def plain(v: Column) -> Column:
+        """The string itself, where the member is one."""
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def listed(name: str, item) -> Column:
+        return F.filter(F.transform(F.coalesce(r(name, "array<variant>"), none), item), lambda x: x != "")
+
+    title = F.trim(first(r("jobTitle"), r("title")))
     built = F.when((first(r("alias")) != "") & (first(r("jobId")) != ""),
                    F.concat(F.lit(base_url + "/"), r("alias"), F.lit("-"), r("jobId"), F.lit("-jv")))
-    salary = first(r("prettySalary"), F.lit("Thỏa thuận"))
+    salary = first(r("prettySalary"), r("prettySalaryVI"), F.lit("Thỏa thuận"))
     df = with_ingest_salary(df.withColumn("_sal", salary), "_sal", "_in_").where(title != "")
-    lo, hi = F.when(r("salaryMin") > 0, r("salaryMin")), F.when(r("salaryMax") > 0, r("salaryMax"))
-    cities = F.filter(F.transform(r("workingLocations"), lambda x: first(x["cityName"], x["cityNameVI"], x["address"])), lambda x: x != "")
-    names = F.filter(F.transform(r("skills"), lambda s: s["skillName"]), lambda s: s.isNotNull() & (s != ""))
-
-    def benefit(b: Column) -> Column:
-        name = first(b["benefitName"], b["benefitNameVI"])
-        return F.when((name != "") & (first(b["benefitValue"]) != ""), F.concat(name, F.lit(": "), b["benefitValue"])).otherwise(name)
-
-    benefits = F.filter(F.transform(r("benefits"), benefit), lambda b: b != "")
-    industries = F.filter(F.transform(r("industriesV3"), lambda i: first(i["industryV3Name"], i["industryName"], i["name"])), lambda n: n != "")
+    low, high, years = (r(c, "double") for c in ("salaryMin", "salaryMax", "yearsOfExperience"))
+    lo, hi = F.when(low > 0, low), F.when(high > 0, high)
+    cities = listed("workingLocations", lambda v: member(v, "cityName", "cityNameVI", "address"))
+    names = listed("skills", lambda v: F.coalesce(plain(v), member(v, "skillName")))
+
+    def benefit(v: Column) -> Column:
+        name, value = member(v, "benefitName", "benefitNameVI"), member(v, "benefitValue")
+        return F.coalesce(plain(v), F.when((name != "") & (value != ""), F.concat(name, F.lit(": "), value)).otherwise(name))
+
+    benefits = listed("benefits", benefit)
+    sector = lambda v: member(v, "industryV3Name", "industryName", "name")
+    industries = F.concat(listed("industriesV3", sector), F.when(F.size(F.coalesce(r("industriesV3", "array<variant>"), none)) == 0,
+                                                                 listed("industries", sector)).otherwise(F.array().cast("array<string>")))
     body = F.concat(tx.strip_html(r("jobDescription")), F.lit("\n\n"), tx.strip_html(r("jobRequirement")))
-    body = F.substring(F.regexp_replace(body, r"^\s+|\s+$", ""), 1, 3000)
-    kind = F.coalesce(lookup(r("typeWorkingId"), rules.WORKING_TYPE_CODES, F.lit("Full-time")), F.lit("Full-time"))
-    level = experience.first_rule(F.lower(F.concat_ws(" ", first(r("jobLevel")), title)),
-                                  rules.SOURCE_LEVEL_RULES["boardE"], rules.SOURCE_LEVEL_DEFAULT)
-    keep = [c for c in df.columns if c not in (record, "r", "_sal", "_in_min", "_in_max", "_in_currency")]
+    df = df.withColumn("_body", F.regexp_replace(body, r"^\s+|\s+$", ""))
+    kind = lookup(r("typeWorkingId", "int"), rules.WORKING_TYPE_CODES, F.lit("Full-time"))
+    level = experience.first_rule(F.lower(F.concat_ws(" ", first(r("jobLevel"), r("jobLevelVI")), title)),
+                                  rules.SOURCE_LEVEL_RULES["vietnamworks"], rules.SOURCE_LEVEL_DEFAULT)
+    keep = [c for c in df.columns if c not in (record, "r", "_sal", "_in_min", "_in_max", "_in_currency", "_body")]
     return df.select(
-        *keep, tx.canonical_url(F.coalesce(F.nullif(r("jobUrl"), F.lit("")), built, F.lit("")), base_url).alias("url"),
-        title.alias("job_title"), F.trim(first(r("companyName"))).alias("company_name"), F.col("_sal").alias("salary"),
+        *keep, tx.canonical_url(F.coalesce(F.nullif(first(r("jobUrl"), r("canonical")), F.lit("")), built, F.lit("")), base_url).alias("url"),
+        title.alias("job_title"), F.trim(first(r("companyName"), r("company_name"))).alias("company_name"), F.col("_sal").alias("salary"),
         F.coalesce(lo, "_in_min").alias("salary_min"), F.when(lo.isNull(), F.col("_in_max")).otherwise(hi).alias("salary_max"),
         F.when(lo.isNull(), F.col("_in_currency")).otherwise(first(r("salaryCurrency"), F.lit("USD"))).alias("salary_currency"),
-        F.when(F.size(r("workingLocations")) > 0, F.array_join(F.slice(cities, 1, 3), ", ")).otherwise(F.trim(first(r("address")))).alias("location"),
-        kind.alias("employment_type"), level.alias("job_level"),
-        F.coalesce(F.slice(names, 1, 20), F.array().cast("array<string>")).alias("skills_required"),
-        F.coalesce(F.when(r("yearsOfExperience") >= 0, r("yearsOfExperience")),
-                   experience.phrase_years(experience.experience_phrase(body))).alias("experience_years"),
-        body.alias("job_description"), F.coalesce(F.array_join(F.slice(benefits, 1, 10), "; "), F.lit("")).alias("benefits"),
+        F.when(F.size(F.coalesce(r("workingLocations", "array<variant>"), none)) > 0, F.array_join(cities, ", "))
+         .otherwise(F.trim(first(r("address")))).alias("location"),
+        kind.alias("employment_type"), level.alias("job_level"), names.alias("skills_required"),
+        F.coalesce(F.when(years >= 0, years), experience.phrase_years(experience.experience_phrase("_body"))).alias("experience_years"),
+        F.col("_body").alias("job_description"), F.array_join(benefits, "; ").alias("benefits"),
         F.substring(first(r("approvedOn"), r("onlineOn"), r("createdOn")), 1, 10).alias("posted_date"),
         F.substring(first(r("expiredOn")), 1, 10).alias("expiry_date"),
         F.coalesce(F.get(industries, F.lit(0)), F.lit(rules.DEFAULT_INDUSTRY)).alias("industry"))
@@ -253,6 +275,6 @@ def card_metadata(card: str, title: str, company: str, salary: str) -> dict[str,
         place = F.when(hit, name) if place is None else place.when(hit, name)
     kind = (F.when(low.rlike("fulltime|full.time"), "Full-time").when(low.rlike("parttime|part.time"), "Part-time")
              .when(low.contains("remote"), "Remote").otherwise("Full-time"))
-    scan = skills.taxonomy_scan(title, None, 20, PAREN_NOISE)
+    scan = skills.taxonomy_scan(title, None, skip_pattern=PAREN_NOISE, body=rest)
     return {"location": place.otherwise(""), "employment_type": kind,
-            "posted_date": F.trim(F.regexp_extract(text(card), CARD_POSTED, 0)), "title_skills": scan}
+            "posted_date": F.trim(F.regexp_extract(text(card), CARD_POSTED, 0)), "skills_required": scan}

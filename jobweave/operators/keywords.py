@@ -96,6 +96,20 @@ def document_keywords(df: DataFrame, text_col: str, doc: str, n: int = 10, **fit
     return K.top_per_group(w, [doc], [F.desc("weight"), F.col("term")], n).select(doc, "rank", "term", "weight")
 
 
+def keyword_lists(df: DataFrame, text_col: str, doc: str, n: int = 20, **fit) -> DataFrame:
+    """(doc, keywords): the n best terms of every document that has one, as an array in order of the term."""
+    top = document_keywords(df, text_col, doc, n, **fit)
+    return top.groupBy(doc).agg(F.sort_array(F.collect_list("term")).alias("keywords"))
+
+
+def keyword_set_overlap(pairs: DataFrame, lists: DataFrame, left: str, right: str, doc: str) -> DataFrame:
+    """pairs with ``shared``, the keywords that both documents' lists hold; pairs of listed documents only."""
+    a = lists.select(F.col(doc).alias(left), F.col("keywords").alias("_a"))
+    b = lists.select(F.col(doc).alias(right), F.col("keywords").alias("_b"))
+    both = pairs.join(a, left).join(b, right)
+    return both.withColumn("shared", F.array_sort(F.array_intersect("_a", "_b"))).drop("_a", "_b")
+
+
 def role_keywords(df: DataFrame, text_col="job_description", doc="job_hash", role="role_category",
                   n: int = 8, **fit) -> DataFrame:
     return corpus_keywords(df, text_col, doc, [role], n, **fit)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobweave import rules
 from jobweave.functions import experience, skills
-from jobweave.functions.common import as_col, half_even, lookup, run_lengths, text
+from jobweave.functions.common import as_col, half_even, let, lookup, run_lengths, text
 from jobweave.operators.counts import top_per_group
 from jobweave.operators.keywords import tokens, with_terms
 
@@ -47,8 +47,8 @@ def with_sections(df: DataFrame, text_col: str = "text", sections=None) -> DataF
     """One column per section.
 
     Array expressions inside the row: no line is exploded, nothing is shuffled.
-    A repeated header: the last one wins.  Without headers the first 12 lines
-    are the summary; text before the first header fills an empty summary.
+    A repeated header: the last one wins.  Without headers the whole text
+    is the summary; text before the first header fills an empty summary.
     """
     names = list(sections or rules.SECTION_ALIASES)
     lines = F.filter(F.transform(F.split(text(text_col), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -66,7 +66,7 @@ def with_sections(df: DataFrame, text_col: str = "text", sections=None) -> DataF
     out = {s: pick(s) for s in names}
     first = F.get("_marks", F.lit(0))["i"]
     lead = body(F.lit(1), first)
-    out["summary"] = (F.when(F.size("_marks") == 0, body(F.lit(1), F.lit(12)))
+    out["summary"] = (F.when(F.size("_marks") == 0, body(F.lit(1), F.size("_lines")))
                        .when(out["summary"] == "", lead).otherwise(out["summary"]))
     return df.withColumns(out).drop("_lines", "_marks", "_segments")
 
@@ -91,8 +91,11 @@ def document_features(df: DataFrame, doc: str, text_col: str, years: Column | No
 
 # -- overlaps ------------------------------------------------------------------------
 def _keyed(arr: Column) -> Column:
-    return F.transform(skills.normalize_items(arr),
-                       lambda s: F.struct(skills.skill_key_col(F.translate(s, ".-", "  ")).alias("k"), s.alias("v")))
+    """(k, v) of a skill list; of names with one normal form the last counts."""
+    named = F.transform(skills.normalize_items(arr),
+                        lambda s: F.struct(skills.skill_key_col(F.translate(s, ".-", "  ")).alias("k"), s.alias("v")))
+    return let(named, lambda a: F.filter(a, lambda s, i: ~F.exists(
+        F.slice(a, i + 2, F.size(a)), lambda t: t["k"] == s["k"])))
 
 
 def with_skill_overlap(df: DataFrame, resume: str, posting: str) -> DataFrame:
@@ -150,9 +153,10 @@ def ats_keywords(df: DataFrame, doc: str, text_col: str, n: int = JD_TERMS, feat
     return best.select(doc, "s.keyword", "s.tf", (F.col("p") + 1).alias("rank"))
 
 
-def recommendations(missing: str | Column, cap: int = rules.RECOMMENDATION_CAP) -> Column:
+def recommendations(missing: str | Column, cap: int | None = None) -> Column:
     before, after = rules.LEARNING_TEMPLATE
-    return F.transform(F.slice(as_col(missing), 1, cap), lambda s: lookup(
+    missing = as_col(missing)
+    return F.transform(missing if cap is None else F.slice(missing, 1, cap), lambda s: lookup(
         s, rules.LEARNING_SUGGESTIONS, F.concat(F.lit(before), s, F.lit(after))))
 
 

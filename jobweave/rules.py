@@ -381,41 +381,42 @@ LEVEL_BANDS = [(3, "junior"), (5, "mid"), (8, "senior")]
 
 # job level from title, per family of sources: ordered (level, words)
 SOURCE_LEVEL_RULES = {
-    "boardA": [
+    "careerviet": [
         ("Lead", ["lead", "head", "manager", "director", "trưởng"]),
         ("Senior", ["senior", "sr.", "principal", "expert"]),
         ("Junior", ["junior", "fresher", "jr.", "entry"]),
         ("Intern", ["intern", "thực tập", "trainee"]),
     ],
-    "boardB": [
+    "topcv": [
         ("Lead", ["lead", "head", "manager", "director", "trưởng phòng"]),
         ("Senior", ["senior", "sr.", "principal"]),
         ("Junior", ["junior", "fresher", "jr.", "entry"]),
         ("Intern", ["intern", "thực tập", "trainee"]),
     ],
-    "boardC": [
+    "topdev": [
         ("Lead", ["lead", "head", "manager", "director", "trưởng"]),
         ("Senior", ["senior", "sr.", "principal", "expert"]),
         ("Junior", ["junior", "fresher", "jr.", "entry", "intern", "trainee"]),
         ("Intern", ["intern", "thực tập", "trainee"]),
     ],
-    "boardD": [
+    "linkedin": [
         ("Lead", ["lead", "head", "manager", "director", "principal", "staff"]),
         ("Senior", ["senior", "sr.", "expert"]),
         ("Junior", ["junior", "fresher", "jr.", "entry", "associate", "intern"]),
     ],
-    "boardE": [
+    "vietnamworks": [
         ("Lead", ["manager", "director", "head", "lead", "principal", "trưởng"]),
         ("Senior", ["senior", "experienced", "cao cấp", "sr."]),
         ("Junior", ["junior", "fresher", "entry", "jr.", "intern", "thực tập"]),
     ],
-    "boardF": [
+    "itviec": [
         ("Lead", ["lead", "manager", "director", "head of"]),
         ("Senior", ["senior", "sr.", "principal"]),
         ("Junior", ["junior", "jr.", "fresher", "entry"]),
         ("Intern", ["intern", "internship", "thực tập"]),
     ],
 }
+SOURCE_LEVEL_RULES["job123"] = SOURCE_LEVEL_RULES["careerviet"]
 SOURCE_LEVEL_DEFAULT = "Mid-level"
 
 # --- ingest -------------------------------------------------------------------
@@ -567,5 +568,4 @@ LEARNING_SUGGESTIONS = {
     "Airflow": "Xây DAG ETL, schedule, retry và dependency management.",
 }
 LEARNING_TEMPLATE = ("Bổ sung ", " qua project nhỏ và thể hiện rõ trong phần kỹ năng/kinh nghiệm.")
-RECOMMENDATION_CAP = 12
 WEEKDAY_LABELS = ["Thứ 2", "Thứ 3", "Thứ 4", "Thứ 5", "Thứ 6", "Thứ 7", "Chủ nhật"]

@@ -56,7 +56,7 @@ LOCATIONS = ["Hà Nội", "Quận 1, TP.HCM", "Hồ Chí Minh", "Đà Nẵng", "
              "", "Hanoi | Da Nang", "Cần Thơ", "Binh Duong", "Toàn quốc"]
 SKILLS = ["Python, SQL, pandas", "sklearn, Python, python", "K8s, Docker, AWS", "",
           "Excel, Power BI, SQL", "Spark, Kafka, Airflow", "English, Communication",
-          "PyTorch, TensorFlow, NLP", "Java, Spring, MySQL"]
+          "PyTorch, TensorFlow, NLP", "Java, C#, Go, MySQL"]
 DESCRIPTIONS = ["<p>Require 3-5 years experience with <b>Python</b> and SQL.</p>",
                 "Ít nhất 2 năm kinh nghiệm Power BI", "24 months of Spark and Kafka",
                 "10 years building data platforms", "No experience needed, fresher welcome", "",
@@ -92,7 +92,7 @@ SELECT {_K} AS ingest_seq, o_custkey,
   {_pick(f"({_K} * 3) % 5", [_PLUS30, "''", "'2001-09-30'", "'soon'", "'15/08/2001'"])} AS expiry_date,
   CASE WHEN {_K} % 101 = 0 THEN 'n/a'
        ELSE concat('https://jobs.example.com/', {_n(f'{_K} % 14000')}) END AS url,
-  {_pick("o_custkey % 6", _q(["boardA", "boardB", "boardC", "boardD", "boardE", "boardF"]))} AS source_website,
+  {_pick("o_custkey % 6", _q(["careerviet", "topcv", "topdev", "linkedin", "vietnamworks", "itviec"]))} AS source_website,
   CASE WHEN o_custkey % 4 = 0 THEN c_mktsegment ELSE 'IT / Technology' END AS industry,
   'Full-time' AS job_type,
   '2001-08-02T00:00:00' AS crawled_at

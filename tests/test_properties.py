@@ -173,3 +173,46 @@ def test_no_cap_on_skills_or_on_the_relevant_part(spark):
                                "job_title string, job_description string, s array<string>")
     row = df.select(ingest.is_relevant().alias("r"), skills.normalize_skills("s").alias("s")).first()
     assert row.r and len(row.s) == 60
+
+
+def test_html_references_in_one_pass(rows):
+    from jobweave.functions.text import strip_html
+
+    cases = {"<b>Caf&eacute;</b> &#233;&#xE9;": "Café éé", "&amp;lt;": "&lt;", "&lt;b&gt;": "<b>", "a &nope; b & c": "a &nope; b & c",
+             "&#0;&#x110000;&#xDFFF;": "\ufffd\ufffd\ufffd", "x&nbsp;&nbsp;y": "x y", "&ndash": "&ndash", "": "", "lương < 10 <i>SQL</i>": "lương < 10 SQL"}
+    got = rows("k string, v string", list(cases.items())).select("v", strip_html("k").alias("got")).collect()
+    assert all(r.v == r.got for r in got), got
+
+
+def test_lists_have_no_cap(rows):
+    from jobweave import rules
+    from jobweave.functions import skills
+    from jobweave.operators import matching
+
+    names = list(dict.fromkeys(s for g in rules.SKILL_TAXONOMY.values() for s in g if len(s) > 1))
+    title = "Analyst (" + "/".join(f"tool{k:02d}" for k in range(30)) + ")"
+    row = rows("t string, d string", [(title, ", ".join(names))]).select(skills.taxonomy_scan("t", "d").alias("f")).first()
+    assert set(row.f) >= {f"tool{k:02d}" for k in range(30)} and len(row.f) > 40
+    text = "\n".join(f"line {k}" for k in range(40))
+    assert matching.with_sections(rows("text string", [(text,)])).first().summary == text
+    asked = [f"s{k}" for k in range(30)]
+    assert len(rows("m array<string>", [(asked,)]).select(matching.recommendations("m").alias("r")).first().r) == 30
+    assert rows("s string", [("C#, Go, R, " + "x" * 60,)]).select(skills.dashboard_skills("s").alias("f")).first().f == ["c#", "go", "r", "x" * 60]
+
+
+def test_equal_skill_keys_count_once(rows):
+    from jobweave.operators.matching import with_skill_overlap
+
+    df = rows("r array<string>, j array<string>", [(["Node.js"], ["Node.js", "Node js", "SQL"]), ([], []), (None, ["SQL"])])
+    got = with_skill_overlap(df, "r", "j").select("skill_overlap", "missing_skills").collect()
+    assert got[0].skill_overlap == 0.5 and got[0].missing_skills == ["SQL"] and got[1].skill_overlap == 0.0
+
+
+def test_api_records_under_older_names(rows):
+    from jobweave.operators.extract import posting_from_api
+
+    old = '{"title":"Data Engineer","company_name":"ACME","canonical":"/a?x=1","skills":["Python",{"skillName":"SQL"},7],"benefits":["Gym"],"salaryMin":20000000}'
+    got = posting_from_api(rows("id int, record string", [(1, old), (2, "not json"), (3, None), (4, "{}")]), base_url="https://x.org").collect()
+    assert [r.id for r in got] == [1]
+    assert got[0].url == "https://x.org/a" and got[0].skills_required == ["Python", "SQL"] and got[0].benefits == "Gym"
+    assert got[0].salary_min == 20000000.0 and got[0].salary_currency == "USD" and got[0].location == ""
