@@ -392,6 +392,14 @@ def _(spark, d):
     return MT.radar(matched(spark, d))
 
 
-@query("a14_full_report")
+@query("a14_full_report", O.over(MATCH, f"""
+SELECT resume_id, job_id, 'summary' AS section, score AS match_score, skill_score, keyword_score, experience_score, ry AS candidate_experience,
+  jy AS required_experience FROM mt
+UNION ALL BY NAME SELECT resume_id, job_id, 'skills' AS section, 'matched' AS type, unnest(list_filter(js, lambda s: list_contains(rs, s))) AS skill FROM mt
+UNION ALL BY NAME SELECT resume_id, job_id, 'skills' AS section, 'missing' AS type, unnest(missing) AS skill FROM mt
+UNION ALL BY NAME SELECT resume_id, job_id, 'skills' AS section, 'resume_only' AS type, unnest(list_filter(rs, lambda s: NOT list_contains(js, s))) AS skill FROM mt
+UNION ALL BY NAME SELECT resume_id, job_id, 'keywords' AS section, CASE WHEN a > 0 AND cr <= {MT.RESUME_TERMS} THEN 'matched' ELSE 'missing' END AS type, term AS keyword
+  FROM rk WHERE b > 0 AND jr <= {MT.JD_TERMS}
+UNION ALL BY NAME SELECT resume_id, job_id, 'recommendations' AS section, unnest({_REC}) AS recommendation FROM mt"""))
 def _(spark, d):
     return MT.full_report(matched(spark, d))

@@ -12,7 +12,7 @@ from jobweave import schema as S
 from jobweave.functions.common import explode_each, text
 from jobweave.operators import counts as K
 from jobweave.operators.gold import salary_subset
-from jobweave.operators.quantiles import median, median_by
+from jobweave.operators.quantiles import median, median_by, overall
 
 SALARY = "salary_midpoint_usd"
 
@@ -42,7 +42,7 @@ def top1(df: DataFrame, key: str) -> Column:
 def overview_kpis(df: DataFrame) -> DataFrame:
     one = dataset_summary(df)
     return one.withColumns({
-        "median_salary": salary_subset(df).agg(median(SALARY)).scalar(),
+        "median_salary": overall(salary_subset(df), SALARY),
         "top_skill": top1(explode_skills(df, "dash_skills"), "skill"),
         "top_company": top1(df, "company_name"),
         "top_role": top1(df, "role_category"),
@@ -52,9 +52,9 @@ def overview_kpis(df: DataFrame) -> DataFrame:
 
 def salary_kpis(df: DataFrame) -> DataFrame:
     paid = F.when(is_salary(), F.col(SALARY))
-    return df.agg(median(paid).alias("median"), F.avg(paid).alias("mean"),
-                  F.percentile(paid, F.lit(0.95)).alias("p95"),
-                  pct(F.count(paid), F.count("*")).alias("disclosed_pct"))
+    one = df.agg(F.avg(paid).alias("mean"), pct(F.count(paid), F.count("*")).alias("disclosed_pct"))
+    known = df.select(paid.alias("_paid"))
+    return one.select(overall(known, "_paid").alias("median"), "mean", overall(known, "_paid", 0.95).alias("p95"), "disclosed_pct")
 
 
 def skill_kpis(df: DataFrame, skills: str = "dash_skills") -> DataFrame:
@@ -110,7 +110,7 @@ def chart_overview(df: DataFrame, trimmed: DataFrame) -> DataFrame:
                  F.min("posted_date_dt").cast("string").alias("first_date"),
                  F.max("posted_date_dt").cast("string").alias("last_date"))
     return one.withColumns({"with_salary_pct": pct(F.col("with_salary"), F.col("jobs")),
-                            "median_salary": trimmed.agg(median(SALARY)).scalar()})
+                            "median_salary": overall(trimmed, SALARY)})
 
 
 # -- salary -------------------------------------------------------------------------

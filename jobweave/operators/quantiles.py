@@ -1,8 +1,8 @@
 """Exact quantiles with linear interpolation.
 
-``percentile_by`` uses the built-in aggregate, whose state is a map of distinct
-values: right for salaries, which are whole cents in a fixed range.
-``exact_quantiles`` is for values without such a bound.
+``overall`` and ``exact_quantiles`` split the values into ranges, so they hold for
+any number of distinct values.  ``median`` and ``median_by`` use the built-in
+aggregate, whose state per group is a map of its distinct values.
 """
 
 from __future__ import annotations
@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def overall(df: DataFrame, value: str, q: float = 0.5) -> Column:
+    """Exact quantile of a whole column as a scalar subquery, NULL without values; no task holds all values."""
+    return exact_quantiles(df, [], value, [q]).select(f"q{int(round(q * 100))}").scalar()
+
+
 def median(col: str) -> Column:
     return F.percentile(col, F.lit(0.5))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions.roles import level_number
+from jobweave.operators.quantiles import overall
 
 
 def with_correlation_columns(df: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def least_squares(df: DataFrame, y: str, x: str, max_x: float | None = None) ->
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    q = lambda p: F.percentile(col, F.lit(p))
-    return df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-                  F.min(col).alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"),
-                  q(0.75).alias("p75"), F.max(col).alias("max"))
+    one = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                 F.min(col).alias("min"), F.max(col).alias("max"))
+    q = lambda p: overall(df, col, p)
+    return one.select("n", "mean", "std", "min", q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), "max")
