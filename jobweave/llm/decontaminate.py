@@ -161,17 +161,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(HITS_SQL).alias("hits"))
-    for n, seeds in enumerate(blocks(benchmark, item_col, item_text, s)):
-        if n:           # a task holds the seeds of one block
-            rows = shared.staged(rows, "scanned")
+    todo = blocks(benchmark, item_col, item_text, s)
+    seeds = next(todo, None)
+    while seeds:
+        following = next(todo, None)
         shared_seeds = docs.sparkSession.sparkContext.broadcast(seeds)
 
-        def work(batches, b=shared_seeds):
+        def work(batches, b=shared_seeds, more=following is not None):
             for batch in batches:
                 before = batch.column(2).to_pylist()
-                found = [x + y for x, y in zip(before, _found(batch.column(1), b.value))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, HITS)], names=["id", "text", "hits"])
-        rows = shared.map_arrow(rows, work, f"id {kind}, text string, hits {HITS_SQL}")
+                found = pa.array([x + y for x, y in zip(before, _found(batch.column(1), b.value))], HITS)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if more else []), found],
+                                                 names=["id", *(["text"] if more else []), "hits"])
+        rows = shared.map_arrow(rows, work, f"id {kind}, {'text string, ' if following else ''}hits {HITS_SQL}")
+        if following:           # a task holds the seeds of one block
+            rows = shared.staged(rows, "scanned")
+        seeds = following
     return rows.select(F.col("id").alias(id_col), F.array_sort("hits").alias("hits"))
 
 
