@@ -126,7 +126,7 @@ def test_card(rows):
         "Data Engineer (Spark/Airflow) ACME $900 Hà Nội Parttime Python 3 days ago", "Data Engineer (Spark/Airflow)", "ACME", "$900")])
     r = df.select(*[v.alias(k) for k, v in X.card_metadata("card", "t", "c", "s").items()]).first()
     assert (r["location"], r["employment_type"], r["posted_date"]) == ("Hà Nội", "Part-time", "3 days ago")
-    assert r["title_skills"] == ["Airflow", "Spark"]
+    assert r["skills_required"] == ["Python", "Spark", "Airflow"]
 
 
 def test_html_and_accents(spark):
