@@ -1,11 +1,13 @@
 """Line de-duplication by pairwise alignment.
 
-A *run* is the shortest sequence of non-blank lines from some line on that has
-`min_words` words: every block of common lines worth deleting holds the run from
-its first line.  A run hash that several documents share names the earliest of
-them as partner of the others, so a line of a third of all documents makes one
-pair a document, never all pairs.  The pairs are aligned with patience diff and
-common blocks are deleted from the later document.
+A *run* is the shortest sequence of non-blank lines from some line on, or up to
+some line, that has `min_words` words: the runs inside a block of common lines
+worth deleting cover all its lines.  A run hash that several documents share names
+the earliest of them as partner of the others, so a line of a third of all
+documents makes one pair a document, never all pairs.  The pairs are aligned with
+patience diff; common runs that it leaves (repeated, moved or crossed ones) are
+looked up one by one.  Common blocks are deleted from the later document, which so
+loses exactly the lines in blocks that some earlier document has.
 """
 
 from __future__ import annotations
@@ -30,15 +32,34 @@ class Settings:
     block: int = 256
 
 
+def _spans(w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end of the runs from every line on and up to every line; w: words of the non-blank lines."""
+    ends = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+    stop = np.searchsorted(ends, ends[:-1] + least)              # lines start..stop hold `least` words
+    begin = np.searchsorted(ends, ends[1:] - least, "right") - 1
+    on, up = np.flatnonzero(stop <= len(w)), np.flatnonzero(begin >= 0)
+    runs = np.unique(np.stack([np.concatenate([on, begin[up]]), np.concatenate([stop[on], up + 1])], 1), axis=0)
+    return runs[:, 0], runs[:, 1]
+
+
 def _runs(h: np.ndarray, w: np.ndarray, least: int) -> np.ndarray:
-    """Hash of the run from every line that has one; h, w: hashes and words of the non-blank lines."""
-    ends = np.concatenate([[0], np.cumsum(w)])
-    stop = np.searchsorted(ends, ends[:-1] + least)      # lines start..stop hold `least` words
-    out = []
-    for k in np.flatnonzero(stop <= len(h)):
-        a, b = int(k), int(stop[k])
-        out.append(h[a] if b - a == 1 else textscan.combine(h[a:b], b - a)[0])
-    return np.unique(np.array(out, U64))
+    """Hashes of all runs; h, w: hashes and words of the non-blank lines."""
+    start, stop = _spans(w, least)
+    size = stop - start
+    out = [textscan.combine(h, int(n))[start[size == n]] for n in np.unique(size)]
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
+
+
+def held(own: np.ndarray, w: np.ndarray, other: np.ndarray, least: int) -> np.ndarray:
+    """Which lines of `own` lie in blocks of `least` words that `other` has, wherever and however often."""
+    start, stop = _spans(w, least)
+    size, edge = stop - start, np.zeros(len(own) + 1, np.int64)
+    for n in np.unique(size):
+        a = start[size == n]
+        a = a[np.isin(textscan.combine(own, int(n))[a], textscan.combine(other, int(n)))]
+        np.add.at(edge, a, 1)
+        np.add.at(edge, a + n, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def line_batches(s: Settings):
@@ -100,13 +121,17 @@ def blocks(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, least: int
     """Line ranges of `later` to delete: blocks common with `earlier` of `least` words or more.
 
     Blank lines (hash 0) neither match nor part a block.  Aligned lines are taken
-    out and the rest is aligned again, so that moved blocks are found too.
+    out and the rest is aligned again, so that moved blocks are found too.  What no
+    alignment takes, as repeats have no line that is unique on both sides, follows
+    as stretches of lines that `held` tells.
     """
     mine = np.flatnonzero(later)
+    common = held(later[mine], words[mine], earlier[earlier != 0], least)
+    left = set(np.flatnonzero(common).tolist())
     own = later[mine].tolist()
     other = earlier[earlier != 0].tolist()
     out: list[tuple[int, int]] = []
-    while own:
+    while left:
         gone, run, pairs = set(), [], patience(own, other)
         for k, (i, j) in enumerate(pairs):
             run.append(i)
@@ -119,6 +144,10 @@ def blocks(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, least: int
             break
         # a taken line turns into one of its own that matches nothing, so neighbours don't join up
         own = [(-1 - i) if i in gone else x for i, x in enumerate(own)]
+        left -= gone
+    if left:
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], common, [0]])))
+        out += [(int(mine[a]), int(mine[b - 1]) + 1) for a, b in edge.reshape(-1, 2) if not left.isdisjoint(range(a, b))]
     return out
 
 

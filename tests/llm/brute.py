@@ -93,3 +93,20 @@ def best_overlap(a, b, penalty):
                 top = score
                 best = max(best, (k + 1 - start, top))
     return best
+
+
+def lines_held_before(docs, least):
+    """{id: lines that go}: those in blocks of `least` words that an earlier (id, text) has; blank lines part nothing."""
+    out, before = {}, []
+    for i, text in sorted(docs):
+        full = [(k, unit_key(x), len(words(x))) for k, x in enumerate(text.splitlines()) if unit_key(x)]
+        keys, out[i] = [x for _, x, _ in full], set()
+        for a in range(len(full)):
+            for b in range(a + 1, len(full) + 1):
+                n = b - a
+                if not any(keys[a:b] == other[k:k + n] for other in before for k in range(len(other) - n + 1)):
+                    break
+                if sum(x for _, _, x in full[a:b]) >= least:
+                    out[i].update(range(full[a][0], full[b - 1][0] + 1))
+        before.append(keys)
+    return out

@@ -131,6 +131,33 @@ def test_line_dedup_equals_all_pairs(spark):
     assert removed > 50
 
 
+def hashed(text):
+    part = next(textscan.slices(pa.array([text])))
+    u = textscan.units(part)
+    return u.hash, textscan.unit_words(part, u).astype(np.int32)
+
+
+def test_line_dedup_takes_repeated_and_crossed_blocks():
+    p, x, y, z, u, v = prose(60), *(prose(5) for _ in range(5))
+    for later, earlier, gone in (([u, p, v], [x, p, y, p, z], {1}), ([u, p, v, p, x], [y, p, z], {1, 3}),
+                                 ([p, x, y], [x, y, p], {0}), ([x, y, p], [p, x, y], {2}), ([u, v], [u, x, v], set())):
+        got = linededup.blocks(*hashed("\n".join(later)), hashed("\n".join(earlier))[0], 25)
+        assert {k for a, b in got for k in range(a, b)} == gone
+
+
+def test_line_dedup_equals_blocks_of_earlier_documents(spark):
+    r = random.Random(8)
+    pool = [prose(r.choice((3, 8, 14, 27, 60)), r) for _ in range(14)]
+    data = [(i, "\n".join(r.choice(["", prose(6, r), *r.choices(pool, k=6)]) for _ in range(r.randint(1, 9)))) for i in range(60)]
+    data += [(-1, "\n".join([pool[-1], PASSAGE, prose(7, r), PASSAGE])), (70, "a\n" + PASSAGE + "\nb\n" + PASSAGE)]
+    data += [(71, PASSAGE + "\ntail of few words"), (72, PASSAGE + "\ntail of few words\nmore")]
+    got = {x.doc_id: x.text for x in linededup.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    gone = brute.lines_held_before(data, 25)
+    for i, text in data:
+        assert got[i] == "".join(x for k, x in enumerate(text.splitlines(keepends=True)) if k not in gone[i])
+    assert got[70] == "a\nb\n" and got[72] == "more"
+
+
 def test_patience_matches_common_lines():
     assert linededup.patience(list("abcde"), list("abXde")) == [(0, 0), (1, 1), (3, 3), (4, 4)]
     assert linededup.patience([], [1]) == []
