@@ -24,9 +24,10 @@ from jobweave.llm.textscan import U64, mix
 class Settings:
     """masks: '1' keeps a token position, '0' ignores it.
 
-    An overlap counts when its best stretch, a match being worth 1 and a
-    substitution -penalty, is at least `least` tokens long, or the whole item where
-    that is shorter.  `block_bytes` bounds what of the benchmark is broadcast at once.
+    An overlap counts when a stretch of at least `least` tokens that begins and ends
+    with a match, or the whole item, has `penalty` matches or more a substitution:
+    an identity of penalty / (penalty + 1), so 0.8.  `block_bytes` bounds what of the
+    benchmark is broadcast at once.
     """
     masks: tuple[str, ...] = ("11111111", "1101011011", "1110010111", "110100110101")
     least: int = 13
@@ -59,6 +60,18 @@ def _masked(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(x)
 
 
+def longest(same: np.ndarray, penalty: int) -> tuple[int, int]:
+    """The longest stretch between two matches with at least `penalty` matches a substitution, the first of equals."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -penalty))])
+    low = np.minimum.accumulate(total[at])
+    start = at[np.searchsorted(-low, -total[at + 1])]      # the first match from which on the sum is not negative
+    k = int(np.argmax(at + 1 - start))
+    return int(start[k]), int(at[k]) + 1
+
+
 class Seeds:
     """Windows of one block of the benchmark: their hashes in order, with item and place."""
 
@@ -109,12 +122,12 @@ class Seeds:
             mine, own = h[first[doc]:first[doc + 1]], self.tokens[self.first[item]:self.first[item + 1]]
             a, b = max(0, diagonal), min(len(mine), diagonal + len(own))
             same = mine[a:b] == own[a - diagonal:b - diagonal]
-            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -s.penalty))])
-            low = np.minimum.accumulate(total)
-            stop = int(np.argmax(total - low))
-            start = int(np.argmin(total[:stop + 1]))
-            if stop - start >= min(s.least, len(own)):
-                yield doc, int(self.ids[item]), a + start, a + stop, int(same[start:stop].sum())
+            start, stop = longest(same, s.penalty)
+            if stop - start < s.least:
+                if len(same) < len(own) or (s.penalty + 1) * int(same.sum()) < s.penalty * len(own):
+                    continue
+                start, stop = 0, len(own)
+            yield doc, int(self.ids[item]), a + start, a + stop, int(same[start:stop].sum())
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, s: Settings) -> Iterator[Seeds]:

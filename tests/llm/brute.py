@@ -110,3 +110,17 @@ def lines_held_before(docs, least):
                     out[i].update(range(full[a][0], full[b - 1][0] + 1))
         before.append(keys)
     return out
+
+
+def alike(a, b, least, masks):
+    """Does a diagonal of two token lists that a mask hits have `least` tokens between two matches, or all of b, with 4 of 5 equal?"""
+    for d in range(-len(b) + 1, len(a)):
+        lo, hi = max(0, d), min(len(a), d + len(b))
+        same = [a[k] == b[k - d] for k in range(lo, hi)]
+        if any(all(same[k + x] for x, c in enumerate(m) if c == "1") for m in masks for k in range(len(same) - len(m) + 1)):
+            if len(same) == len(b) and 5 * sum(same) >= 4 * len(b):
+                return True
+            for x in range(len(same)):
+                if any(same[x] and same[y - 1] and 5 * sum(same[x:y]) >= 4 * (y - x) for y in range(x + least, len(same) + 1)):
+                    return True
+    return False
