@@ -446,6 +446,29 @@ def test_packing_keeps_the_mixture(spark):
     assert abs(total["a"] / sum(total.values()) - 0.5) < 0.01
 
 
+def test_packing_keeps_the_corpus_mixture_in_every_window(spark):
+    """Buckets of a few documents, a source of one long document and one of few."""
+    r = random.Random(6)
+    data = [(k, prose(100, r), "many") for k in range(300)] + [(900, prose(12_000, r), "one")]
+    data += [(1000 + k, prose(2_000, r), "few") for k in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    s = packing.Settings(window=512, bucket_bytes=20_000, rests=4, quantum=32)
+    got = packing.pack(df, queries.vocabulary(), s=s).collect()
+    check_packing(got, [(i, t) for i, t, _ in data], 512)
+    share, total = defaultdict(Counter), Counter()
+    for x in got:
+        share[x.sequence_id][x.source] += x.length
+        total[x.source] += x.length
+    full = [x for x in share.values() if sum(x.values()) == 512]
+    assert len({k >> 32 for k in share if k < 1 << 62}) > 8 and len(full) > 200
+    for name in total:
+        want = 512 * total[name] / sum(total.values())
+        assert sum(abs(x[name] - want) <= 96 for x in full) >= 0.98 * len(full)
+        assert abs(sum(x[name] for x in full) / len(full) - want) < 8
+    again = packing.pack(df.repartition(5), queries.vocabulary(), s=s).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_packing_of_many_buckets_and_hard_rows(hard, none):
     s = packing.Settings(bucket_bytes=50_000, rests=4)
     got = packing.pack(hard, queries.vocabulary(), s=s).collect()
