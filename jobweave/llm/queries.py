@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm import (
-    decontaminate, linededup, minhash, ordering, packing, quality, sharding, topk, toxicity, unitdedup,
+    bpe, decontaminate, linededup, minhash, ordering, packing, periodic, quality, sharding, topk, toxicity, unitdedup, variants,
 )
 from jobweave.llm.shared import shared_dir, table
 
@@ -99,6 +99,24 @@ def op10_ball_tree_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+@query
+def op11_bit_sliced_variants(spark, sf_dir):
+    """Every frequent word with its more frequent spelling."""
+    return variants.group(table(spark, sf_dir, "documents"), rewrite=variants.planted())
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """Every document's periodic runs of words."""
+    return periodic.digest(periodic.find(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=periodic.planted))
+
+
+@query
+def op13_byte_bpe(spark, sf_dir):
+    """Every document's token ids and the text decoded from them."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 ORACLE["op10_ball_tree_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
@@ -113,3 +131,55 @@ r AS (
   FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+# crc32 as its bitwise definition: a table of 256 remainders of the reflected polynomial 0xEDB88320, one look-up a byte.
+# Near words are found another way than by the operator: equal after the same place is masked, or after one letter is deleted.
+ORACLE["op11_bit_sliced_variants"] = r"""
+WITH remainders AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+             CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS b))),
+runs AS (
+  SELECT doc_id, word, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-z\x{00C0}-\x{00FF}]+')) AS word
+    FROM documents)
+  GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, word, n, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || word, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+         ELSE [(192 + unicode(x) // 64)::BIGINT, (128 + unicode(x) % 64)::BIGINT] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT word, n, xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c // 256, t[1 + xor(c, x) % 256])), 4294967295) AS h
+  FROM bytes, remainders),
+altered AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(word, 1, (h % length(word))::BIGINT) || substr(word, (h % length(word))::BIGINT + 2)
+              ELSE word END AS word, n
+  FROM hashed),
+vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n FROM altered GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word)::BIGINT + 1)) AS k FROM vocabulary),
+masked AS (SELECT word, n, k, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS m FROM places),
+shorter AS (SELECT DISTINCT word, n, substr(word, 1, k - 1) || substr(word, k + 1) AS m FROM places),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM masked a JOIN masked b ON a.m = b.m AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN vocabulary b ON a.m = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN vocabulary b ON a.m = b.word),
+best AS (
+  SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS place
+  FROM near),
+found AS (
+  SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM best WHERE place = 1),
+chain AS (
+  WITH RECURSIVE walk(word, last, step) AS (
+    SELECT word, form, 1 FROM found WHERE form IS NOT NULL
+    UNION ALL
+    SELECT w.word, f.form, w.step + 1 FROM walk w JOIN found f ON f.word = w.last WHERE f.form IS NOT NULL)
+  SELECT word, max_by(last, step) AS root FROM walk GROUP BY word)
+SELECT v.word, f.form, coalesce(c.root, v.word) AS root, v.n, coalesce(f.n_near, 0)::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM vocabulary v LEFT JOIN found f USING (word) LEFT JOIN chain c USING (word)
+"""
