@@ -144,8 +144,8 @@ SELECT role_category, round(med, 6) AS med, CASE WHEN med >= 1000 THEN 'high' WH
   CASE WHEN med > mm * 1.3 THEN 'premium' WHEN med > mm THEN 'above' ELSE 'at_or_below' END AS against_market FROM s, m"""))
 def _(spark, d):
     paid = L.chart_salary(spark, d)
-    market = paid.agg(Q.median(M.SALARY)).scalar()
-    per = paid.groupBy("role_category").agg(Q.median(M.SALARY).alias("med"))
+    market = Q.overall_one(paid, M.SALARY)
+    per = Q.exact_quantiles(paid, ["role_category"], M.SALARY, [0.5]).withColumnRenamed("q50", "med")
     return per.select("role_category", r6("med"), G.salary_band("med").alias("band"),
                       CH.market_band("med", market).alias("against_market"))
 
@@ -270,9 +270,7 @@ def _(spark, d):
 SELECT round(quantile_cont(salary_midpoint_usd, 0.25), 6) AS p25, round(median(salary_midpoint_usd), 6) AS median,
   round(quantile_cont(salary_midpoint_usd, 0.75), 6) AS p75, round(avg(salary_midpoint_usd), 6) AS mean FROM chart_sal"""))
 def _(spark, d):
-    q = lambda p, n: F.round(F.percentile(M.SALARY, F.lit(p)), 6).alias(n)
-    return L.chart_salary(spark, d).agg(q(0.25, "p25"), q(0.5, "median"), q(0.75, "p75"),
-                                        F.round(F.avg(M.SALARY), 6).alias("mean"))
+    return rounded(M.salary_quartiles(L.chart_salary(spark, d)), "p25", "median", "p75", "mean")
 
 
 @query("g7_median_salary_by_role", O.gold("""
@@ -358,9 +356,9 @@ WITH t AS (SELECT role_category, count(*) AS jobs FROM chart GROUP BY 1),
 e AS (SELECT role_category, unnest(chart_skills) AS skill FROM chart),
 c AS (SELECT role_category, skill, count(*) AS n FROM e GROUP BY 1, 2),
 g AS (SELECT r AS role_category, s AS skill FROM unnest({O.sql_list(rules.HEATMAP_ROLES)}) a(r) CROSS JOIN unnest({O.sql_list(rules.FOCUS_SKILLS)}) b(s)),
-p AS (SELECT g.role_category, g.skill, CASE WHEN t.jobs >= 5 THEN {O.half_even('coalesce(c.n, 0) * 100.0 / t.jobs', 1)} ELSE 0 END AS pct
+p AS (SELECT g.role_category, g.skill, CASE WHEN t.jobs > 0 THEN {O.half_even('coalesce(c.n, 0) * 100.0 / t.jobs', 1)} END AS pct
   FROM g LEFT JOIN t USING (role_category) LEFT JOIN c ON c.role_category = g.role_category AND c.skill = g.skill)
-SELECT role_category, skill, CAST(pct AS DOUBLE) AS pct FROM p WHERE skill IN (SELECT skill FROM p GROUP BY 1 HAVING max(pct) > 2)"""))
+SELECT role_category, skill, CAST(pct AS DOUBLE) AS pct FROM p"""))
 def _(spark, d):
     return M.skill_role_percent(L.chart(spark, d))
 

@@ -169,7 +169,7 @@ def _(spark, d):
 
 @query("o2_box_stats", O.gold(f"""
 WITH b AS (SELECT experience_level_inferred AS l, count(*) AS n, quantile_cont(salary_midpoint_usd, 0.25) AS q1, median(salary_midpoint_usd) AS median,
-  quantile_cont(salary_midpoint_usd, 0.75) AS q3 FROM gold_sal GROUP BY 1 HAVING count(*) >= 3),
+  quantile_cont(salary_midpoint_usd, 0.75) AS q3 FROM gold_sal GROUP BY 1),
 x AS (SELECT b.*, salary_midpoint_usd AS v, salary_midpoint_usd BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
   FROM gold_sal JOIN b ON l = experience_level_inferred)
 SELECT l AS experience_level_inferred, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(v) FILTER (inside) AS whisker_low,

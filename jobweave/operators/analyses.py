@@ -12,7 +12,7 @@ from jobweave.operators import counts as K
 from jobweave.operators import market as M
 from jobweave.operators import statistics as ST
 from jobweave.operators import timeseries as TS
-from jobweave.operators.quantiles import median
+from jobweave.operators.quantiles import median_by
 
 
 # market
@@ -51,7 +51,7 @@ def salary_distribution(df: DataFrame, col: str = "salary_min_usd") -> DataFrame
 
 def _median(df: DataFrame, key: str, col: str) -> DataFrame:
     paid = df.where(F.col(col).isNotNull())
-    return paid.groupBy(key).agg(median(col).alias("median_salary"))
+    return median_by(paid, [key], col, "median_salary").drop("n")
 
 
 def salary_by_role(df: DataFrame, col: str = "salary_min_usd") -> DataFrame:

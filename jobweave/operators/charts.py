@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobweave import rules
 from jobweave.functions.roles import level_rank
 from jobweave.operators import counts as K
+from jobweave.operators.quantiles import exact_quantiles, overall_one, same
 
 
 def histogram(df: DataFrame, col: str, bins: int = 12, min_step: float = 0.0) -> DataFrame:
@@ -39,20 +40,19 @@ def auto_histogram(df: DataFrame, col: str, max_bins: int = 35) -> DataFrame:
     return out.select(F.col("bin_start").cast("double").alias("bin_start"), "n")
 
 
-def box_stats(df: DataFrame, by: str, col: str, min_rows: int = 3, order: Sequence[str] | None = None) -> DataFrame:
+def box_stats(df: DataFrame, by: str, col: str, min_rows: int = 1, order: Sequence[str] | None = None) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per category.
 
     Values are counted first, so the second look for the whiskers runs over
     distinct values only.
     """
     vals = df.where(F.col(col).isNotNull()).groupBy(by, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
-    q = lambda p: F.percentile("_v", F.lit(p), F.col("_n"))
-    box = vals.groupBy(by).agg(F.sum("_n").alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"),
-                               q(0.75).alias("q3")).where(F.col("n") >= min_rows)
+    box = exact_quantiles(df, [by], col, [0.25, 0.5, 0.75]).select(
+        by, "n", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3")).where(F.col("n") >= min_rows)
     iqr = F.col("q3") - F.col("q1")
     box = box.withColumns({"_lo": F.col("q1") - 1.5 * iqr, "_hi": F.col("q3") + 1.5 * iqr})
     inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    out = vals.join(box, by).groupBy(by, "n", "q1", "median", "q3").agg(
+    out = same(box, vals, [by]).groupBy(by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"))
@@ -80,7 +80,7 @@ def concentration(df: DataFrame, key: str, ks: Sequence[int] = (5, 20)) -> DataF
 def highlight_top(df: DataFrame, key: str, n: int = 20, q: float = 0.75) -> DataFrame:
     """Top n with a flag for counts at or above the q-quantile of those n."""
     top = K.value_counts(df, key, n)
-    return top.withColumn("highlight", F.col("n") >= top.agg(F.percentile("n", F.lit(q))).scalar())
+    return top.withColumn("highlight", F.col("n") >= overall_one(top, "n", q))
 
 
 def tag_weights(top: DataFrame, key: str = "skill") -> DataFrame:

@@ -11,7 +11,7 @@ from jobweave import rules
 from jobweave import schema as S
 from jobweave.functions import dates, location, roles, skills
 from jobweave.functions.common import text
-from jobweave.operators.quantiles import overall
+from jobweave.operators.quantiles import overall_one
 
 # default values of missing or NULL columns (fixed values)
 TEXT_DEFAULTS = {"job_title": "", "company_name": "Không rõ", "skills_str": "",
@@ -95,7 +95,7 @@ def trimmed_salary_subset(df: DataFrame, col: str = "salary_midpoint_usd",
                           q: float = 0.99) -> DataFrame:
     """Disclosed salaries up to the q-quantile of that set (a scalar subquery)."""
     paid = df.where(F.col("has_salary") & (F.col(col) > 0))
-    return paid.where(F.col(col) <= overall(paid, col, q))
+    return paid.where(F.col(col) <= overall_one(paid, col, q))
 
 
 def filter_options(df: DataFrame, n_cities: int = 20) -> DataFrame:
@@ -112,7 +112,7 @@ def filter_options(df: DataFrame, n_cities: int = 20) -> DataFrame:
                   "level", F.col("experience_level_inferred"), roles.level_rank())
     source = named(df.select("source_website").distinct().where("source_website IS NOT NULL"),
                    "source", F.col("source_website"), none)
-    cap = df.sparkSession.range(1).select(overall(df, "salary_midpoint_usd", 0.99).alias("p"))
+    cap = df.sparkSession.range(1).select(overall_one(df, "salary_midpoint_usd", 0.99).alias("p"))
     cap = named(cap, "salary_cap", F.coalesce(F.floor("p"), F.lit(5000)).cast("int").cast("string"), none)
     return cities.unionByName(role).unionByName(level).unionByName(source).unionByName(cap)
 

@@ -12,7 +12,7 @@ from jobweave import schema as S
 from jobweave.functions.common import explode_each, text
 from jobweave.operators import counts as K
 from jobweave.operators.gold import salary_subset
-from jobweave.operators.quantiles import median, median_by, overall
+from jobweave.operators.quantiles import exact_quantiles, median_by, overall, overall_one, same, with_quantiles
 
 SALARY = "salary_midpoint_usd"
 
@@ -42,7 +42,7 @@ def top1(df: DataFrame, key: str) -> Column:
 def overview_kpis(df: DataFrame) -> DataFrame:
     one = dataset_summary(df)
     return one.withColumns({
-        "median_salary": overall(salary_subset(df), SALARY),
+        "median_salary": overall_one(salary_subset(df), SALARY),
         "top_skill": top1(explode_skills(df, "dash_skills"), "skill"),
         "top_company": top1(df, "company_name"),
         "top_role": top1(df, "role_category"),
@@ -53,8 +53,14 @@ def overview_kpis(df: DataFrame) -> DataFrame:
 def salary_kpis(df: DataFrame) -> DataFrame:
     paid = F.when(is_salary(), F.col(SALARY))
     one = df.agg(F.avg(paid).alias("mean"), pct(F.count(paid), F.count("*")).alias("disclosed_pct"))
-    known = df.select(paid.alias("_paid"))
-    return one.select(overall(known, "_paid").alias("median"), "mean", overall(known, "_paid", 0.95).alias("p95"), "disclosed_pct")
+    one = one.withColumn("_q", overall(df.select(paid.alias("_paid")), "_paid", [0.5, 0.95]))
+    return one.select(F.col("_q.q50").alias("median"), "mean", F.col("_q.q95").alias("p95"), "disclosed_pct")
+
+
+def salary_quartiles(paid: DataFrame) -> DataFrame:
+    """Quartiles and mean of the salaries, one row."""
+    one = paid.agg(F.avg(SALARY).alias("mean")).withColumn("_q", overall(paid, SALARY, [0.25, 0.5, 0.75]))
+    return one.select(F.col("_q.q25").alias("p25"), F.col("_q.q50").alias("median"), F.col("_q.q75").alias("p75"), "mean")
 
 
 def skill_kpis(df: DataFrame, skills: str = "dash_skills") -> DataFrame:
@@ -110,12 +116,13 @@ def chart_overview(df: DataFrame, trimmed: DataFrame) -> DataFrame:
                  F.min("posted_date_dt").cast("string").alias("first_date"),
                  F.max("posted_date_dt").cast("string").alias("last_date"))
     return one.withColumns({"with_salary_pct": pct(F.col("with_salary"), F.col("jobs")),
-                            "median_salary": overall(trimmed, SALARY)})
+                            "median_salary": overall_one(trimmed, SALARY)})
 
 
 # -- salary -------------------------------------------------------------------------
 def median_by_role(paid: DataFrame, n: int = 10) -> DataFrame:
-    out = paid.groupBy("role_category").agg(F.bround(median(SALARY), 0).alias("median_salary"))
+    out = exact_quantiles(paid, ["role_category"], SALARY, [0.5]).select(
+        "role_category", F.bround("q50", 0).alias("median_salary"))
     return K.top_by(out, "median_salary", "role_category", n)
 
 
@@ -124,9 +131,9 @@ def median_by_top_city(paid: DataFrame, n: int = 8) -> DataFrame:
 
 
 def role_salary_stats(paid: DataFrame, min_count: int = 10) -> DataFrame:
-    out = paid.groupBy("role_category").agg(median(SALARY).alias("median"), F.avg(SALARY).alias("mean"),
-                                            F.count(SALARY).alias("n"))
-    return out.where(F.col("n") >= min_count)
+    out = paid.groupBy("role_category").agg(F.avg(SALARY).alias("mean"), F.count(SALARY).alias("n"))
+    out = with_quantiles(out.where(F.col("n") >= min_count), paid, ["role_category"], SALARY)
+    return out.select("role_category", "median", "mean", "n")
 
 
 def high_paying_skills(paid: DataFrame, skills: str = "dash_skills", min_count: int = 15,
@@ -161,8 +168,11 @@ def skill_by_role(df: DataFrame, skills: str = "dash_skills", n_skills: int = 12
 
 
 def skill_role_percent(df: DataFrame, skills: str = "chart_skills", roles=rules.HEATMAP_ROLES,
-                       focus=rules.FOCUS_SKILLS, min_jobs: int = 5, min_max: float = 2.0) -> DataFrame:
-    """% of the postings of a role that name a skill; skills that never pass ``min_max`` go."""
+                       focus=rules.FOCUS_SKILLS, min_jobs: int = 0, min_max: float | None = None) -> DataFrame:
+    """% of the postings of a role that name a skill; NULL for a role without postings or with fewer than ``min_jobs``.
+
+    A caller may leave out the skills whose share never passes ``min_max``.
+    """
     totals = df.where(F.col("role_category").isin(*roles)).groupBy("role_category").agg(
         F.count("*").alias("jobs"))
     each = explode_skills(df, skills, keep=["role_category"]).where(
@@ -171,9 +181,10 @@ def skill_role_percent(df: DataFrame, skills: str = "chart_skills", roles=rules.
     grid = K.ordered_dim(df, "role_category", roles).select(
         "role_category", F.explode(F.array(*[F.lit(s) for s in focus])).alias("skill"))
     out = grid.join(totals, "role_category", "left").join(counts, ["role_category", "skill"], "left")
-    share = F.when(F.col("jobs") >= min_jobs,
-                   F.bround(F.coalesce("n", F.lit(0)) * 100.0 / F.col("jobs"), 1))
-    out = out.select("role_category", "skill", F.coalesce(share, F.lit(0.0)).alias("pct"))
+    share = F.when(F.col("jobs") >= min_jobs, F.bround(F.coalesce("n", F.lit(0)) * 100.0 / F.col("jobs"), 1))
+    out = out.select("role_category", "skill", share.alias("pct"))
+    if min_max is None:
+        return out
     keep = out.groupBy("skill").agg(F.max("pct").alias("m")).where(F.col("m") > min_max).select("skill")
     return out.join(keep, "skill", "left_semi")
 
@@ -200,7 +211,7 @@ def company_profile(df: DataFrame, company: str = "company_name") -> DataFrame:
 
 
 def city_profile(df: DataFrame) -> DataFrame:
-    paid = salary_subset(df).groupBy("city").agg(F.bround(median(SALARY), 0).alias("median_salary"))
+    paid = exact_quantiles(salary_subset(df), ["city"], SALARY, [0.5]).select("city", F.bround("q50", 0).alias("median_salary"))
     return (df.groupBy("city").agg(F.count("job_title").alias("jobs"),
                                    F.count_distinct("company_name").alias("companies"))
             .join(K.mode_by(df, "city", "role_category", "main_role"), "city")
@@ -210,28 +221,32 @@ def city_profile(df: DataFrame) -> DataFrame:
 def city_stats(df: DataFrame, paid: DataFrame, n: int = 10) -> DataFrame:
     """Top cities with mean skill count, left-joined to their median salary."""
     stats = df.groupBy("city").agg(F.count("job_title").alias("jobs"), F.avg("skill_count").alias("avg_skills"))
-    return K.top_by(stats, "jobs", "city", n).join(
-        paid.groupBy("city").agg(median(SALARY).alias("median_salary")), "city", "left")
+    medians = exact_quantiles(paid, ["city"], SALARY, [0.5]).select("city", F.col("q50").alias("median_salary"))
+    return K.top_by(stats, "jobs", "city", n).join(medians, "city", "left")
 
 
 def two_city_roles(df: DataFrame, left=rules.HCM_KEYS, right=rules.HANOI_KEYS, n_roles: int = 7,
-                   min_jobs: int = 10, min_paid: int = 5) -> DataFrame:
+                   min_jobs: int = 0, min_paid: int = 0) -> DataFrame:
     """Counts and median salaries of two cities over the top roles.
 
-    No rows when a city has too few postings; NULL medians when too few salaries.
+    A caller may ask for no rows unless each city has ``min_jobs`` postings, and for
+    NULL medians unless each has ``min_paid`` salaries; by default all is shown.
     """
     side = F.when(F.col("city").isin(*left), "l").when(F.col("city").isin(*right), "r")
     df = df.withColumn("_side", side)
     sal = F.when(is_salary(), F.col(SALARY))
     on = lambda s, v: F.when(F.col("_side") == s, v)
     per = df.groupBy("role_category").agg(
-        F.count(on("l", F.lit(1))).alias("left_jobs"), F.count(on("r", F.lit(1))).alias("right_jobs"),
-        median(on("l", sal)).alias("_lm"), median(on("r", sal)).alias("_rm"))
+        F.count(on("l", F.lit(1))).alias("left_jobs"), F.count(on("r", F.lit(1))).alias("right_jobs"))
+    sides = exact_quantiles(df.where("_side IS NOT NULL").select("role_category", "_side", sal.alias("_sal")),
+                            ["role_category", "_side"], "_sal", [0.5])
+    sides = sides.groupBy("role_category").agg(F.max(on("l", F.col("q50"))).alias("_lm"), F.max(on("r", F.col("q50"))).alias("_rm"))
+    per = same(per, sides, ["role_category"], "left")
     out = K.value_counts(df, "role_category", n_roles).select("role_category").join(per, "role_category")
     size = df.agg(F.count(on("l", F.lit(1))).alias("lj"), F.count(on("r", F.lit(1))).alias("rj"),
                   F.count(on("l", sal)).alias("lp"), F.count(on("r", sal)).alias("rp"))
-    enough = size.select((F.col("lj") > min_jobs) & (F.col("rj") > min_jobs)).scalar()
-    paid = size.select((F.col("lp") > min_paid) & (F.col("rp") > min_paid)).scalar()
+    enough = size.select((F.col("lj") >= min_jobs) & (F.col("rj") >= min_jobs)).scalar()
+    paid = size.select((F.col("lp") >= min_paid) & (F.col("rp") >= min_paid)).scalar()
     return out.where(enough).select("role_category", "left_jobs", "right_jobs",
                                     F.when(paid, F.col("_lm")).alias("left_median"),
                                     F.when(paid, F.col("_rm")).alias("right_median"))
@@ -243,8 +258,7 @@ def two_city_metrics(df: DataFrame, paid: DataFrame, cities=("Ho Chi Minh City",
         F.count("*").cast("double").alias("job_count"),
         (F.avg(F.col("experience_level_inferred").isin("senior", "lead").cast("int")) * 100).alias("senior_lead_pct"),
         F.avg("skill_count").alias("avg_skills"))
-    sal = paid.where(F.col("city").isin(*cities)).groupBy("city").agg(median(SALARY).alias("median_salary"))
-    wide = jobs.join(sal, "city", "left")
+    wide = with_quantiles(jobs, paid.where(F.col("city").isin(*cities)), ["city"], SALARY, names=["median_salary"])
     names = ["median_salary", "job_count", "senior_lead_pct", "avg_skills"]
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])
     return wide.select("city", F.inline(pairs))

@@ -39,5 +39,6 @@ def least_squares(df: DataFrame, y: str, x: str, max_x: float | None = None) ->
 def describe(df: DataFrame, col: str) -> DataFrame:
     one = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
                  F.min(col).alias("min"), F.max(col).alias("max"))
-    q = lambda p: overall(df, col, p)
-    return one.select("n", "mean", "std", "min", q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), "max")
+    one = one.withColumn("_q", overall(df, col, [0.25, 0.5, 0.75]))
+    return one.select("n", "mean", "std", "min", F.col("_q.q25").alias("p25"), F.col("_q.q50").alias("median"),
+                      F.col("_q.q75").alias("p75"), "max")
