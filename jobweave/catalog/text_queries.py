@@ -12,7 +12,7 @@ from jobweave.catalog import layers as L
 from jobweave.catalog import oracle as O
 from jobweave.catalog.market_queries import SKILL_CAT_SQL, rounded
 from jobweave.catalog.registry import query
-from jobweave.functions import experience, skills
+from jobweave.functions import experience, roles, skills
 from jobweave.operators import keywords as KW
 from jobweave.operators import matching as MT
 from jobweave.operators import gold as G
@@ -239,48 +239,65 @@ def _(spark, d):
     return L.raw(spark, d).select("ingest_seq", experience.required_years("job_description").alias("years"))
 
 
-# applications: résumé n applies to the postings of company n
-MATCH = f"""{O.RAW}, {RES},
+# applications: the postings of company n get résumé n, beginning again after the last one
+_DOCS = f"""{O.RAW}, {RES},
 cv AS (SELECT resume_id, text, {skills_sql('b')} AS rs, {years_sql('text', 'max')} AS ry FROM (SELECT *, {_NTEXT.format(x='text')} AS b FROM res)),
 jd0 AS (SELECT ingest_seq AS job_id, o_custkey, regexp_replace({_JD_RAW}, '^\\s+|\\s+$', '', 'g') AS jt FROM raw_jobs),
-jd AS (SELECT job_id, o_custkey, jt, {skills_sql('b')} AS js, {years_sql('jt', 'min')} AS jy FROM (SELECT *, {_NTEXT.format(x='jt')} AS b FROM jd0)),
-prs AS (SELECT resume_id, job_id, rs, ry, js, jy FROM jd JOIN cv ON resume_id = o_custkey),
+jd AS (SELECT job_id, o_custkey, jt, {skills_sql('b')} AS js, {years_sql('jt', 'min')} AS jy FROM (SELECT *, {_NTEXT.format(x='jt')} AS b FROM jd0))"""
+_FIT = ("CASE WHEN jy IS NULL THEN 1.0 WHEN ry IS NULL THEN 0.4 WHEN ry >= jy THEN 1.0 "
+        "ELSE greatest(0, least(1, ry / greatest(jy, 0.5))) END")
+_SKILL = "CASE WHEN len(js) > 0 THEN len(list_filter(js, lambda s: list_contains(rs, s))) / len(js) ELSE 0 END"
+_PAIR_TERMS = f"""prs AS (SELECT resume_id, job_id, rs, ry, js, jy FROM jd JOIN cv ON resume_id = o_custkey % (SELECT count(*) FROM documents)),
 cvt AS (SELECT resume_id, term, count(*) AS tf FROM (SELECT resume_id, unnest(list_concat(tk, {bigrams('tk')})) AS term FROM (SELECT resume_id, {kw_tokens('text')} AS tk FROM cv)) GROUP BY ALL),
-jdt AS (SELECT job_id, term, count(*) AS tf FROM (SELECT job_id, unnest(list_concat(tk, {bigrams('tk')})) AS term FROM (SELECT job_id, {kw_tokens('jt')} AS tk FROM jd)) GROUP BY ALL),
-al AS (SELECT resume_id, job_id, term, sum(a) AS a, sum(b) AS b FROM (
+jdt AS (SELECT job_id, term, count(*) AS tf FROM (SELECT job_id, unnest(list_concat(tk, {bigrams('tk')})) AS term FROM (SELECT job_id, {kw_tokens('jt')} AS tk FROM jd)) GROUP BY ALL)"""
+# all terms of the posting, in falling order of their counts
+_ALL_TERMS = """rk AS (SELECT prs.resume_id, job_id, j.term, j.tf AS o, c.tf IS NOT NULL AS found FROM prs JOIN jdt j USING (job_id)
+  LEFT JOIN cvt c ON c.resume_id = prs.resume_id AND c.term = j.term)"""
+# the best terms of each side by TF-IDF over the two documents, within their most used terms
+_BEST_TERMS = f"""al AS (SELECT resume_id, job_id, term, sum(a) AS a, sum(b) AS b FROM (
   SELECT resume_id, job_id, term, tf AS a, 0 AS b FROM prs JOIN cvt USING (resume_id)
   UNION ALL SELECT resume_id, job_id, term, 0, tf FROM prs JOIN jdt USING (job_id)) GROUP BY ALL),
-vo AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY resume_id, job_id ORDER BY a + b DESC, term) <= 150),
+vo AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY resume_id, job_id ORDER BY a + b DESC, term) <= {MT.DASHBOARD_LIMITS['features']}),
 wt AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 1.0 ELSE {math.log(1.5) + 1!r} END AS idf FROM vo),
-rk AS (SELECT *, row_number() OVER (PARTITION BY resume_id, job_id, b > 0 ORDER BY round(b * idf, 9) DESC, term) AS jr,
+rk0 AS (SELECT *, row_number() OVER (PARTITION BY resume_id, job_id, b > 0 ORDER BY round(b * idf, 9) DESC, term) AS jr,
   row_number() OVER (PARTITION BY resume_id, job_id, a > 0 ORDER BY round(a * idf, 9) DESC, term) AS cr FROM wt),
-ko AS (SELECT resume_id, job_id, count(*) AS asked, count(*) FILTER (a > 0 AND cr <= 40) AS hit,
-  string_agg(term, '|' ORDER BY jr) FILTER (a > 0 AND cr <= 40) AS matched_keywords FROM rk WHERE b > 0 AND jr <= 20 GROUP BY ALL),
-m0 AS (SELECT prs.*, CASE WHEN len(js) > 0 THEN len(list_filter(js, lambda s: list_contains(rs, s))) / len(js) ELSE 0 END AS so,
-  coalesce(hit / asked, 0) AS ks, coalesce(matched_keywords, '') AS matched_keywords,
-  CASE WHEN jy IS NULL THEN 1.0 WHEN ry IS NULL THEN 0.4 WHEN ry >= jy THEN 1.0 ELSE greatest(0, least(1, ry / greatest(jy, 0.5))) END AS es
+rk AS (SELECT resume_id, job_id, term, -jr AS o, a > 0 AND cr <= {MT.DASHBOARD_LIMITS['resume_terms']} AS found FROM rk0
+  WHERE b > 0 AND jr <= {MT.DASHBOARD_LIMITS['jd_terms']})"""
+
+
+def match_sql(terms):
+    return f"""{_DOCS},
+{_PAIR_TERMS},
+{terms},
+ko AS (SELECT resume_id, job_id, count(*) AS asked, count(*) FILTER (found) AS hit,
+  string_agg(term, '|' ORDER BY o DESC, term) FILTER (found) AS matched_keywords FROM rk GROUP BY ALL),
+m0 AS (SELECT prs.*, {_SKILL} AS so, coalesce(hit / asked, 0) AS ks, coalesce(matched_keywords, '') AS matched_keywords, {_FIT} AS es
   FROM prs LEFT JOIN ko USING (resume_id, job_id)),
 mt AS (SELECT *, {O.half_even('(0.6 * so + 0.2 * ks + 0.2 * es) * 100', 1)} AS score, {O.half_even('so * 100', 1)} AS skill_score,
   {O.half_even('ks * 100', 1)} AS keyword_score, {O.half_even('es * 100', 1)} AS experience_score,
   list_filter(js, lambda s: NOT list_contains(rs, s)) AS missing FROM m0)"""
 
 
+MATCH, DASHBOARD_MATCH = match_sql(_ALL_TERMS), match_sql(_BEST_TERMS)
+
+
 def _bykey(x):
     key = _KEY.format(x="s")
     return (f"list_transform(list_sort(list_transform({x}, lambda s: {key} || chr(1) || s)), lambda s: string_split(s, chr(1))[2])")
 
 
-def features(spark, d, keywords=True):
-    cv = MT.document_features(resumes(spark, d), "resume_id", "text", experience.candidate_years("text"), keywords=keywords)
+def features(spark, d, keywords=True, limited=False):
+    cv = MT.document_features(resumes(spark, d), "resume_id", "text", experience.candidate_years("text"), keywords=keywords, ranked=limited)
     jobs = L.raw(spark, d).select(F.col("ingest_seq").alias("job_id"), "o_custkey",
                                   G.posting_text(skills_col="skills_required").alias("jt"))
     jd = MT.document_features(jobs, "job_id", "jt", experience.required_years("jt"), keywords=keywords)
-    pairs = jobs.select(F.col("o_custkey").alias("resume_id"), "job_id")
+    many = D.table(spark, d, "documents").agg(F.count("*")).scalar()
+    pairs = jobs.select((F.col("o_custkey") % many).alias("resume_id"), "job_id")
     return pairs, cv, jd
 
 
-def matched(spark, d):
-    return MT.match_pairs(*features(spark, d))
+def matched(spark, d, limits=None):
+    return MT.match_pairs(*features(spark, d, limited=limits is not None), limits=limits)
 
 
 _J = lambda c: F.array_join(c, "|").alias(c)
@@ -304,6 +321,11 @@ def _(spark, d):
     return matched(spark, d).select("resume_id", "job_id", "keyword_score", _J("matched_keywords"))
 
 
+@query("l6_keyword_overlap_dashboard", O.over(DASHBOARD_MATCH, "SELECT resume_id, job_id, score, keyword_score, matched_keywords FROM mt"))
+def _(spark, d):
+    return matched(spark, d, MT.DASHBOARD_LIMITS).select("resume_id", "job_id", "score", "keyword_score", _J("matched_keywords"))
+
+
 @query("l7_experience_alignment", O.over(MATCH, "SELECT resume_id, job_id, ry, jy, round(es, 6) AS fit FROM mt"))
 def _(spark, d):
     pairs, cv, jd = features(spark, d, keywords=False)
@@ -317,14 +339,22 @@ def _(spark, d):
     return matched(spark, d).select("resume_id", "job_id", "score", "skill_score", "keyword_score", "experience_score")
 
 
-@query("l9_ats_keywords", O.over(f"{O.RAW}, k AS (SELECT ingest_seq, {kw_tokens('job_description')} AS tk FROM raw_jobs), "
-                                 f"e AS (SELECT ingest_seq, unnest(list_concat(tk, {bigrams('tk')})) AS keyword FROM k)", """
-SELECT ingest_seq, keyword, count(*) AS tf, CAST(row_number() OVER (PARTITION BY ingest_seq ORDER BY count(*) DESC, keyword) AS INTEGER) AS rank
-FROM e GROUP BY 1, 2 QUALIFY rank <= 20"""))
+_ATS = (f"{O.RAW}, k AS (SELECT ingest_seq, {kw_tokens('job_description')} AS tk FROM raw_jobs), "
+        f"e AS (SELECT ingest_seq, unnest(list_concat(tk, {bigrams('tk')})) AS keyword FROM k)")
+_ATS_RANK = """SELECT ingest_seq, keyword, count(*) AS tf, CAST(row_number() OVER (PARTITION BY ingest_seq ORDER BY count(*) DESC, keyword) AS INTEGER) AS rank
+FROM e GROUP BY 1, 2"""
+
+
+@query("l9_ats_keywords", O.over(_ATS, _ATS_RANK))
 def _(spark, d):
     return MT.ats_keywords(L.raw(spark, d), "ingest_seq", "job_description")
 
 
+@query("l9_ats_top_keywords", O.over(_ATS, _ATS_RANK + " QUALIFY rank <= 20"))
+def _(spark, d):
+    return MT.ats_keywords(L.raw(spark, d), "ingest_seq", "job_description", 20)
+
+
 _REC = (f"list_transform({_bykey('missing')}, lambda s: coalesce({O.sql_map(rules.LEARNING_SUGGESTIONS)}[s], "
         f"{O.q(rules.LEARNING_TEMPLATE[0])} || s || {O.q(rules.LEARNING_TEMPLATE[1])}))")
 
@@ -355,20 +385,34 @@ def _(spark, d):
     return L.raw(spark, d).select("ingest_seq", F.array_join(skills.normalize_items(F.split("skills_required", ",")), "|").alias("items"))
 
 
-@query("l13_top_postings", O.over(MATCH.split("prs AS (")[0].rstrip().rstrip(",") + f""",
-rk AS (SELECT DISTINCT rs, ry FROM cv), jk AS (SELECT DISTINCT js, jy FROM jd),
-pk AS (SELECT rs, ry, js, jy, len(list_filter(js, lambda s: list_contains(rs, s))) AS h FROM rk, jk),
-sc AS (SELECT *, {O.half_even('''(0.6 * h / len(js) + 0.2 * (CASE WHEN jy IS NULL THEN 1.0 WHEN ry IS NULL THEN 0.4 WHEN ry >= jy THEN 1.0
-  ELSE greatest(0, least(1, ry / greatest(jy, 0.5))) END)) * 100''', 1)} AS score FROM pk WHERE h > 0),
-fl AS (SELECT sc.rs, sc.ry, job_id, score FROM sc JOIN jd ON jd.js = sc.js AND jd.jy IS NOT DISTINCT FROM sc.jy
-  QUALIFY row_number() OVER (PARTITION BY sc.rs, sc.ry ORDER BY score DESC, job_id) <= 10)""", """
-SELECT resume_id, job_id, score, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, job_id) AS INTEGER) AS rank
-FROM fl JOIN cv ON cv.rs = fl.rs AND cv.ry IS NOT DISTINCT FROM fl.ry"""))
+_TOP = f"""{_DOCS},
+jc AS (SELECT jt, any_value(js) AS js, any_value(jy) AS jy, min(job_id) AS c, list(job_id ORDER BY job_id)[1:10] AS ids FROM jd @where GROUP BY 1),
+jcl AS (SELECT c, js, jy, ids, list_distinct(list_concat(tk, {bigrams('tk')})) AS tl FROM (SELECT *, {kw_tokens('jt')} AS tk FROM jc)),
+cvl AS (SELECT resume_id, rs, ry, list_distinct(list_concat(tk, {bigrams('tk')})) AS rl FROM (SELECT *, {kw_tokens('text')} AS tk FROM cv)),
+hits AS (SELECT resume_id, c, count(*) AS h FROM (SELECT c, unnest(tl) AS term FROM jcl) JOIN (SELECT resume_id, unnest(rl) AS term FROM cvl) USING (term) GROUP BY ALL),
+parts AS (SELECT resume_id, ids, {_SKILL} AS so, coalesce(h / len(tl), 0) AS ks, {_FIT} AS es FROM cvl CROSS JOIN jcl LEFT JOIN hits USING (resume_id, c)),
+fl AS (SELECT resume_id, unnest(ids) AS job_id, {O.half_even('(0.6 * so + 0.2 * ks + 0.2 * es) * 100', 1)} AS score FROM parts)"""
+_TOP_RANK = """SELECT resume_id, job_id, score, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, job_id) AS INTEGER) AS rank
+FROM fl QUALIFY rank <= 10"""
+
+
+def _ranked(spark, d, postings):
+    _, cv, jd = features(spark, d)
+    # the features are read at every step of the ranking, so they are written first
+    jd = warehouse.staged(spark, d, "posting_features", lambda: jd)
+    return MT.top_postings(warehouse.staged(spark, d, "resume_features", lambda: cv), postings(jd))
+
+
+@query("l13_top_postings", O.over(_TOP.replace("@where", ""), _TOP_RANK))
+def _(spark, d):
+    return _ranked(spark, d, lambda jd: jd)
+
+
+@query("l13_top_postings_of_a_role", O.over(_TOP.replace("@where", f"""WHERE job_id IN (
+  SELECT ingest_seq FROM raw_jobs WHERE {O.role('job_title')} = 'Data Engineer')"""), _TOP_RANK))
 def _(spark, d):
-    # the features are read more than once, so they are written first
-    _, cv, jd = features(spark, d, keywords=False)
-    return MT.top_postings(warehouse.staged(spark, d, "resume_features", lambda: cv),
-                           warehouse.staged(spark, d, "posting_features", lambda: jd))
+    of_role = L.raw(spark, d).where(roles.role_category() == "Data Engineer").select(F.col("ingest_seq").alias("job_id"))
+    return _ranked(spark, d, lambda jd: jd.join(of_role, "job_id", "left_semi"))
 
 
 @query("j6_keyword_set_overlap", O.over(
@@ -398,8 +442,7 @@ SELECT resume_id, job_id, 'summary' AS section, score AS match_score, skill_scor
 UNION ALL BY NAME SELECT resume_id, job_id, 'skills' AS section, 'matched' AS type, unnest(list_filter(js, lambda s: list_contains(rs, s))) AS skill FROM mt
 UNION ALL BY NAME SELECT resume_id, job_id, 'skills' AS section, 'missing' AS type, unnest(missing) AS skill FROM mt
 UNION ALL BY NAME SELECT resume_id, job_id, 'skills' AS section, 'resume_only' AS type, unnest(list_filter(rs, lambda s: NOT list_contains(js, s))) AS skill FROM mt
-UNION ALL BY NAME SELECT resume_id, job_id, 'keywords' AS section, CASE WHEN a > 0 AND cr <= {MT.RESUME_TERMS} THEN 'matched' ELSE 'missing' END AS type, term AS keyword
-  FROM rk WHERE b > 0 AND jr <= {MT.JD_TERMS}
+UNION ALL BY NAME SELECT resume_id, job_id, 'keywords' AS section, CASE WHEN found THEN 'matched' ELSE 'missing' END AS type, term AS keyword FROM rk
 UNION ALL BY NAME SELECT resume_id, job_id, 'recommendations' AS section, unnest({_REC}) AS recommendation FROM mt"""))
 def _(spark, d):
     return MT.full_report(matched(spark, d))

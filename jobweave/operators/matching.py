@@ -10,7 +10,7 @@ import math
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave import rules
@@ -18,8 +18,10 @@ from jobweave.functions import experience, skills
 from jobweave.functions.common import as_col, half_even, let, lookup, run_lengths, text
 from jobweave.operators.counts import top_per_group
 from jobweave.operators.keywords import tokens, with_terms
+from jobweave.plans.warehouse import written
 
-FEATURES, JD_TERMS, RESUME_TERMS, ATS_FEATURES = 150, 20, 40, 120
+#: Term limits of the dashboard's pair score and keyword list; operators have none unless a caller passes them.
+DASHBOARD_LIMITS = {"features": 150, "jd_terms": 20, "resume_terms": 40}
 
 
 # -- résumé text ------------------------------------------------------------------
@@ -72,20 +74,33 @@ def with_sections(df: DataFrame, text_col: str = "text", sections=None) -> DataF
 
 
 # -- per-document features -----------------------------------------------------------
-def with_term_map(df: DataFrame, text_col: str, name: str = "term_counts") -> DataFrame:
-    """Add a map term -> count over words and word pairs, counted inside the row."""
+def with_term_lists(df: DataFrame, text_col: str, ranked: bool = True) -> DataFrame:
+    """Add `terms` and `counts`: words and word pairs of a text, the most frequent first, ties by term.
+
+    Counted and ordered once a document, so that a pair only merges two ordered lists.
+    Not ``ranked``, the terms are distinct in order of appearance, without counts.
+    """
     df = df.withColumn("_tokens", tokens(text_col))
     df = df.withColumn("_grams", F.concat("_tokens", skills.phrases(F.col("_tokens"), 2)))
-    return df.withColumn(name, F.map_from_entries(run_lengths(F.col("_grams")))).drop("_tokens", "_grams")
+    if not ranked:
+        return df.withColumn("terms", F.array_distinct("_grams")).drop("_tokens", "_grams")
+    ranked = F.sort_array(F.transform(run_lengths(F.col("_grams")), lambda e: F.struct((-e["tf"]).alias("o"), e["term"].alias("t"))))
+    df = df.withColumn("_ranked", ranked)
+    return df.withColumns({"terms": F.transform("_ranked", lambda e: e["t"]),
+                           "counts": F.transform("_ranked", lambda e: -e["o"])}).drop("_tokens", "_grams", "_ranked")
 
 
 def document_features(df: DataFrame, doc: str, text_col: str, years: Column | None = None,
-                      skills_col: Column | None = None, keywords: bool = True) -> DataFrame:
-    """(doc, skills, years, term_counts): what a pair needs to know about a document."""
+                      skills_col: Column | None = None, keywords: bool = True, ranked: bool = True) -> DataFrame:
+    """(doc, skills, years, terms, counts): what a pair needs to know about a document.
+
+    A résumé needs no ``ranked`` terms (and counts) unless the terms of a pair are limited.
+    """
     feats = {"skills": skills.extract_skills(text_col) if skills_col is None else skills_col,
              "years": F.lit(None).cast("double") if years is None else years}
     if keywords:
-        return with_term_map(df, text_col).withColumns(feats).select(doc, *feats, "term_counts")
+        lists = ["terms", "counts"] if ranked else ["terms"]
+        return with_term_lists(df, text_col, ranked).withColumns(feats).select(doc, *feats, *lists)
     return df.withColumns(feats).select(doc, *feats)
 
 
@@ -115,41 +130,67 @@ def with_skill_overlap(df: DataFrame, resume: str, posting: str) -> DataFrame:
     return df.withColumn("skill_overlap", share).drop("_r", "_j", "_rk", "_jk")
 
 
-def with_keyword_overlap(df: DataFrame, resume: str, posting: str, features: int = FEATURES,
-                         jd_terms: int = JD_TERMS, resume_terms: int = RESUME_TERMS) -> DataFrame:
-    """Two-document TF-IDF overlap from two term maps, inside the row.
+def with_keyword_overlap(df: DataFrame, resume: str, posting: str, features: int | None = None,
+                         jd_terms: int | None = None, resume_terms: int | None = None) -> DataFrame:
+    """Matched and missing terms of a posting and their share, from two documents' `terms` (and `counts`).
 
-    The vocabulary is the ``features`` most used terms of both texts.  A term in
-    both has idf 1, a term in one ln(3/2) + 1.  Ranking ties go to the smaller term.
+    `resume` and `posting` are the prefixes of the columns.  All terms count unless a
+    caller limits the vocabulary of the pair to its ``features`` most used terms, the
+    posting to its ``jd_terms`` best and the résumé to its ``resume_terms`` best by
+    two-document TF-IDF (a term in both has idf 1, in one ln(3/2) + 1; ties go to the
+    smaller term).  Both lists are in falling order of counts already: without limits
+    that is the wanted order, with them only their heads and the shared terms are
+    merged, since no other term can be among the first ``features``.
     """
-    empty = F.expr("map()").cast("map<string,int>")
-    both = F.map_entries(F.map_zip_with(
-        F.coalesce(as_col(resume), empty), F.coalesce(as_col(posting), empty),
-        lambda k, a, b: F.struct(F.coalesce(a, F.lit(0)).alias("a"), F.coalesce(b, F.lit(0)).alias("b"))))
-    vocab = F.slice(F.sort_array(F.transform(both, lambda e: F.struct(
-        (-(e["value"]["a"] + e["value"]["b"])).alias("o"), e["key"].alias("t"),
-        e["value"]["a"].alias("a"), e["value"]["b"].alias("b")))), 1, features)
-    df = df.withColumn("_vocab", vocab)
+    empty = F.array().cast("array<string>")
+    r, j = (F.coalesce(F.col(f"{p}terms"), empty) for p in (resume, posting))
+    if (features, jd_terms, resume_terms) == (None, None, None):
+        # a résumé is the longer text: look its terms up among the posting's, then take the posting's order
+        df = df.withColumn("_both", F.array_intersect(r, j))
+        df = df.withColumns({"matched_keywords": F.array_intersect(j, "_both"), "missing_keywords": F.array_except(j, "_both")}).drop("_both")
+    else:
+        df = _limited_overlap(df, resume, posting, features, jd_terms, resume_terms)
+    asked = F.size("matched_keywords") + F.size("missing_keywords")
+    return df.withColumn("keyword_overlap", F.when(asked > 0, F.size("matched_keywords") / asked).otherwise(0.0))
+
+
+def _limited_overlap(df: DataFrame, resume: str, posting: str, features: int | None, jd_terms: int | None,
+                     resume_terms: int | None) -> DataFrame:
+    n = lambda k: F.lit(2 ** 31 - 1 if k is None else k)
+    side = lambda p: F.coalesce(F.arrays_zip(F.col(f"{p}terms").alias("t"), F.col(f"{p}counts").alias("n")),
+                                F.array().cast("array<struct<t:string,n:int>>"))
+    df = df.withColumns({"_rl": side(resume), "_jl": side(posting)})
+    names = lambda c: F.transform(c, lambda e: e["t"])
+    df = df.withColumn("_both", F.array_intersect(names("_jl"), names("_rl")))
+    mine = lambda c: F.filter(c, lambda e: F.array_contains(F.col("_both"), e["t"]))
+    # a term of one side only is among the first `features` of the pair only if it is among that many of its side
+    head = lambda c: F.filter(F.slice(c, 1, F.least(n(features), F.size(c)) + F.size("_both")),
+                              lambda e: ~F.array_contains(F.col("_both"), e["t"]))
+    df = df.withColumns({"_rb": F.sort_array(mine("_rl")), "_jb": F.sort_array(mine("_jl"))})
+    entry = lambda t, a, b: F.struct((-(a + b)).alias("o"), t.alias("t"), a.alias("a"), b.alias("b"))
+    zero = F.lit(0)
+    merged = F.concat(F.zip_with("_rb", "_jb", lambda x, y: entry(x["t"], x["n"], y["n"])),
+                      F.transform(head("_rl"), lambda e: entry(e["t"], e["n"], zero)),
+                      F.transform(head("_jl"), lambda e: entry(e["t"], zero, e["n"])))
+    df = df.withColumn("_vocab", F.slice(F.sort_array(merged), 1, n(features)))
     rare = math.log(1.5) + 1
-    idf = lambda e: F.when((e["a"] > 0) & (e["b"] > 0), 1.0).otherwise(rare)
 
-    def best(side: str, n: int) -> Column:
-        ranked = F.transform(F.filter("_vocab", lambda e: e[side] > 0),
-                             lambda e: F.struct((-F.round(e[side] * idf(e), 9)).alias("o"), e["t"].alias("t")))
-        return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda e: e["t"])
+    def best(count: str, k: int | None) -> Column:
+        idf = lambda e: F.when((e["a"] > 0) & (e["b"] > 0), 1.0).otherwise(rare)
+        ranked = F.transform(F.filter("_vocab", lambda e: e[count] > 0),
+                             lambda e: F.struct((-F.round(e[count] * idf(e), 9)).alias("o"), e["t"].alias("t")))
+        return F.transform(F.slice(F.sort_array(ranked), 1, n(k)), lambda e: e["t"])
 
     df = df.withColumns({"_jd": best("b", jd_terms), "_cv": best("a", resume_terms)})
-    df = df.withColumns({"matched_keywords": F.filter("_jd", lambda t: F.array_contains(F.col("_cv"), t)),
-                         "missing_keywords": F.filter("_jd", lambda t: ~F.array_contains(F.col("_cv"), t))})
-    share = F.when(F.size("_jd") > 0, F.size("matched_keywords") / F.size("_jd")).otherwise(0.0)
-    return df.withColumn("keyword_overlap", share).drop("_vocab", "_jd", "_cv")
+    df = df.withColumns({"matched_keywords": F.array_intersect("_jd", "_cv"), "missing_keywords": F.array_except("_jd", "_cv")})
+    return df.drop("_rl", "_jl", "_both", "_rb", "_jb", "_vocab", "_jd", "_cv")
 
 
-def ats_keywords(df: DataFrame, doc: str, text_col: str, n: int = JD_TERMS, features: int = ATS_FEATURES) -> DataFrame:
-    """Top terms of single texts (one document each, so ranked by count)."""
+def ats_keywords(df: DataFrame, doc: str, text_col: str, n: int | None = None) -> DataFrame:
+    """Terms of single texts, best first (one document each, so ranked by count); the first ``n`` of each if given."""
     docs = with_terms(df, text_col, 2, [doc])
-    keyed = F.transform("terms", lambda t: F.struct((-t["tf"]).alias("o"), t["term"].alias("keyword"), t["tf"].alias("tf")))
-    best = docs.select(doc, F.posexplode(F.slice(F.sort_array(keyed), 1, min(n, features))).alias("p", "s"))
+    keyed = F.sort_array(F.transform("terms", lambda t: F.struct((-t["tf"]).alias("o"), t["term"].alias("keyword"), t["tf"].alias("tf"))))
+    best = docs.select(doc, F.posexplode(keyed if n is None else F.slice(keyed, 1, n)).alias("p", "s"))
     return best.select(doc, "s.keyword", "s.tf", (F.col("p") + 1).alias("rank"))
 
 
@@ -162,20 +203,23 @@ def recommendations(missing: str | Column, cap: int | None = None) -> Column:
 
 # -- pairs -----------------------------------------------------------------------------
 def match_pairs(pairs: DataFrame, resumes: DataFrame, postings: DataFrame,
-                weights: Mapping[str, float] | None = None) -> DataFrame:
+                weights: Mapping[str, float] | None = None, limits: Mapping[str, int] | None = None) -> DataFrame:
     """Score given (resume_id, job_id) pairs.
 
     ``resumes`` and ``postings`` come from ``document_features``.  Two hash joins
     on ids; the work is linear in the number of pairs, and a posting with very
-    many applicants is split by adaptive skew handling.
+    many applicants is split by adaptive skew handling.  ``limits`` go to
+    ``with_keyword_overlap``, for example ``DASHBOARD_LIMITS``.
     """
     w = {**rules.MATCH_WEIGHTS, **(weights or {})}
+    # counts only order the limited form; the plain one does not carry them
+    lists = ["terms", "counts"] if limits else ["terms"]
     r = resumes.select("resume_id", F.col("skills").alias("_rs"), F.col("years").alias("candidate_experience"),
-                       F.col("term_counts").alias("_rt"))
+                       *[F.col(c).alias(f"_r{c}") for c in lists])
     j = postings.select("job_id", F.col("skills").alias("_js"), F.col("years").alias("required_experience"),
-                        F.col("term_counts").alias("_jt"))
+                        *[F.col(c).alias(f"_j{c}") for c in lists])
     df = pairs.join(j, "job_id").join(r, "resume_id")
-    df = with_skill_overlap(with_keyword_overlap(df, "_rt", "_jt"), "_rs", "_js")
+    df = with_skill_overlap(with_keyword_overlap(df, "_r", "_j", **(limits or {})), "_rs", "_js")
     df = df.withColumn("experience_fit", experience.experience_alignment("candidate_experience", "required_experience"))
     total = (w["skill_overlap"] * F.col("skill_overlap") + w["keyword_overlap"] * F.col("keyword_overlap")
              + w["experience_alignment"] * F.col("experience_fit"))
@@ -188,34 +232,150 @@ def match_pairs(pairs: DataFrame, resumes: DataFrame, postings: DataFrame,
         recommendations("missing_skills").alias("recommendations"), "required_experience", "candidate_experience")
 
 
-def top_postings(resumes: DataFrame, postings: DataFrame, k: int = 10, salts: int = 8,
+def _skill_keys(c: str | Column) -> Column:
+    return F.array_distinct(F.transform(_keyed(F.coalesce(as_col(c), F.array().cast("array<string>"))), lambda s: s["k"]))
+
+
+def _digest(*cols: Column) -> Column:
+    return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])), 256)
+
+
+class _Ranking:
+    """The steps of ``top_postings``; scores are in points of 100, parts as shares."""
+
+    #: Shares are cut into so many tiers; a tier is a join key, so lists below a threshold are never read.
+    TIERS = 10
+    #: Rounding of scores to one decimal, and of the arithmetic.
+    SLACK = 0.05 + 1e-6
+
+    def __init__(self, resumes: DataFrame, postings: DataFrame, k: int, weights: Mapping[str, float] | None):
+        w = {**rules.MATCH_WEIGHTS, **(weights or {})}
+        self.k, self.ws, self.wk, self.we = k, w["skill_overlap"], w["keyword_overlap"], w["experience_alignment"]
+        terms = F.coalesce("terms", F.array().cast("array<string>"))
+        r = resumes.select("resume_id", _skill_keys("skills").alias("rk"), F.col("years").alias("ry"), terms.alias("rt"))
+        self.r = written(r.withColumns({"rkey": _digest(F.array_sort("rk"), F.col("ry")), "nr": F.size("rt")}), "resumes")
+        j = postings.select("job_id", _skill_keys("skills").alias("jk"), F.col("years").alias("jy"), terms.alias("jt"))
+        j = j.withColumn("pkey", _digest(F.array_sort("jk"), F.col("jy")))
+        j = j.withColumn("ckey", _digest(F.col("pkey"), F.col("jt")))
+        # postings of one content score alike: the first k of each are all that a top k can use
+        heads = written(top_per_group(j, ["ckey"], [F.col("job_id")], k), "postings")
+        self.heads = heads
+        self.ids = heads.select("ckey", "job_id")
+        self.contents = heads.where(F.col("rank") == 1).select("ckey", "pkey", "jk", "jy", "jt", F.size("jt").alias("nj"))
+        self.profiles = written(self._rare_first(heads.groupBy("pkey").agg(
+            F.first("jk").alias("jk"), F.first("jy").alias("jy"), F.count("*").alias("m"))), "profiles")
+
+    def _rare_first(self, profiles: DataFrame) -> DataFrame:
+        """Profiles that ask for skills, each list with the skills that few profiles name first."""
+        each = profiles.select("pkey", "jy", "m", F.explode("jk").alias("skill"))
+        named = each.groupBy("skill").agg(F.count("*").alias("named"))
+        listed = each.join(named, "skill").groupBy("pkey").agg(
+            F.first("jy").alias("jy"), F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("named", "skill"))).alias("_s"))
+        return listed.select("pkey", "jy", "m", F.transform("_s", lambda x: x["skill"]).alias("jk"))
+
+    def _cheap(self) -> Column:
+        shared = F.size(F.array_intersect("jk", "rk")) / F.size("jk")
+        return 100 * (self.ws * shared + self.we * experience.experience_alignment("ry", "jy"))
+
+    def _kth(self, scored: DataFrame, by: str, name: str) -> DataFrame:
+        """(by, name): the score that k postings reach, of rows (by, score, m) that stand for m postings each; no row if none."""
+        best = top_per_group(scored, [by], [F.desc("score"), F.desc("m")], self.k).drop("rank")
+        so_far = F.sum("m").over(Window.partitionBy(by).orderBy(F.desc("score"), F.desc("m")).rowsBetween(Window.unboundedPreceding, 0))
+        return best.withColumn("_m", so_far).where(F.col("_m") >= self.k).groupBy(by).agg(F.max("score").alias(name))
+
+    def near_profiles(self) -> DataFrame:
+        """(rkey, pkey, cheap) of profiles that share a skill and may reach the k-th score, each pair once.
+
+        A pair meets at the first skill of the posting's list that the résumé has; from
+        place p on a list of n skills at most n - p can be shared.  The first places
+        alone give a k-th score to start from, and a résumé then reads only the tiers
+        of each skill's list whose bound reaches it.
+        """
+        rp = self.r.groupBy("rkey").agg(F.first("rk").alias("rk"), F.first("ry").alias("ry"))
+        asked = rp.select("rkey", "rk", "ry", F.explode("rk").alias("skill"))
+        first = asked.join(self.profiles.withColumn("skill", F.get("jk", F.lit(0))), "skill")
+        start = self._kth(first.select("rkey", self._cheap().alias("score"), "m"), "rkey", "start")
+        least = (F.coalesce("start", F.lit(0.0)) - self.SLACK - 100 * (self.wk + self.we)) / (100 * max(self.ws, 1e-9))
+        low = F.greatest(F.lit(0), F.least(F.lit(self.TIERS), F.floor(least * self.TIERS))).cast("int")
+        asked = asked.join(start, "rkey", "left").withColumn("tier", F.explode(F.sequence(low, F.lit(self.TIERS))))
+        n = F.size("jk")
+        lists = self.profiles.select("pkey", "jy", "jk", F.posexplode("jk").alias("p", "skill")).withColumn(
+            "tier", F.floor((n - F.col("p")) * self.TIERS / n).cast("int"))
+        met = asked.join(lists, ["skill", "tier"]).where(F.get(F.array_intersect("jk", "rk"), F.lit(0)) == F.col("skill"))
+        return met.select("rkey", "pkey", self._cheap().alias("cheap"))
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """(resume_id, ckey, score) of pairs (resume_id, ckey); a résumé's terms are moved once, not once a pair."""
+        df = pairs.join(self.contents.select("ckey", "jk", "jy", "jt", "nj"), "ckey").join(
+            self.r.select("resume_id", "rk", "ry", "rt"), "resume_id")
+        share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
+        # a résumé is the longer text: its terms are looked up among the posting's
+        terms = F.when(F.col("nj") > 0, F.size(F.array_intersect("rt", "jt")) / F.col("nj")).otherwise(0.0)
+        total = self.ws * share("jk", "rk") + self.wk * terms + self.we * experience.experience_alignment("ry", "jy")
+        return df.select("resume_id", "ckey", half_even(total * 100, 1).alias("score"))
+
+    def _postings(self, scored: DataFrame) -> DataFrame:
+        return scored.join(self.ids.groupBy("ckey").agg(F.count("*").alias("m")), "ckey")
+
+    def by_skill(self) -> tuple[DataFrame, DataFrame]:
+        """Scores of all pairs that share a skill and may be among the k best, and the k-th score (resume_id, bar) so far."""
+        near = written(self.near_profiles(), "near")
+        docs = self.r.select("resume_id", "rkey", "nr")
+        # a first look at k contents of the best profiles gives each résumé a k-th full score
+        few = top_per_group(self.contents.select("pkey", "ckey"), ["pkey"], [F.col("ckey")], self.k).drop("rank")
+        look = top_per_group(near, ["rkey"], [F.desc("cheap"), F.col("pkey")], self.k).drop("rank").join(few, "pkey")
+        look = top_per_group(look, ["rkey"], [F.desc("cheap"), F.col("ckey")], self.k).select("rkey", "ckey")
+        bars = self._kth(self._postings(self.scored(docs.join(look, "rkey").select("resume_id", "ckey"))), "resume_id", "bar")
+        bars = written(bars, "bars")
+        may = F.col("cheap") + 100 * self.wk * F.least(F.lit(1.0), F.col("nr") / F.greatest(F.col("nj"), F.lit(1)))
+        pairs = (near.join(docs.join(bars, "resume_id", "left"), "rkey")
+                 .where(F.col("bar").isNull() | (F.col("cheap") + 100 * self.wk + self.SLACK >= F.col("bar")))
+                 .join(self.contents.select("ckey", "pkey", "nj"), "pkey")
+                 .where(F.col("bar").isNull() | (may + self.SLACK >= F.col("bar"))).select("resume_id", "ckey"))
+        return self.scored(pairs), bars
+
+    def without_skill(self, bars: DataFrame) -> DataFrame:
+        """Scores of pairs that may be among the k best without a shared skill.
+
+        Only résumés whose k-th score is within reach of keywords and experience alone
+        take part.  Without a shared term a posting's place follows from the years it
+        asks for: the first k postings of each number of years are enough.  Pairs that
+        share a term are counted over the terms.
+        """
+        reach = 100 * (self.wk + self.we) + self.SLACK
+        weak = self.r.join(bars, "resume_id", "left").where(F.col("bar").isNull() | (F.col("bar") <= reach))
+        plain = top_per_group(self.heads.select("jy", "job_id", "ckey"), ["jy"], [F.col("job_id")], self.k)
+        # one entry a posting, k of each number of years that any posting asks for
+        listed = plain.agg(F.collect_list(F.struct("jy", "job_id", "ckey"))).scalar()
+        fit = lambda e: half_even(100 * self.we * experience.experience_alignment(F.col("ry"), e["jy"]), 1)
+        best = weak.select("resume_id", "ry").withColumn("_l", listed).select("resume_id", F.slice(F.sort_array(F.transform(
+            "_l", lambda e: F.struct((-fit(e)).alias("o"), e["job_id"].alias("i"), e["ckey"].alias("c")))), 1, self.k).alias("_l"))
+        best = best.select("resume_id", F.explode(F.array_distinct(F.transform("_l", lambda e: e["c"]))).alias("ckey"))
+        shared = (weak.select("resume_id", F.explode("rt").alias("term"))
+                  .join(self.contents.select("ckey", "nj", F.explode("jt").alias("term")), "term")
+                  .groupBy("resume_id", "ckey").agg((F.count("*") / F.first("nj")).alias("kw")))
+        bar = weak.select("resume_id", "bar")
+        by_term = shared.join(bar, "resume_id").where(F.col("bar").isNull() | (
+            100 * (self.wk * F.col("kw") + self.we) + self.SLACK >= F.col("bar"))).select("resume_id", "ckey")
+        return self.scored(best.union(by_term).distinct())
+
+
+def top_postings(resumes: DataFrame, postings: DataFrame, k: int = 10,
                  weights: Mapping[str, float] | None = None) -> DataFrame:
-    """The k best postings per résumé by skills and experience, exact.
-
-    Documents with the same skills and years share a profile, so only profiles
-    are joined, through their skills.  A skill that most profiles name is spread
-    over ``salts`` tasks.  A posting profile sends its first k postings at most,
-    which is all a top k can use.  Postings without a shared skill do not count.
+    """(resume_id, rank, job_id, score): the k best postings of each résumé by the score of ``match_pairs``, exact.
+
+    Takes ``document_features``; filter the postings first to rank one role.  Ties go
+    to the smaller job id; with fewer than k postings all are listed.  Pairs are never
+    formed beyond those whose upper bound reaches the k-th score already found: skills
+    decide up to ``skill_overlap`` points through lists in falling order of their bound,
+    keywords and experience are the slack.  Missing skills, years or terms count as none;
+    documents that repeat an id are not expected.
     """
-    w = {**rules.MATCH_WEIGHTS, **(weights or {})}
-    key = F.concat_ws("|", F.array_join("skills", ","), F.coalesce(F.col("years").cast("string"), F.lit("?")))
-    r = resumes.select("resume_id", "skills", "years", key.alias("rkey"))
-    j = postings.select("job_id", "skills", "years", key.alias("jkey"))
-    rp = r.select("rkey", "skills", F.col("years").alias("ry")).distinct()
-    jp = j.select("jkey", "skills", F.col("years").alias("jy"), F.size("skills").alias("asked")).distinct()
-    left = rp.select("rkey", "ry", F.explode("skills").alias("skill")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = jp.select("jkey", "jy", "asked", F.explode("skills").alias("skill"),
-                      F.pmod(F.xxhash64("jkey"), F.lit(salts)).cast("int").alias("salt"))
-    shared = left.join(right, ["skill", "salt"]).groupBy("rkey", "ry", "jkey", "jy", "asked").agg(
-        F.count("*").alias("hits"))
-    fit = experience.experience_alignment("ry", "jy")
-    score = w["skill_overlap"] * F.col("hits") / F.col("asked") + w["experience_alignment"] * fit
-    scored = shared.select("rkey", "jkey", half_even(score * 100, 1).alias("score"))
-    # only the best k profiles of a résumé profile can matter, ties included by smallest posting
-    heads = top_per_group(j.select("jkey", "job_id"), ["jkey"], [F.col("job_id")], k).drop("rank")
-    best = top_per_group(scored.join(heads, "jkey"), ["rkey"], [F.desc("score"), F.col("job_id")], k)
-    return r.select("resume_id", "rkey").join(best, "rkey").select("resume_id", "rank", "job_id", "score")
+    rank = _Ranking(resumes, postings, k, weights)
+    found, bars = rank.by_skill()
+    every = found.union(rank.without_skill(bars)).distinct()
+    best = top_per_group(every.join(rank.ids, "ckey"), ["resume_id"], [F.desc("score"), F.col("job_id")], k)
+    return best.select("resume_id", "rank", "job_id", "score")
 
 
 # -- long tables -------------------------------------------------------------------------

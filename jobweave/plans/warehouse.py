@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,14 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build, partition_by=())
     return spark.read.parquet(_WRITTEN[key])
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a step of a longer computation to the shared folder and read it: what follows neither repeats nor plans it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/jobweave/{spark.sparkContext.applicationId}/steps/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = staged(spark, sf_dir, "silver",
                 lambda: plan.to_silver(derived.raw_jobs(spark, sf_dir), OPTIONS),

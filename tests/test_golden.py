@@ -145,9 +145,9 @@ def test_sections(rows):
 
 def test_score(rows):
     # skill 0.5, keyword 0.25, experience 1.0 -> 55.0
-    cv = rows("resume_id int, skills array<string>, years double, term_counts map<string,int>", [(1, ["SQL"], 5.0, {"x": 1})])
-    jd = rows("job_id int, skills array<string>, years double, term_counts map<string,int>",
-              [(7, ["Python", "SQL"], 3.0, {"x": 1, "p": 1, "q": 1, "r": 1})])
+    cv = rows("resume_id int, skills array<string>, years double, terms array<string>, counts array<int>", [(1, ["SQL"], 5.0, ["x"], [1])])
+    jd = rows("job_id int, skills array<string>, years double, terms array<string>, counts array<int>",
+              [(7, ["Python", "SQL"], 3.0, ["p", "q", "r", "x"], [1, 1, 1, 1])])
     r = MT.match_pairs(rows("resume_id int, job_id int", [(1, 7)]), cv, jd).first()
     assert (r["score"], r["skill_score"], r["keyword_score"], r["experience_score"]) == (55.0, 50.0, 25.0, 100.0)
     assert r["missing_skills"] == ["Python"] and r["recommendations"][0].startswith("Ôn Python")

@@ -81,23 +81,6 @@ def test_filter_keeps_rows_without_salary(rows):
     assert [r["id"] for r in G.apply_filters(df, G.FilterSpec(salary_range=(0, 1000))).orderBy("id").collect()] == [1, 2]
 
 
-def test_top_postings_brute_force(rows):
-    cv = rows("resume_id int, skills array<string>, years double", [(i, s, y) for i, (s, y) in enumerate(
-        [(["a", "b"], 2.0), (["a"], None), (["c", "a"], 5.0), ([], 1.0), (["b", "c"], 0.5)])])
-    jd = rows("job_id int, skills array<string>, years double", [(j, s, y) for j, (s, y) in enumerate(
-        [(["a"], None), (["a", "b", "c"], 3.0), (["b"], 1.0), (["c", "d"], 4.0), (["a"], None), (["a", "b"], 2.0)])])
-    want = []
-    for r in cv.collect():
-        best = []
-        for j in jd.collect():
-            hit = len(set(r["skills"]) & set(j["skills"]))
-            if hit:
-                fit = 1.0 if j["years"] is None else 0.4 if r["years"] is None else min(1.0, r["years"] / max(j["years"], 0.5))
-                best.append((-round((0.6 * hit / len(j["skills"]) + 0.2 * fit) * 100, 1), j["job_id"]))
-        want += [(r["resume_id"], i + 1, j, -s) for i, (s, j) in enumerate(sorted(best)[:3])]
-    assert sorted(tuple(r) for r in MT.top_postings(cv, jd, 3).collect()) == sorted(want)
-
-
 def test_json_lines(spark, tmp_path):
     p = tmp_path / "itboard_jobs_2026_05_14.jsonl"
     p.write_text('{"job_id":"1","skills_required":["a","b"]}\n\n{bad\n{"job_id":"2","skills_required":"x, y"}\n', encoding="utf-8")
