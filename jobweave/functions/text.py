@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
+import zlib
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -20,16 +22,34 @@ def clean_text_field(c: str | Column) -> Column:
 
 # every named reference of HTML that ends in ';'; a no-break space becomes a space
 NAMED_ENTITIES = {f"&{name}": " " if char == "\xa0" else char for name, char in html5.items() if name.endswith(";")}
+#: The names are dealt into short lists by their crc32, as Spark would read one map of all from its start.
+_ENTITY_LISTS = 512
+_ITEM, _VALUE, _LIST = "\x01", "\x02", "\x03"
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
+@functools.cache
+def _entity_lists() -> str:
+    lists = [_ITEM] * _ENTITY_LISTS
+    for name, char in NAMED_ENTITIES.items():
+        lists[zlib.crc32(name.encode()) % _ENTITY_LISTS] += f"{name}{_VALUE}{char}{_ITEM}"
+    return _LIST.join(lists)
+
+
+def _named(t: Column) -> Column:
+    """The character of a named reference, NULL for an unknown name."""
+    # one literal that is split while the plan is made, in place of thousands that are planned one by one
+    own = F.get(F.split(F.lit(_entity_lists()), _LIST), (F.crc32(t.cast("binary")) % _ENTITY_LISTS).cast("int"))
+    key = F.concat(F.lit(_ITEM), t, F.lit(_VALUE))
+    found = F.substring_index(F.call_function("substring_index", own, key, F.lit(-1)), _ITEM, 1)
+    return F.when(F.contains(own, key), found)
+
+
 def decode_entities(c: str | Column) -> Column:
     """Named and numeric character references decoded in one pass from left to right.
 
     Unknown names stay as they are; numbers that name no character become U+FFFD.
     """
-    table = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES.items() for x in kv])
-
     def number(t: Column) -> Column:
         digits = F.regexp_extract(t, r"&#[xX]?([0-9a-fA-F]+);", 1)
         code = F.when(F.lower(F.substring(t, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
@@ -39,7 +59,7 @@ def decode_entities(c: str | Column) -> Column:
 
     def decoded(t: Column) -> Column:
         return F.when(~t.startswith("&"), t).when(t.startswith("&#") & t.endswith(";"), number(t)).otherwise(
-            F.coalesce(F.try_element_at(table, t), t))
+            F.coalesce(_named(t), t))
 
     def every(t: Column) -> Column:
         parts = F.regexp_extract_all(t, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobweave import rules
 from jobweave.functions import experience, skills
 from jobweave.functions import text as tx
-from jobweave.functions.common import as_col, contains_any, half_even, let, lookup, text
+from jobweave.functions.common import as_col, contains_any, explode_each, half_even, let, lookup, text
 from jobweave.functions.salary import with_ingest_salary
 
 LD_SCRIPT = r"""(?is)<script[^>]*type=["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
@@ -36,7 +36,9 @@ def json_ld_posting(html: str | Column) -> Column:
 
 
 def with_json_ld(pages: DataFrame, html: str = "html", name: str = "ld") -> DataFrame:
-    return pages.withColumn(name, json_ld_posting(html)).where(F.col(name).isNotNull())
+    """Pages with a posting; the posting is bound as a row of its own, or the filter would parse the page a second time."""
+    keep = [F.col(f"`{c}`") for c in pages.columns if c != name]
+    return explode_each(pages, F.array(json_ld_posting(html)), name, keep)
 
 
 def _get(path: str, kind: str = "string") -> Column:

@@ -199,3 +199,27 @@ def test_api_records_under_older_names(rows):
     assert [r.id for r in got] == [1]
     assert got[0].url == "https://x.org/a" and got[0].skills_required == ["Python", "SQL"] and got[0].benefits == "Gym"
     assert got[0].salary_min == 20000000.0 and got[0].salary_currency == "USD" and got[0].location == ""
+
+
+def test_every_named_html_reference(rows):
+    from html import unescape
+
+    from jobweave.functions.text import NAMED_ENTITIES, decode_entities
+
+    df = rows("k string", [(name,) for name in NAMED_ENTITIES] + [("&nope;",), ("&Amp;",)])
+    got = {r.k: r.v for r in df.select("k", decode_entities("k").alias("v")).collect()}
+    assert got == {k: unescape(k).replace("\xa0", " ") for k in got} and len(got) > 2000
+    text = df.select(decode_entities("k").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in text                          # done once, while the plan was made
+
+
+def test_a_page_is_parsed_once(rows):
+    from jobweave.operators import extract as X
+
+    page = '<script type="application/ld+json">{"@type":"JobPosting","title":"%s"}</script>'
+    df = rows("url string, html string, ld string", [("a", page % "x", "old"), ("b", "<p>none</p>", None), ("c", None, None)])
+    out = X.with_json_ld(df)
+    assert [(r.url, r.title) for r in out.select("url", F.try_variant_get("ld", "$.title", "string").alias("title")).collect()] == [("a", "x")]
+    for posting in (X.posting_from_ld_a, X.posting_from_ld_b):
+        text = posting(out)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.lower().count("regexp_extract_all(coalesce(html") == 1, text
