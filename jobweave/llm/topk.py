@@ -11,7 +11,10 @@ every shard then shares, so most shards prune from their first node on.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,8 @@ class Settings:
 
     shard_rows: vectors of a shard; query_block: queries that meet a shard at once
     (4,096 of 1,000 components are 32 MB); leaf: vectors compared at once;
-    first_modulus: one vector in so many gives the first k-th scores.
+    first_modulus: one vector in so many gives the first k-th scores; wide_rows: rows
+    of each side that meet at once where whole numbers of any size are needed.
     """
     k: int = 5
     scale: int = 256
@@ -35,15 +39,27 @@ class Settings:
     query_block: int = 4096
     leaf: int = 256
     first_modulus: int = 64
+    wide_rows: int = 512
 
 
-def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): integer components; rows with a null id, or a null or empty vector, or a null or non-finite component, are left out."""
+def finite(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, x) with components as doubles; rows with a null id, or a null or empty vector, or a null or non-finite component, are left out."""
     x = F.col(vector_col)
     good = (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return (vectors.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False)))
-            .select(F.col(id_col).cast("long").alias("id"),
-                    F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double"))).alias("v")))
+    rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False)))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: e.cast("double")).alias("x"))
+    return rows.groupBy("id").agg(F.min("x").alias("x"))
+
+
+def is_wide(scale: int):
+    """May an inner product with such a vector need more than the 53 bits of a double?"""
+    top = F.aggregate("x", F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e)))
+    return top >= F.sqrt(F.lit(2.0 ** 52) / F.size("x")) / float(scale) - 1
+
+
+def whole(rows: DataFrame, scale: int) -> DataFrame:
+    """(id, v): integer components of vectors that are not wide."""
+    return rows.select("id", F.transform("x", lambda e: F.floor(F.lit(float(scale)) * e)).alias("v"))
 
 
 @dataclass
@@ -125,11 +141,6 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, bar:
     return best_s, best_i
 
 
-def _exact(n: np.ndarray) -> None:
-    if len(n) and float(np.abs(n).max()) ** 2 * n.shape[1] >= 2 ** 53:
-        raise OverflowError("components are too large for exact inner products in double precision")
-
-
 def _found(rows: list[tuple], s: Settings):
     """One shard and block of queries, rows (side, id, v, bar), searched length by length."""
     for d in sorted({len(r[2]) for r in rows if r[0] == 0}):
@@ -138,7 +149,6 @@ def _found(rows: list[tuple], s: Settings):
         if not own:
             continue
         x, q = (np.array([r[2] for r in side], float).reshape(len(side), d) for side in (own, asked))
-        _exact(x), _exact(q)
         ids, qids = (np.array([r[1] for r in side], np.int64) for side in (own, asked))
         score, at = search(x, ids, q, qids, np.array([r[3] for r in asked], float), s)
         r, c = np.nonzero(np.isfinite(score))
@@ -174,12 +184,85 @@ def _candidates(vectors: DataFrame, queries: DataFrame, s: Settings, n: int, ask
     return shared.map_arrow(rows, searcher(s), "query_id long, vec_id long, score long")
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+LONG = 1 << 63
+
+
+def _large(n: int) -> str:
+    """A text that sorts, among equal scores held within 64 bits, as the whole numbers do."""
+    if -LONG <= n < LONG:
+        return "~" if n == -LONG else ""
+    digits = str(abs(n))
+    if n > 0:
+        return f"{len(digits):04d}{digits}"
+    return f"{9999 - len(digits):04d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
+def _integers(x: list[float], scale: int) -> list[int]:
+    return [int(Fraction(e) * scale // 1) for e in x]
+
+
+def scanner(s: Settings):
+    """Rows (shard, block, side, id, x) to the best (query_id, vec_id, score, large) of each query, in whole numbers of any size.
+
+    Doubles, with vectors scaled to length one, first tell which products can be among
+    the best; only these are multiplied exactly.
+    """
+    def found(rows):
+        for d in sorted({len(r[1]) for r in rows if r[0] == 0}):
+            asked, own = ([r for r in rows if r[0] == side and len(r[1]) == d] for side in (0, 1))
+            if not own:
+                continue
+            x = [_integers(r[1], s.scale) for r in own]
+            size = [max(map(abs, v)) or 1 for v in x]
+            unit = np.array([[float(Fraction(e, m)) for e in v] for v, m in zip(x, size)])
+            # a product is unit . unit times powers of two, of which the largest is taken out: none overflows
+            log = np.array([math.log2(m) for m in size])
+            log -= log.max()
+            for _, qx, qid in asked:
+                q = _integers(qx, s.scale)
+                m = max(map(abs, q)) or 1
+                near = unit @ np.array([float(Fraction(e, m)) for e in q])
+                error = np.exp2(log) * (4e-16 * d * d + 1e-9 * np.abs(near)) + 1e-300
+                low, high = near * np.exp2(log) - error, near * np.exp2(log) + error
+                others = np.array([r[2] != qid for r in own])
+                bar = np.sort(low[others])[-s.k] if others.sum() >= s.k else -np.inf
+                hits = [(sum(a * b for a, b in zip(q, x[k])), own[k][2]) for k in np.flatnonzero(others & (high >= bar))]
+                for n, i in sorted(hits, key=lambda h: (-h[0], h[1]))[:s.k]:
+                    yield qid, i, max(-LONG, min(LONG - 1, n)), _large(n)
+
+    def work(batches):
+        at, rows = None, []
+        for batch in batches:
+            shard, block, side, who, x = (batch.column(k).to_pylist() for k in range(5))
+            for key, row in zip(zip(shard, block), zip(side, x, who)):
+                if key != at:
+                    yield from _scanned(found(rows))
+                    at, rows = key, []
+                rows.append(row)
+        yield from _scanned(found(rows))
+    return work
+
+
+def _scanned(rows) -> Iterator[pa.RecordBatch]:
+    cols = list(zip(*rows))
+    if cols:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["query_id", "vec_id", "score", "large"])
+
+
+def _scan(vectors: DataFrame, queries: DataFrame, s: Settings, n: int, asked: int) -> DataFrame:
+    """(query_id, vec_id, score, large) of pairs of which one side is wide, in bounded blocks of both."""
+    shards, blocks = max(1, -(-n // s.wide_rows)), max(1, -(-asked // s.wide_rows))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"), F.lit(1).alias("side"), "id", "x")
+    q = queries.select(each(shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "id", "x")
+    rows = x.union(q).repartition("shard", "block").sortWithinPartitions("shard", "block", "side")
+    return shared.map_arrow(rows, scanner(s), "query_id long, vec_id long, score long, large string")
 
 
 def _best(found: DataFrame, s: Settings) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # among scores held within 64 bits `large` decides
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("large"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k)
 
 
@@ -190,13 +273,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     Ties go to the smaller id; a query with fewer than k other vectors gets all.
     Vectors that are null or empty or hold null or non-finite components take no part, nor do
     null ids; a repeated id counts once, by its smallest vector; vectors of different lengths are never
-    compared.  Components whose exact products do not fit doubles raise OverflowError.
+    compared.  Vectors whose products may not fit the 53 bits of a double are few in practice
+    and go another way: their pairs are bounded with doubles block by block and the candidates
+    multiplied as whole numbers.  They rank exactly; a score beyond 64 bits is reported as the
+    nearest 64-bit number.
     """
-    x = shared.staged(_once(whole(vectors, id_col, vector_col, s.scale)), "vectors")
-    q = shared.staged(_once(whole(queries, id_col, vector_col, s.scale)), "queries")
-    n, asked = x.count(), q.count()
+    every = shared.staged(finite(vectors, id_col, vector_col).withColumn("wide", is_wide(s.scale)), "vectors")
+    wanted = shared.staged(finite(queries, id_col, vector_col).withColumn("wide", is_wide(s.scale)), "queries")
+    x, q = whole(every.where("not wide"), s.scale), whole(wanted.where("not wide"), s.scale)
+    n, wide_n = _sizes(every)
+    asked, wide_asked = _sizes(wanted)
     some = x.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(s.first_modulus)) == 0)
-    first = _best(_candidates(some, q.withColumn("bar", F.lit(float("-inf"))), s, -(-n // s.first_modulus), asked), s)
+    none = F.lit("").alias("large")
+    first = _best(_candidates(some, q.withColumn("bar", F.lit(float("-inf"))), s, -(-n // s.first_modulus), asked).withColumn("large", none), s)
     bars = first.where(F.col("rank") == s.k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("bar"))
     q = shared.staged(q.join(bars, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf")))), "bars")
-    return _best(_candidates(x, q, s, n, asked), s).select("query_id", "rank", "vec_id", "score")
+    found = _candidates(x, q, s, n, asked).withColumn("large", none)
+    if wide_n:
+        found = found.unionByName(_scan(every.where("wide"), wanted, s, wide_n, asked + wide_asked))
+    if wide_asked:
+        found = found.unionByName(_scan(every.where("not wide"), wanted.where("wide"), s, n, wide_asked))
+    return _best(found, s).select("query_id", "rank", "vec_id", "score")
+
+
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    """Rows that are not wide and rows that are."""
+    got = rows.agg(F.count_if(~F.col("wide")), F.count_if(F.col("wide"))).first()
+    return got[0], got[1]
