@@ -63,7 +63,7 @@ def held(own: np.ndarray, w: np.ndarray, other: np.ndarray, least: int) -> np.nd
 
 
 def line_batches(s: Settings):
-    """(id, text) to (id, lines, words, runs); lines and words as packed arrays."""
+    """(id, text, hash) to (id, hash, lines, words, runs); lines and words as packed arrays."""
     def work(batches):
         for batch in batches:
             for part in textscan.slices(batch.column(1)):
@@ -76,8 +76,8 @@ def line_batches(s: Settings):
                     counts.append(w.tobytes())
                     runs.append(_runs(h[h != 0], w[h != 0], s.min_words).view(np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(part.row, part.count), pa.array(lines, pa.binary()), pa.array(counts, pa.binary()),
-                    pa.array(runs, pa.list_(pa.int64()))], names=["id", "lines", "words", "runs"])
+                    batch.column(0).slice(part.row, part.count), batch.column(2).slice(part.row, part.count), pa.array(lines, pa.binary()),
+                    pa.array(counts, pa.binary()), pa.array(runs, pa.list_(pa.int64()))], names=["id", "hash", "lines", "words", "runs"])
     return work
 
 
@@ -120,68 +120,73 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 def blocks(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Line ranges of `later` to delete: blocks common with `earlier` of `least` words or more.
 
-    Blank lines (hash 0) neither match nor part a block.  Aligned lines are taken
-    out and the rest is aligned again, so that moved blocks are found too.  What no
-    alignment takes, as repeats have no line that is unique on both sides, follows
-    as stretches of lines that `held` tells.
+    Blank lines (hash 0) neither match nor part a block.  Patience diff gives the
+    blocks that follow each other in both texts.  Blocks that moved, cross or repeat
+    are on no such path: the lines that `held` finds in them, which the diff did not
+    take, follow as stretches of their own.  So what is deleted is all that `held`
+    tells, and the diff says how it is cut into blocks; both take one pass.
     """
     mine = np.flatnonzero(later)
     common = held(later[mine], words[mine], earlier[earlier != 0], least)
     left = set(np.flatnonzero(common).tolist())
-    own = later[mine].tolist()
-    other = earlier[earlier != 0].tolist()
     out: list[tuple[int, int]] = []
-    while left:
-        gone, run, pairs = set(), [], patience(own, other)
-        for k, (i, j) in enumerate(pairs):
-            run.append(i)
-            if k + 1 == len(pairs) or pairs[k + 1] != (i + 1, j + 1):
-                if int(words[mine[run]].sum()) >= least:
-                    gone.update(run)
-                    out.append((int(mine[run[0]]), int(mine[run[-1]]) + 1))
-                run = []
-        if not gone:
-            break
-        # a taken line turns into one of its own that matches nothing, so neighbours don't join up
-        own = [(-1 - i) if i in gone else x for i, x in enumerate(own)]
-        left -= gone
-    if left:
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], common, [0]])))
-        out += [(int(mine[a]), int(mine[b - 1]) + 1) for a, b in edge.reshape(-1, 2) if not left.isdisjoint(range(a, b))]
-    return out
+    if not left:
+        return out
+    run, pairs = [], patience(later[mine].tolist(), earlier[earlier != 0].tolist())
+    for k, (i, j) in enumerate(pairs):
+        run.append(i)
+        if k + 1 == len(pairs) or pairs[k + 1] != (i + 1, j + 1):
+            if int(words[mine[run]].sum()) >= least:
+                left.difference_update(run)
+                out.append((int(mine[run[0]]), int(mine[run[-1]]) + 1))
+            run = []
+    rest = np.zeros(len(mine) + 2, np.int8)
+    rest[[1 + k for k in left]] = 1
+    edge = np.flatnonzero(np.diff(rest))
+    return out + [(int(mine[a]), int(mine[b - 1]) + 1) for a, b in edge.reshape(-1, 2)]
 
 
 def aligner(s: Settings):
-    """Star rows (centre, block, id, lines, words) to (id, partner, start, stop) of blocks to delete."""
+    """Star rows (centre, block, id, hash, lines, words) to (id, hash, partner, start, stop) of blocks to delete.
+
+    Several texts of the centre's id count as one, with a line between them that no text has.
+    """
+    between = np.array([0x5DEECE66D15C0FFE], U64)
+
     def work(batches):
         at = earlier = None
         for batch in batches:
             rows: list[tuple] = []
-            centre, block, who, lines, words = (batch.column(k).to_pylist() for k in range(5))
+            centre, block, who, text, lines, words = (batch.column(k).to_pylist() for k in range(6))
             for k in range(batch.num_rows):
                 h = np.frombuffer(lines[k], U64)
                 if who[k] == centre[k]:
-                    at, earlier = (centre[k], block[k]), h
+                    earlier = h if at != (centre[k], block[k]) else np.concatenate([earlier, between, h])
+                    at = (centre[k], block[k])
                     continue
                 if at != (centre[k], block[k]):
                     raise RuntimeError("a partner's lines are missing")
-                rows += [(who[k], centre[k], x, y) for x, y in blocks(h, np.frombuffer(words[k], np.int32), earlier, s.min_words)]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "partner", "start", "stop"])
+                rows += [(who[k], text[k], centre[k], x, y) for x, y in blocks(h, np.frombuffer(words[k], np.int32), earlier, s.min_words)]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "hash", "partner", "start", "stop"])
     return work
 
 
+def _text_hash(text_col: str):
+    return F.xxhash64(F.col(text_col)).alias("hash")
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """(id, partner, start, stop): lines start..stop (from 0) of document id that align with the earlier partner."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    schema = "id long, lines binary, words binary, runs array<long>"
+    """(id, hash, partner, start, stop): lines start..stop (from 0) of the text with that id and hash which the earlier partner has."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _text_hash(text_col)).where("id is not null")
+    schema = "id long, hash long, lines binary, words binary, runs array<long>"
     recs = shared.staged(shared.map_arrow(texts, line_batches(s), schema), "lines")
     runs = recs.select("id", F.explode("runs").alias("run"))
     shared_runs = runs.groupBy("run").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1")
     held = shared.attach(runs, shared_runs, "run", "c", runs.count(), F.xxhash64("id", "run"))
     pairs = shared.staged(held.where("b < id").select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    rows = shared.star_rows(pairs, recs.select("id", "lines", "words"), s.block)
-    return shared.map_arrow(rows, aligner(s), "id long, partner long, start long, stop long")
+    rows = shared.star_rows(pairs, recs.select("id", "hash", "lines", "words").distinct(), s.block)
+    return shared.map_arrow(rows, aligner(s), "id long, hash long, partner long, start long, stop long")
 
 
 def cutter(text_at: int, fields: list[str]):
@@ -219,12 +224,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Earlier means the smaller id.  No row is dropped: a document whose lines all
     go keeps an empty text.  Null and empty texts stay as they are, as do rows with
-    a null id.  Rows that repeat an id are one document (its lines are compared as
-    of one of them).  Other columns pass through.
+    a null id.  Rows that repeat an id and its text are cut alike; texts that share an
+    id are not compared with each other, and each loses only what an earlier id has.
+    Other columns pass through.
     """
     cuts = removals(docs, id_col, text_col, s)
-    cuts = cuts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "partner"))).alias("__blocks"))
-    rows = docs.join(cuts.withColumnRenamed("id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    cuts = cuts.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "stop", "partner"))).alias("__blocks"))
+    own = (F.col(id_col).cast("long") == F.col("__id")) & (_text_hash(text_col) == F.col("__hash"))
+    rows = docs.join(cuts, own, "left").drop("__id", "__hash")
     fields = [*docs.columns, "__blocks"]
     rows = rows.select(*fields, F.col("__blocks").alias("__cuts"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

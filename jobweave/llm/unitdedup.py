@@ -24,7 +24,7 @@ class Settings:
 
 
 def unit_batches(batches):
-    """(id, text) to one row per non-blank unit: (id, unit, digest)."""
+    """(id, text, hash) to one row per non-blank unit: (id, hash, unit, digest)."""
     for batch in batches:
         for part in textscan.slices(batch.column(1)):
             u = textscan.units(part, sentences=True)
@@ -32,8 +32,8 @@ def unit_batches(batches):
             here = np.arange(len(owner)) - u.first[owner]
             some = np.flatnonzero(u.hash)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(part.row + owner[some])), pa.array(here[some].astype(np.int32)),
-                pa.array(u.hash[some].view(np.int64))], names=["id", "unit", "digest"])
+                *(batch.column(c).take(pa.array(part.row + owner[some])) for c in (0, 2)), pa.array(here[some].astype(np.int32)),
+                pa.array(u.hash[some].view(np.int64))], names=["id", "hash", "unit", "digest"])
 
 
 def remover(s: Settings, text_at: int, fields: list[str]):
@@ -94,16 +94,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ranges are character offsets in the original text.  The earliest occurrence, by
     id and then place, stays.  No row is dropped; null and empty texts and rows with
     a null id stay as they are; other columns pass through.  Rows that repeat an id
-    count as one document: each is cut alike, so the first keeps its first units.
+    and its text are cut alike.  Texts that share an id are documents of their own, in
+    the order of a hash of the text.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    units = shared.staged(shared.map_arrow(texts, unit_batches, "id long, unit int, digest long"), "units")
-    firsts = units.groupBy("digest").agg(F.min(F.struct("id", "unit")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    firsts = firsts.select("digest", "c", F.col("f.id").alias("fid"), F.col("f.unit").alias("funit"))
+    text_hash = F.xxhash64(F.col(text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash.alias("hash")).where("id is not null")
+    units = shared.staged(shared.map_arrow(texts, unit_batches, "id long, hash long, unit int, digest long"), "units")
+    firsts = units.groupBy("digest").agg(F.min(F.struct("id", "hash", "unit")).alias("f"), F.count("*").alias("c")).where("c > 1")
     held = shared.attach(units, firsts, "digest", "c", units.count(), F.xxhash64("id", "unit"))
-    again = held.where("fid is not null and (fid < id or funit < unit)")
-    again = again.groupBy("id").agg(F.collect_set("unit").alias("__repeats"))
-    rows = docs.join(again.withColumnRenamed("id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    again = held.where("f is not null and (f.id < id or f.hash < hash or f.unit < unit)")
+    again = again.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set("unit").alias("__repeats"))
+    own = (F.col(id_col).cast("long") == F.col("__id")) & (text_hash == F.col("__hash"))
+    rows = docs.join(again, own, "left").drop("__id", "__hash")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return shared.map_arrow(rows, remover(s, docs.columns.index(text_col), docs.columns),
                             f"{kinds}, `__units` int, `__removed` array<struct<start:int,stop:int>>")

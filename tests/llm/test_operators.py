@@ -557,3 +557,52 @@ def test_top_k_of_hard_vectors(spark):
     assert got[204] == [(256 * 256 * 5, 206)] and got[206] == [(256 * 256 * 5, 204)] and not got[202] and not got[208]
     empty = df.limit(0)
     assert topk.top_k(empty, empty).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    """Finite components of any size take part and rank by exact whole numbers."""
+    from fractions import Fraction
+    r = random.Random(14)
+    data = [(k, [float(r.randint(-3, 3)) for _ in range(3)]) for k in range(60)]
+    data += [(60, [1e7, 1.0, -1e7]), (61, [1e30, 0.0, 1.0]), (62, [1e30, 0.5, 1.0]), (63, [-1e30, 1.0, 1.0]), (64, [1e308, -1e308, 1.0]),
+             (65, [1.5e308, 1.0, 0.0]), (66, [1e-308, 0.0, 0.0]), (67, [3e9, 3e9, 3e9]), (68, [3e9, 3e9, 3e9 + 1]), (69, [1e30, 0.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    s = topk.Settings(shard_rows=40, query_block=30, leaf=4, first_modulus=4, wide_rows=7)
+    for x in topk.top_k(df, df.where("vec_id % 2 = 0 or vec_id > 59"), s=s).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.score, x.vec_id))
+    good = {i: [int(Fraction(e) * 256 // 1) for e in v] for i, v in data}
+    held = lambda n: max(-2 ** 63, min(2 ** 63 - 1, n))
+    for q in [*range(0, 60, 2), *range(60, 70)]:
+        best = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:5]
+        assert got[q] == [(held(-n), i) for n, i in best], q
+
+
+# one id with several texts -----------------------------------------------------------------------
+
+def test_texts_that_share_an_id_lose_nothing_of_their_own(spark):
+    r = random.Random(21)
+    passage, tail, unique = prose(60, r), prose(30, r), prose(30, r)
+    rows = [row(1, passage), row(2, passage + "\n" + tail), row(2, unique + "\n" + tail), row(2, unique + "\n" + tail)]
+    df = spark.createDataFrame(rows, DOCS)
+    lines = sorted(x.text for x in linededup.deduplicate(df).collect())
+    assert lines == sorted([passage, tail, unique + "\n" + tail, unique + "\n" + tail])
+    units = [x.text for x in unitdedup.deduplicate(df).collect()]
+    assert sum(unique in t for t in units) == 2 and sum(passage in t for t in units) == 1 and any(tail in t for t in units)
+    # an earlier id with two texts is a partner with both
+    more = spark.createDataFrame([row(1, passage), row(1, unique), row(3, unique + "\n" + passage + "\n" + tail)], DOCS)
+    assert sorted(x.text for x in linededup.deduplicate(more).collect()) == sorted([passage, unique, tail])
+
+
+def test_moved_blocks_take_one_pass():
+    r = random.Random(22)
+    n = 100_000
+    lines = np.array(r.sample(range(1, 1 << 60), n), np.uint64)
+    words = np.full(n, 30, np.int32)
+    import time
+    start = time.time()
+    found = linededup.blocks(lines[::-1].copy(), words, lines, 25)
+    gone = np.zeros(n, bool)
+    for a, b in found:
+        gone[a:b] = True
+    assert gone.all() and time.time() - start < 30
