@@ -116,6 +116,35 @@ def _(spark, d):
     return lines.groupBy(readers.dated_file_columns(name)["file_source"].alias("source_website")).agg(F.count("*").alias("n"))
 
 
+@query("a10_dated_files", """SELECT event_id, event_type AS file_source, CAST(CAST(ts AS DATE) AS VARCHAR) AS crawl_date,
+  CASE WHEN event_type IS NOT NULL AND ts IS NOT NULL THEN concat(event_type, '_jobs_', strftime(ts, '%Y_%m_%d')) END AS file FROM events""")
+def _(spark, d):
+    path = _fresh(spark, d, "dated_files")
+    events = L.table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("date").alias("day"))
+    writers.write_dated(events, path, "event_type", "day")
+    return readers.read_dated(spark, path, "event_id bigint, file string").select(
+        "event_id", "file_source", F.col("crawl_date").cast("string").alias("crawl_date"), "file")
+
+
+# documents in four encodings; bytes that are no UTF-8 decide for the code page, byte 81 (no letter there) against it
+# documents in four encodings; of the last two the tail is no UTF-8, and byte 81 has no letter in windows-1258
+@query("a12_resume_encodings", """SELECT doc_id, CASE
+    WHEN doc_id % 4 < 2 OR regexp_matches(text, '[^\\x{0}-\\x{FF}]') THEN text
+    WHEN doc_id % 4 = 2 THEN concat(translate(text, 'ÃÌÐÒÕÝÞãìðòõýþ',
+        concat('Ă', chr(768), 'Đ', chr(777), 'ƠƯ', chr(771), 'ă', chr(769), 'đ', chr(803), 'ơư₫')), ' năm ', chr(769), ' đơn vi', chr(803), ': 5 €')
+    ELSE concat(text, ' caf', chr(129), 'é') END AS body FROM documents""")
+def _(spark, d):
+    docs = D.documents(spark, d)
+    latin = F.when(~F.col("text").rlike(r"[^\x{0}-\x{FF}]"), F.encode("text", "ISO-8859-1"))
+    tail = lambda hexa: F.unhex(F.lit(hexa))
+    page = F.concat(latin, tail("206EE36D20EC20F0F56E2076"), tail("69F23A20352080"))
+    body = F.encode("text", "UTF-8")
+    content = (F.when((F.col("doc_id") % 4 == 0) | latin.isNull(), F.concat(tail("EFBBBF"), body))
+               .when(F.col("doc_id") % 4 == 1, body)
+               .when(F.col("doc_id") % 4 == 2, page).otherwise(F.concat(latin, tail("20636166" + "81" + "E9"))))
+    return docs.select("doc_id", tx.decode_text(content).alias("body"))
+
+
 @query("a11_append_new", "SELECT o_orderkey, o_custkey FROM orders")
 def _(spark, d):
     path = _fresh(spark, d, "append")

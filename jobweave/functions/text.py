@@ -20,6 +20,29 @@ def clean_text_field(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(one_line, r" {2,}", " "))
 
 
+def _code_page(name: str) -> tuple[str, str, str]:
+    """(bytes with another letter than in Latin-1, those letters, bytes without a letter), each byte as its Latin-1 letter."""
+    letters = {chr(b): bytes([b]).decode(name, "ignore") for b in range(256)}
+    other = {k: v for k, v in letters.items() if v and v != k}
+    return "".join(other), "".join(other.values()), "".join(k for k, v in letters.items() if not v)
+
+
+def decode_text(content: str | Column, code_page: str = "cp1258") -> Column:
+    """Binary text by the first that fits: UTF-8 (a leading BOM goes), a single-byte code page, Latin-1.
+
+    Spark's `decode` knows few code pages; a single-byte one is Latin-1 with some
+    letters replaced, so `translate` does it inside the JVM.  Bytes the page has no
+    letter for (nine in windows-1258) leave Latin-1.  Vietnamese tone marks stay
+    marks of their own, as the page has them.  NULL stays NULL.
+    """
+    content = as_col(content)
+    given, letters, none = _code_page(code_page)
+    no_letter = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in none) + "]" if none else "(?!)"
+    latin = F.decode(content, "ISO-8859-1")
+    single = let(latin, lambda c: F.when(c.rlike(no_letter), c).otherwise(F.translate(c, given, letters)))
+    return F.coalesce(F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\ufeff", ""), single)
+
+
 # every named reference of HTML that ends in ';'; a no-break space becomes a space
 NAMED_ENTITIES = {f"&{name}": " " if char == "\xa0" else char for name, char in html5.items() if name.endswith(";")}
 #: The names are dealt into short lists by their crc32, as Spark would read one map of all from its start.

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 
 from jobweave import schema as S
 from jobweave.functions.common import as_col
+from jobweave.functions.text import decode_text
 
 CORRUPT = "_corrupt_record"
 # {source}_jobs_{YYYY_MM_DD}.jsonl
@@ -65,10 +66,17 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None) -> D
     return df.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else df
 
 
+def read_dated(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What `writers.write_dated` wrote, with ``file_source`` and ``crawl_date`` out of the folder names.
+
+    A filter on ``file`` reads only the folders it names.
+    """
+    df = spark.read.schema(schema).json(path)
+    return df.withColumns(dated_file_columns("file"))
+
+
 def read_resumes(spark: SparkSession, path) -> DataFrame:
-    """(resume_id, text): UTF-8 with or without BOM, Latin-1 when it is not UTF-8."""
+    """(resume_id, text): UTF-8 with or without BOM, else windows-1258, else Latin-1; a file of no bytes is no row."""
     raw = spark.read.format("binaryFile").load(path)
-    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
-    text = F.coalesce(utf8, F.decode(F.col("content"), "ISO-8859-1"))
     return raw.select(F.regexp_extract(F.col("path"), r"([^/]+)$", 1).alias("resume_id"),
-                      F.regexp_replace(text, "^﻿", "").alias("text"))
+                      decode_text("content").alias("text"))

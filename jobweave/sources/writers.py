@@ -53,6 +53,18 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str, key: str = "job
     return fresh
 
 
+def write_dated(df: DataFrame, path: str, source: str = "source_website", date: str = "crawl_date", mode: str = "append") -> None:
+    """JSON lines in one folder per source and day, ``file={source}_jobs_{YYYY_MM_DD}``.
+
+    No shuffle before the write: every task adds a file of its own to a folder, so
+    a hot source is written by all tasks.  Rows without a source or a date go to
+    the folder Spark names for NULL.
+    """
+    name = F.concat(F.col(source), F.lit("_jobs_"), F.date_format(F.col(date), "yyyy_MM_dd"))
+    (df.withColumn("file", name).drop(source, date).write.mode(mode)
+     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("file").json(path))
+
+
 def dated_name(source: str, date: str, ext: str = "jsonl") -> str:
     """``{source}_jobs_{YYYY_MM_DD}.{ext}`` for an ISO date."""
     return f"{source}_jobs_{date.replace('-', '_')}.{ext}"

@@ -105,8 +105,23 @@ def test_csv(spark, tmp_path):
 def test_resume_encodings(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("﻿kỹ năng".encode("utf-8"))
     (tmp_path / "b.txt").write_bytes("café".encode("latin-1"))
+    page = bytes(b for b in range(32, 256) if bytes([b]).decode("cp1258", "ignore"))
+    (tmp_path / "c.txt").write_bytes(page)
+    (tmp_path / "d.txt").write_bytes(page + b"\x81")
+    (tmp_path / "e.txt").write_bytes(b"")
     got = dict(tuple(r) for r in readers.read_resumes(spark, str(tmp_path)).collect())
-    assert got == {"a.txt": "kỹ năng", "b.txt": "café"}
+    assert got == {"a.txt": "kỹ năng", "b.txt": "café", "c.txt": page.decode("cp1258"), "d.txt": (page + b"\x81").decode("latin-1")}
+
+
+def test_dated_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "topcv", "2026-03-24"), (2, "it_jobs_viec", "2026-03-25"), (3, None, "2026-03-25")],
+                                 "n int, source_website string, day string").selectExpr("n", "source_website", "date(day) AS crawl_date")
+    writers.write_dated(rows, str(tmp_path / "x"))
+    df = readers.read_dated(spark, str(tmp_path / "x"), "n int, file string")
+    assert sorted((r.n, r.file_source, str(r.crawl_date)) for r in df.where("file IS NOT NULL").collect()) == [
+        (1, "topcv", "2026-03-24"), (2, "it_jobs_viec", "2026-03-25")]
+    assert [tuple(r) for r in df.where("file IS NULL").select("n", "file_source", "crawl_date").collect()] == [(3, None, None)]
+    assert "PartitionFilters: [isnotnull(file" in df.where("file = 'topcv_jobs_2026_03_24'")._jdf.queryExecution().toString()
 
 
 def test_run_writes_all_tables(spark, sf, tmp_path):
