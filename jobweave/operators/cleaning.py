@@ -41,24 +41,40 @@ def with_job_hash(df: DataFrame) -> DataFrame:
     return df.withColumn("job_hash", tx.job_hash())
 
 
-def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str] | None = None) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str] | None = None, unique: str | None = None) -> DataFrame:
     """First row per key in an explicit order.
 
     ``row_number() = 1`` lets Spark put a group limit before the shuffle: every
     map task sends one row per key, so a key with a third of all rows does not
-    pile up in one reducer.  A hash of the row breaks the last ties.
+    pile up in one reducer.  A hash of the row breaks the last ties; where the order
+    ends in a column that is ``unique`` there are none, and no column but those used is read.
     """
     order = list(order or [c for c in ORDER_CANDIDATES if c in df.columns])
-    last = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    last = F.col(unique) if unique else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     w = Window.partitionBy(*[as_col(k) for k in keys]).orderBy(*order, last)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def remove_duplicates(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """By url, then by lower-cased title and company among the survivors."""
-    by_url = keep_first(df, ["url"], order)
+def remove_duplicates(df: DataFrame, order: Sequence[str] | None = None, unique: str | None = None,
+                      elect_by_id: bool = False) -> DataFrame:
+    """By url, then by lower-cased title and company among the survivors.
+
+    ``unique`` names a column that differs in every row; it then breaks ties, so that
+    only the columns used are read.  With ``elect_by_id`` the survivors are elected on
+    the keys, the order and that column alone, and whole rows move once, to meet the
+    survivors' ids, in place of twice.  That reads the keys a second time, which pays
+    for columnar input with long texts.  Both forms keep the same rows.
+    """
     norm = lambda c: F.lower(F.trim(text(c)))
-    return keep_first(by_url, [norm("job_title"), norm("company_name")], order)
+    order = list(order or [c for c in ORDER_CANDIDATES if c in df.columns])
+    keys = {"_title": norm("job_title"), "_company": norm("company_name")}
+    if not elect_by_id:
+        return keep_first(keep_first(df, ["url"], order, unique), list(keys.values()), order, unique)
+    if unique is None:
+        raise ValueError("elect_by_id needs a unique column")
+    narrow = df.select("url", *dict.fromkeys([*order, unique]), *[v.alias(k) for k, v in keys.items()])
+    kept = keep_first(keep_first(narrow, ["url"], order, unique), list(keys), order, unique)
+    return df.join(kept.select(unique), unique, "left_semi")
 
 
 def step_counts(steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:

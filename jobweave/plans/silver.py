@@ -24,6 +24,8 @@ class Options:
     in_period_only: bool = False
     nan_as_lead: bool = False
     strict_iso: bool = False
+    unique: str | None = "ingest_seq"      # position in the ingest order, where the input has it
+    elect_by_id: bool = False              # see cleaning.remove_duplicates
 
 
 def stages(bronze: DataFrame, opt: Options = Options()) -> list[tuple[str, DataFrame]]:
@@ -37,7 +39,8 @@ def stages(bronze: DataFrame, opt: Options = Options()) -> list[tuple[str, DataF
     add = lambda name, df: out.append((name, df)) or df
     df = add("valid", C.drop_invalid_urls(C.drop_missing_titles(bronze)))
     df = add("clean", C.with_job_hash(C.clean_text_columns(df, (), C.KEY_COLUMNS)))
-    df = add("dedup", C.remove_duplicates(df))
+    unique = opt.unique if opt.unique in df.columns else None
+    df = add("dedup", C.remove_duplicates(df, unique=unique, elect_by_id=opt.elect_by_id and unique is not None))
     df = C.with_company_group(C.clean_text_columns(df, plain=C.OTHER_TEXT_COLUMNS))
     df = N.normalize_salary(df)
     df = N.normalize_location_columns(df)

@@ -60,6 +60,22 @@ def test_keep_first_limits_groups_before_the_shuffle(spark, sf):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_survivors_by_id(spark, sf):
+    """The three forms keep the same rows; elected by id, no text but the keys is shuffled before the survivors are known."""
+    raw = D.raw_jobs(spark, sf)
+    forms = [C.remove_duplicates(raw, **how) for how in ({}, {"unique": "ingest_seq"}, {"unique": "ingest_seq", "elect_by_id": True})]
+    ids = [sorted(r.ingest_seq for r in f.select("ingest_seq").collect()) for f in forms]
+    assert ids[0] == ids[1] == ids[2] and len(ids[0]) < raw.count()
+    assert "job_description" not in plan(forms[1].select("ingest_seq", "url"))
+    text = forms[2]._jdf.queryExecution().optimizedPlan().toString()
+    right = text[text.index("+- Project [ingest_seq"):] if "+- Project [ingest_seq" in text else text.split("LeftSemi", 1)[1]
+    assert right.count("Window [") == 2 and "benefits" not in right
+    same = spark.createDataFrame([(1, "http://a", "t", "c"), (2, "http://a", "t", "c")], "id int, url string, job_title string, company_name string")
+    assert [r.id for r in C.remove_duplicates(same, [], "id", True).collect()] == [1]
+    with pytest.raises(ValueError):
+        C.remove_duplicates(same, elect_by_id=True)
+
+
 def test_filters_reach_the_scan(spark, sf):
     df = G.apply_filters(D.table(spark, sf, "orders").withColumn("city", F.col("o_orderstatus")), G.FilterSpec(cities=["F"]))
     text = plan(df.select("o_orderkey", "city"))
