@@ -3,9 +3,10 @@
 Sequences are numbered 0..N-1 as they are cut; a keyed Feistel network over the
 smallest even number of bits that holds N, walked on while it leaves 0..N-1, is a
 permutation of 0..N-1 and gives each its slot without a sort or a shuffle of keys.
-Slots are dealt to tasks by ranges, and every shard is one row whose payload is a
-fixed number of records of fixed stride: slot k lies in shard k // records at byte
-k % records * stride.
+Slots are dealt to tasks by ranges: slots are dense, so the bounds are known without
+a sample, and every file holds one run of shards, in the order of its name.  Every
+shard is one row whose payload is a fixed number of records of fixed stride: slot k
+lies in shard k // records at byte k % records * stride.
 """
 
 from __future__ import annotations
@@ -150,7 +151,8 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, final: int = 49407,
     shards = -(-total // s.records)
     parts = max(1, min(shards, -(-total * s.stride // (64 << 20)), 1 << 16), min(shards, int(
         docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = rows.repartition(parts, "shard").sortWithinPartitions("slot")
+    if total:
+        rows = rows.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot")
     rows = shared.map_arrow(rows, writer(s), "shard long, first_slot long, records int, payload binary")
     rows.write.option("compression", "zstd").parquet(path)
     return total

@@ -387,6 +387,10 @@ def test_sequences_are_read_back(spark, hard, none, tmp_path):
                 part = ids[a:a + 64]
                 want[i, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
     assert have == want
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min("shard").alias("low"), F.max("shard").alias("high"), F.count("*").alias("n")).orderBy("file").collect()
+    assert len(files) == 8 and sum(f.n for f in files) == -(-total // s.records)
+    assert all(f.high - f.low + 1 == f.n for f in files) and all(a.high + 1 == b.low for a, b in zip(files, files[1:]))
     again = ordering.read(spark, path, first=total - 20, s=s).collect()
     assert {r.slot for r in again} == set(range(total - 20, total))
     assert ordering.materialise(none, queries.vocabulary(), str(tmp_path / "none"), s=s) == 0
