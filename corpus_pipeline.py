@@ -31,7 +31,11 @@ def delete_common_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every group of near duplicates (five words, 0.8)."""
+    """The smallest id of every group of near duplicates (five words, 0.8).
+
+    An id names one document: rows that repeat the smallest id of a group stay or go
+    together.  Rows with a null id are compared with nothing and stay.
+    """
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 
