@@ -92,4 +92,4 @@ def _(spark, d):
     from jobweave.plans import silver as plan
     from jobweave.plans import warehouse
 
-    return C.step_counts(plan.stages(L.raw(spark, d), warehouse.OPTIONS))
+    return plan.step_statistics(L.raw(spark, d), warehouse.OPTIONS)

@@ -17,9 +17,13 @@ TEXT_COLUMNS = KEY_COLUMNS + OTHER_TEXT_COLUMNS
 ORDER_CANDIDATES = ("crawled_at", "ingest_seq", "job_id")
 
 
+def has_title(col: str = "job_title") -> Column:
+    """The title has a character other than white space (no-break space included)."""
+    return text(col).rlike(r"(?U)\S")
+
+
 def drop_missing_titles(df: DataFrame, col: str = "job_title") -> DataFrame:
-    """Rows whose title has a character other than white space (no-break space included)."""
-    return df.where(text(col).rlike(r"(?U)\S"))
+    return df.where(has_title(col))
 
 
 def drop_invalid_urls(df: DataFrame, col: str = "url") -> DataFrame:
@@ -77,6 +81,26 @@ def remove_duplicates(df: DataFrame, order: Sequence[str] | None = None, unique:
     return df.join(kept.select(unique), unique, "left_semi")
 
 
+def row_counts(df: DataFrame, valid: Column, order: Sequence[str] | None = None, unique: str | None = None) -> DataFrame:
+    """(rows, valid, kept): all rows, those that pass ``valid``, those of them that `remove_duplicates` keeps; one row, one scan.
+
+    A url's first row is a minimum, and the rows kept are as many as the first rows have
+    titles and companies, so all three numbers come from sums that merge before each
+    shuffle: no row and no text but the keys moves, however often a url repeats.
+    """
+    norm = lambda c: F.lower(F.trim(text(c)))
+    order = list(order or [c for c in ORDER_CANDIDATES if c in df.columns])
+    last = F.col(unique) if unique else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], last.alias("o"),
+                     norm("job_title").alias("title"), norm("company_name").alias("company"))
+    ok = F.coalesce(valid, F.lit(False))
+    rows = df.select(ok.alias("ok"), F.when(ok, F.col("url")).alias("url"), F.when(ok, place).alias("place"))
+    urls = rows.groupBy("ok", "url").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    keys = urls.groupBy("ok", "first.title", "first.company").agg(F.sum("n").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return keys.agg(total("n").alias("rows"), total(F.when(F.col("ok"), F.col("n"))).alias("valid"), F.count_if("ok").alias("kept"))
+
+
 def step_counts(steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """(step, rows) for a chain of stages, one count per stage."""
     out = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobweave import rules
 from jobweave import schema as S
 from jobweave.functions import dates
+from jobweave.functions import text as tx
 from jobweave.functions.common import text
 from jobweave.operators import cleaning as C
 from jobweave.operators import normalize as N
@@ -60,6 +61,24 @@ def stages(bronze: DataFrame, opt: Options = Options()) -> list[tuple[str, DataF
     return out
 
 
+def step_statistics(bronze: DataFrame, opt: Options = Options()) -> DataFrame:
+    """(step_no, step, rows) of the stages, in one pass over the input.
+
+    Cleaning and normalising keep all rows, so three numbers tell the five steps.
+    With ``in_period_only`` the last step drops rows and is counted from its own plan.
+    """
+    valid = C.has_title() & tx.has_http_prefix("url")
+    unique = opt.unique if opt.unique in bronze.columns else None
+    clean = C.clean_text_columns(bronze.withColumn("_valid", valid), (), C.KEY_COLUMNS)
+    one = C.row_counts(clean, F.col("_valid"), unique=unique)
+    last = F.col("kept")
+    if opt.in_period_only:
+        last = stages(bronze, opt)[-1][1].agg(F.count("*")).scalar()
+    numbers = [("load", F.col("rows")), ("valid", F.col("valid")), ("clean", F.col("valid")), ("dedup", F.col("kept")), ("normalize", last)]
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(name).alias("step"), n.alias("rows"))
+                                         for i, (name, n) in enumerate(numbers)])))
+
+
 def to_silver(bronze: DataFrame, opt: Options = Options()) -> DataFrame:
     return export_columns(stages(bronze, opt)[-1][1])
 

@@ -60,6 +60,20 @@ def test_keep_first_limits_groups_before_the_shuffle(spark, sf):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_step_statistics_in_one_pass(spark, sf):
+    """Equal to counting every stage, ties, repeated rows, NULLs and an empty table included; the input is read once."""
+    raw = D.raw_jobs(spark, sf)
+    text = plan(P.step_statistics(raw, W.OPTIONS))
+    assert text.count("Location: ") <= 2 * plan(raw).count("Location: ") and text.count("orders.parquet") == plan(raw).count("orders.parquet")
+    assert "job_description" not in text and "Window" not in text
+    odd = raw.where("ingest_seq < 150").unionByName(raw.where("ingest_seq < 150")).unionByName(raw.where("ingest_seq < 20").withColumns({"url": F.lit(None).cast("string")})).unionByName(
+        raw.where("ingest_seq < 30").withColumns({"url": F.lit("http://same"), "company_name": F.lit(None).cast("string")}))
+    for df, opt in ((raw, W.OPTIONS), (odd, P.Options(unique=None)), (raw.where("false"), W.OPTIONS),
+                    (raw, P.Options(as_of=W.OPTIONS.as_of, analysis_start="1996-01-01", analysis_end="1997-01-01", in_period_only=True))):
+        got = [tuple(r) for r in P.step_statistics(df, opt).orderBy("step_no").collect()]
+        assert got == [tuple(r) for r in C.step_counts(P.stages(df, opt)).orderBy("step_no").collect()]
+
+
 def test_survivors_by_id(spark, sf):
     """The three forms keep the same rows; elected by id, no text but the keys is shuffled before the survivors are known."""
     raw = D.raw_jobs(spark, sf)
