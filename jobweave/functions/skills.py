@@ -155,10 +155,11 @@ def extract_skills_regex(c: str | Column, table: Mapping[str, str] | None = None
 
 
 def taxonomy_scan(title: str | Column, description: str | Column | None = None, cap: int | None = None,
-                  skip_pattern: str | None = None, taxonomy=None, body: Column | None = None) -> Column:
+                  skip_pattern: str | None = None, taxonomy=None, body: Column | None = None, min_length: int = 1) -> Column:
     """Taxonomy names with word boundaries, then parts of ``(a/b, c)`` in the title.
 
-    Names are sought in ``body``, or else in title and description.  ``cap`` keeps the first ones only.
+    Names are sought in ``body``, or else in title and description.  ``cap`` keeps the first ones
+    only, ``min_length=2`` leaves out names of one letter ("R").
     """
     names = list(dict.fromkeys(s for g in (taxonomy or rules.SKILL_TAXONOMY).values() for s in g))
     if body is None:
@@ -169,7 +170,7 @@ def taxonomy_scan(title: str | Column, description: str | Column | None = None,
     parts = F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"[/,;]"))), lambda x: F.trim(x))
     if skip_pattern:
         parts = F.filter(parts, lambda x: ~x.rlike(skip_pattern))
-    every = F.array_distinct(F.filter(F.concat(found, parts), lambda x: F.length(x) >= 2))
+    every = F.array_distinct(F.filter(F.concat(found, parts), lambda x: F.length(x) >= min_length))
     return every if cap is None else F.slice(every, 1, cap)
 
 

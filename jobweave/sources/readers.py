@@ -57,9 +57,13 @@ def read_table(spark: SparkSession, parquet_path: str, csv_path: str | None = No
         return read_csv(spark, csv_path, schema)
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header, quoted commas and line breaks, doubled quotes, optional BOM."""
-    reader = (spark.read.option("header", True).option("multiLine", True)
+def read_csv(spark: SparkSession, path, schema: T.StructType | str | None = None, line_breaks: bool = True) -> DataFrame:
+    """CSV with header, quoted commas and line breaks, doubled quotes, optional BOM.
+
+    A file whose values may hold line breaks is read by one task; with
+    ``line_breaks=False`` a large file is split over many.
+    """
+    reader = (spark.read.option("header", True).option("multiLine", line_breaks)
               .option("quote", '"').option("escape", '"').option("encoding", "UTF-8"))
     df = (reader.schema(schema) if schema else reader).csv(path)
     first = df.columns[0] if df.columns else ""

@@ -30,7 +30,7 @@ def csv_ready(df: DataFrame, bom: bool = True) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = True, mode: str = "overwrite") -> None:
-    (csv_ready(df, bom).write.mode(mode).option("header", True)
+    (csv_ready(df, bom).write.mode(mode).option("header", True).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .option("quote", '"').option("escape", '"').csv(path))
 
 

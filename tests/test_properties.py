@@ -132,6 +132,24 @@ def test_csv(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.read_csv(spark, out, "id int, t string").collect()) == [(1, 'a,"b"\nc'), (2, "ế")]
 
 
+def test_csv_in_parts(spark, tmp_path, monkeypatch):
+    """Files end at the record limit, each with its header; without line breaks a file is split over tasks."""
+    monkeypatch.setattr(writers, "MAX_RECORDS_PER_FILE", 1000)
+    out = str(tmp_path / "c")
+    writers.write_csv(spark.range(0, 5000, 1, 2).selectExpr("id", "concat('ế, ', id) AS t"), out)
+    assert len(list((tmp_path / "c").glob("part*"))) == 6
+    whole, split = readers.read_csv(spark, out, "id long, t string"), readers.read_csv(spark, out, "id long, t string", False)
+    want = [(i, f"ế, {i}") for i in range(5000)]
+    assert sorted(tuple(r) for r in whole.collect()) == want == sorted(tuple(r) for r in split.collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        tasks = lambda df: df.select(F.spark_partition_id().alias("p"), "id").groupBy("p").count().count()
+        assert tasks(readers.read_csv(spark, out, "id long, t string", False)) > tasks(readers.read_csv(spark, out, "id long, t string"))
+        assert sorted(tuple(r) for r in readers.read_csv(spark, out, "id long, t string", False).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_resume_encodings(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("﻿kỹ năng".encode("utf-8"))
     (tmp_path / "b.txt").write_bytes("café".encode("latin-1"))
@@ -221,6 +239,9 @@ def test_lists_have_no_cap(rows):
     title = "Analyst (" + "/".join(f"tool{k:02d}" for k in range(30)) + ")"
     row = rows("t string, d string", [(title, ", ".join(names))]).select(skills.taxonomy_scan("t", "d").alias("f")).first()
     assert set(row.f) >= {f"tool{k:02d}" for k in range(30)} and len(row.f) > 40
+    short = rows("t string", [("Analyst (R/C; SQL)",)])
+    assert set(short.select(skills.taxonomy_scan("t").alias("f")).first().f) >= {"R", "C", "SQL"}
+    assert not {"R", "C"} & set(short.select(skills.taxonomy_scan("t", min_length=2).alias("f")).first().f)
     text = "\n".join(f"line {k}" for k in range(40))
     assert matching.with_sections(rows("text string", [(text,)])).first().summary == text
     asked = [f"s{k}" for k in range(30)]
