@@ -20,6 +20,7 @@ from jobweave.plans import silver as plan
 from jobweave.plans import warehouse
 from jobweave.sources import derived as D
 from jobweave.sources import readers, writers
+from jobweave.sources.seen import SeenIds, append_unseen
 
 WINDOW = dict(as_of=D.AS_OF, start=D.WINDOW_START, end=D.WINDOW_END)
 _J = lambda c, n=None: F.array_join(c, "|").alias(n or c)
@@ -154,6 +155,16 @@ def _(spark, d):
     return spark.read.parquet(path).select("o_orderkey", "o_custkey")
 
 
+@query("f6_anti_join_id_store", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def _(spark, d):
+    out = _fresh(spark, d, "unseen")
+    store = SeenIds(out + "-ids", "o_orderkey", "bigint", merge_at=1)
+    orders = L.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    for number, batch in enumerate([orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus <> 'P'"), orders]):
+        append_unseen(batch, out, store, number)
+    return spark.read.parquet(out).drop("batch")
+
+
 @query("a13_overview_summary", O.gold("""
 SELECT * FROM (SELECT 'role' AS grp, role_category AS label, count(*) AS value FROM gold GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'city', city, count(*) AS n FROM gold GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)

@@ -9,6 +9,7 @@ from jobweave.catalog import oracle as O
 from jobweave.catalog.ingest_queries import _fresh
 from jobweave.catalog.registry import query
 from jobweave.sources import writers
+from jobweave.sources.seen import SeenIds
 from jobweave.streaming import ingest as ST
 
 
@@ -34,6 +35,16 @@ def _(spark, d):
     return spark.read.parquet(out).select("job_id", "job_title")
 
 
+@query("s1_ingest_with_id_store", O.raw("SELECT job_id, min(job_title) AS job_title FROM raw_jobs GROUP BY job_id"))
+def _(spark, d):
+    out, path = _fresh(spark, d, "unseen_out"), _posting_files(spark, d)
+    from pyspark.sql.types import StructType
+
+    stream = ST.posting_stream(spark, path, StructType.fromDDL(_SCHEMA), max_files=4)
+    ST.run_append_unseen(stream, out, out + "-checkpoint", SeenIds(out + "-ids", merge_at=2))
+    return spark.read.parquet(out).select("job_id", "job_title")
+
+
 @query("s1_dedup_within_watermark", O.raw("SELECT source_website, count(DISTINCT job_id) AS n FROM raw_jobs GROUP BY 1"))
 def _(spark, d):
     out, path = _fresh(spark, d, "watermark_out"), _posting_files(spark, d)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from jobweave import schema as S
+from jobweave.sources.seen import SeenIds, append_unseen
 from jobweave.sources.writers import append_new
 
 
@@ -42,6 +43,16 @@ def run_append_new(stream: DataFrame, out: str, checkpoint: str, key: str = "job
     q.awaitTermination()
 
 
+def run_append_unseen(stream: DataFrame, out: str, checkpoint: str, store: SeenIds) -> None:
+    """Unbounded-memory form for long histories: a micro batch reads the parts of the id store its ids fall into.
+
+    A batch that is retried replaces its folder of ``out`` and its ids.
+    """
+    q = (stream.writeStream.foreachBatch(lambda df, number: append_unseen(df, out, store, number))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def live_counts(stream: DataFrame, ts: str, key: str, period: str = "7 days", delay: str = "1 day") -> DataFrame:
     return (stream.withWatermark(ts, delay).groupBy(F.window(ts, period).alias("w"), key)
             .agg(F.count("*").alias("n")).select(F.col("w.start").alias("period_start"), key, "n"))
