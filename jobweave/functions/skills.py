@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -154,6 +154,36 @@ def extract_skills_regex(c: str | Column, table: Mapping[str, str] | None = None
     return sort_ci(F.array_distinct(F.array_compact(F.array(*hits))))
 
 
+def named_in(body: Column, names: Iterable[str]) -> Column:
+    """Those of the names that stand in the text between word boundaries, without regard to case, in the order given.
+
+    The text is cut once into its words, and names of one word are one hash intersection
+    with them.  Names of several words or with other characters are sought as
+    substrings, and only where one is found a pattern looks at its boundaries.
+    """
+    spellings: dict[str, list[str]] = {}
+    for name in names:
+        spellings.setdefault(name.lower(), []).append(name)
+    words = [k for k in spellings if re.fullmatch(r"\w+", k)]
+    others = [k for k in spellings if k not in set(words)]
+    array = lambda items: F.array(*[F.lit(x) for x in items]).cast("array<string>")
+
+    def hits(low: Column) -> Column:
+        one = F.array_intersect(array(words), F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)))
+        runs = [F.when(low.contains(k) & low.rlike(r"(?U)\b" + re.escape(k) + r"\b"), F.lit(k)) for k in others]
+        return F.concat(one, F.array_compact(F.array(*runs))) if runs else one
+
+    keys = F.array_intersect(array(spellings), let(F.lower(body), hits))
+    literal = F.create_map(*[x for k, v in spellings.items() for x in (F.lit(k), array(v))]).cast("map<string,array<string>>")
+    return F.flatten(F.transform(keys, lambda k: F.element_at(literal, k)))
+
+
+def named_in_regex(body: Column, names: Iterable[str]) -> Column:
+    """One pattern a name: the slow exact form, kept for comparison."""
+    return let(F.lower(body), lambda b: F.array_compact(F.array(*[
+        F.when(b.rlike(r"(?U)\b" + re.escape(s.lower()) + r"\b"), F.lit(s)) for s in names])))
+
+
 def taxonomy_scan(title: str | Column, description: str | Column | None = None, cap: int | None = None,
                   skip_pattern: str | None = None, taxonomy=None, body: Column | None = None, min_length: int = 1) -> Column:
     """Taxonomy names with word boundaries, then parts of ``(a/b, c)`` in the title.
@@ -161,11 +191,9 @@ def taxonomy_scan(title: str | Column, description: str | Column | None = None,
     Names are sought in ``body``, or else in title and description.  ``cap`` keeps the first ones
     only, ``min_length=2`` leaves out names of one letter ("R").
     """
-    names = list(dict.fromkeys(s for g in (taxonomy or rules.SKILL_TAXONOMY).values() for s in g))
     if body is None:
         body = text(title) if description is None else F.concat_ws(" ", text(title), text(description))
-    found = let(F.lower(body), lambda b: F.array_compact(F.array(*[
-        F.when(b.contains(s.lower()) & b.rlike(r"(?U)\b" + re.escape(s.lower()) + r"\b"), F.lit(s)) for s in names])))
+    found = named_in(body, dict.fromkeys(s for g in (taxonomy or rules.SKILL_TAXONOMY).values() for s in g))
     groups = F.regexp_extract_all(text(title), F.lit(r"\(([^)]+)\)"), F.lit(1))
     parts = F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"[/,;]"))), lambda x: F.trim(x))
     if skip_pattern:

@@ -7,6 +7,7 @@ each document scaled to length 1; a corpus score is the mean over all N document
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,11 +16,13 @@ from jobweave import rules
 from jobweave.functions.common import explode_each, inline_each, run_lengths, text
 from jobweave.functions.skills import extract_skills, phrases, skill_category, skill_pairs
 from jobweave.operators import counts as K
+from jobweave.plans.warehouse import written
 
 # A word: starts with a letter, two characters or more, ends before trailing '+' and '#'.
 # Cleaned text holds no other separators, so the look-behind stands for a word boundary.
 TOKEN = r"(?<![a-z0-9À-ỹ])[a-zÀ-ỹ][a-z0-9+#À-ỹ]*[a-z0-9À-ỹ]"
 STOP_WORDS = rules.STOP_WORDS_VI + rules.STOP_WORDS_EN
+LARGE_PARTS = 1000
 
 
 def clean_keyword_text(c: str | Column) -> Column:
@@ -64,21 +67,50 @@ def keyword_weights(df: DataFrame, text_col: str, doc: str, by: Sequence[str] =
     ``max_features`` short rows per document instead of every term.
     """
     by = list(by)
-    docs = with_terms(df, text_col, ngrams, [*by, doc])
-    vocab = vocabulary(docs, by, max_features, min_df)
+    full = df.where(F.trim(text(text_col)) != "")
+    vocab = vocabulary(with_terms(df, text_col, ngrams, [*by, doc]), by, max_features, min_df)
     if by:
-        vocab = vocab.join(df.where(F.trim(text(text_col)) != "").groupBy(*by).agg(F.count("*").alias("docs")), by)
+        vocab = vocab.join(full.groupBy(*by).agg(F.count("*").alias("docs")), by)
     else:
-        vocab = vocab.withColumn("docs", df.where(F.trim(text(text_col)) != "").agg(F.count("*")).scalar())
+        vocab = vocab.withColumn("docs", full.agg(F.count("*")).scalar())
     idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
     vocab = vocab.select(*by, "term", "docs", idf.alias("idf"))
-    small = vocab if by else F.broadcast(vocab)            # without groups: max_features rows
-    hits = inline_each(docs, "terms", "term", [*by, doc]).join(small, [*by, "term"])
+    if by:
+        hits = _grouped_hits(full, text_col, doc, by, ngrams, written(vocab, "vocabulary"))
+    else:                                                  # max_features rows
+        hits = inline_each(with_terms(full, text_col, ngrams, [doc]), "terms", "term", [doc]).join(F.broadcast(vocab), "term")
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(*by, doc)))
     return hits.select(*by, doc, "term", (raw / norm).alias("weight"), "docs")
 
 
+def large_groups(df: DataFrame, by: Sequence[str], parts: int = LARGE_PARTS) -> DataFrame:
+    """Groups with at least 1/``parts`` of all rows, so at most ``parts`` of them; NULL is no group."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    some = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by])
+    return counts.where(some & (F.col("_n") * parts >= df.agg(F.count("*")).scalar())).select(*by)
+
+
+def _grouped_hits(df: DataFrame, text_col: str, doc: str, by: list[str], ngrams: int, vocab: DataFrame) -> DataFrame:
+    """Term counts of the documents, reduced to their group's vocabulary.
+
+    Documents of large groups meet the vocabularies of these by broadcast, at most
+    ``LARGE_PARTS`` times ``max_features`` rows whatever the size of the table: none of their terms is
+    shuffled, so a group with a third of all documents is spread like its files.  Terms of
+    the other groups are shuffled by group and term, a key with less than 1/``LARGE_PARTS``
+    of all documents.  The group of a document is looked up before its text is cut, so each
+    text is cut once.
+    """
+    large = written(large_groups(df, by), "large_groups")
+
+    def hits(how: str, small) -> DataFrame:
+        docs = with_terms(df.join(F.broadcast(large), by, how), text_col, ngrams, [*by, doc])
+        return inline_each(docs, "terms", "term", [*by, doc]).join(
+            small(vocab.join(F.broadcast(large), by, how)), [*by, "term"])
+
+    return hits("left_semi", F.broadcast).unionByName(hits("left_anti", lambda v: v))
+
+
 def corpus_keywords(df: DataFrame, text_col: str, doc: str, by: Sequence[str] = (), n: int = 30,
                     **fit) -> DataFrame:
     """Top n (keyword, score), per group when ``by`` is given."""
