@@ -5,11 +5,13 @@ Ties are always broken by the key, so results do not depend on row order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobweave.functions.common import as_col, inline_each
+
 
 def value_counts(df: DataFrame, key: str, n: int | None = None, name: str = "n") -> DataFrame:
     """Rows per key, most frequent first; ``n`` keeps the top (no full sort)."""
@@ -17,6 +19,21 @@ def value_counts(df: DataFrame, key: str, n: int | None = None, name: str = "n")
     return counts if n is None else counts.orderBy(F.desc(name), key).limit(n)
 
 
+def key_counts(df: DataFrame, keys: Mapping[str, str | Column], lists: Mapping[str, str] | None = None) -> DataFrame:
+    """(kind, value, n): rows per value of many keys, counted in one pass over the input.
+
+    ``keys`` maps a kind to a column, ``lists`` to an array column whose items count
+    each.  NULL is a value of a key, a NULL item or list is none.  Counts merge before
+    the shuffle, so a frequent value sends one row per map task.
+    """
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    single = F.array(*[entry(kind, as_col(c)) for kind, c in keys.items()])
+    every = lambda kind, c: F.transform(F.array_compact(F.coalesce(F.col(c), F.array())), lambda x: entry(kind, x))
+    items = [every(kind, c) for kind, c in (lists or {}).items()]
+    each = inline_each(df, F.concat(single, *items) if items else single, "kind")
+    return each.groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
 def top_by(df: DataFrame, value: str, key: str, n: int, ascending: bool = False) -> DataFrame:
     return df.orderBy(F.asc(value) if ascending else F.desc(value), key).limit(n)
 

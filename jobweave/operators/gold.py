@@ -99,22 +99,24 @@ def trimmed_salary_subset(df: DataFrame, col: str = "salary_midpoint_usd",
 
 
 def filter_options(df: DataFrame, n_cities: int = 20) -> DataFrame:
-    """(option, value, ord): top cities, roles, present levels in order, sources, salary cap."""
-    from jobweave.operators.counts import value_counts
-
-    named = lambda d, kind, value, ord_: d.select(F.lit(kind).alias("option"),
-                                                  value.alias("value"), ord_.alias("ord"))
-    none = F.lit(0)
-    cities = named(value_counts(df, "city", n_cities), "city", F.col("city"), none)
-    role = named(df.select("role_category").distinct(), "role", F.col("role_category"), none)
-    level = named(df.select("experience_level_inferred").distinct()
-                  .where(F.col("experience_level_inferred").isin(*rules.LEVEL_ORDER)),
-                  "level", F.col("experience_level_inferred"), roles.level_rank())
-    source = named(df.select("source_website").distinct().where("source_website IS NOT NULL"),
-                   "source", F.col("source_website"), none)
-    cap = df.sparkSession.range(1).select(overall_one(df, "salary_midpoint_usd", 0.99).alias("p"))
-    cap = named(cap, "salary_cap", F.coalesce(F.floor("p"), F.lit(5000)).cast("int").cast("string"), none)
-    return cities.unionByName(role).unionByName(level).unionByName(source).unionByName(cap)
+    """(option, value, ord): top cities, roles, present levels in order, sources, salary cap.
+
+    All values are counted in one pass over the postings.
+    """
+    from jobweave.operators import counts as K
+    from jobweave.plans.warehouse import written
+
+    counts = written(K.key_counts(df, {"city": "city", "role": "role_category", "level": "experience_level_inferred",
+                                       "source": "source_website"}), "options")
+    kind, value = F.col("kind"), F.col("value")
+    option = lambda d, ord_: d.select(kind.alias("option"), "value", ord_.alias("ord"))
+    cities = K.top_by(counts.where(kind == "city"), "n", "value", n_cities)
+    others = counts.where((kind == "role") | ((kind == "source") & value.isNotNull()))
+    levels = counts.where((kind == "level") & value.isin(*rules.LEVEL_ORDER))
+    cap = df.sparkSession.range(1).select(overall_one(df, "salary_midpoint_usd", 0.99).alias("p")).select(
+        F.lit("salary_cap").alias("option"), F.coalesce(F.floor("p"), F.lit(5000)).cast("int").cast("string").alias("value"),
+        F.lit(0).alias("ord"))
+    return option(cities.unionByName(others), F.lit(0)).unionByName(option(levels, roles.level_rank("value"))).unionByName(cap)
 
 
 def report_columns(df: DataFrame, columns=S.REPORT_COLUMNS) -> DataFrame:

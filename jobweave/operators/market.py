@@ -13,6 +13,7 @@ from jobweave.functions.common import explode_each, text
 from jobweave.operators import counts as K
 from jobweave.operators.gold import salary_subset
 from jobweave.operators.quantiles import exact_quantiles, median_by, overall, overall_one, same, with_quantiles
+from jobweave.plans.warehouse import written
 
 SALARY = "salary_midpoint_usd"
 
@@ -34,20 +35,28 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return one.withColumn("salary_coverage", pct(F.col("_paid"), F.col("jobs"))).drop("_paid")
 
 
-def top1(df: DataFrame, key: str) -> Column:
-    """Most frequent key as a scalar subquery."""
-    return K.value_counts(df, key, 1).select(key).scalar()
+def top1(df: DataFrame, key: str, n: str | None = None) -> Column:
+    """Most frequent key as a scalar subquery; ``n`` names the counts of a frame that is counted already."""
+    top = K.value_counts(df, key, 1) if n is None else K.top_by(df, n, key, 1)
+    return top.select(key).scalar()
 
 
 def overview_kpis(df: DataFrame) -> DataFrame:
-    one = dataset_summary(df)
-    return one.withColumns({
+    """Summary, median salary and the most frequent skill, company, role and city.
+
+    All counts come from one pass over the postings; the written counts are read for each of them.
+    """
+    counts = written(K.key_counts(df, {"company": "company_name", "city": "city", "source": "source_website", "role": "role_category",
+                                       "paid": F.coalesce(is_salary(), F.lit(False))}, {"skill": "dash_skills"}), "overview")
+    total = lambda rows: F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0))
+    distinct = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())
+    first = lambda kind: top1(counts.where(F.col("kind") == kind), "value", "n")
+    paid = F.col("kind") == "paid"
+    one = counts.agg(total(paid).alias("jobs"), distinct("company").alias("companies"), distinct("city").alias("cities"),
+                     distinct("source").alias("sources"), total(paid & (F.col("value") == "true")).alias("_paid"))
+    return one.withColumn("salary_coverage", pct(F.col("_paid"), F.col("jobs"))).drop("_paid").withColumns({
         "median_salary": overall_one(salary_subset(df), SALARY),
-        "top_skill": top1(explode_skills(df, "dash_skills"), "skill"),
-        "top_company": top1(df, "company_name"),
-        "top_role": top1(df, "role_category"),
-        "top_city": top1(df, "city"),
-    })
+        "top_skill": first("skill"), "top_company": first("company"), "top_role": first("role"), "top_city": first("city")})
 
 
 def salary_kpis(df: DataFrame) -> DataFrame:
