@@ -13,27 +13,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave import rules
-from jobweave.functions.common import explode_each, inline_each, run_lengths, text
+from jobweave.functions.common import explode_each, inline_each, let, run_lengths, text
 from jobweave.functions.skills import extract_skills, phrases, skill_category, skill_pairs
 from jobweave.operators import counts as K
 from jobweave.plans.warehouse import written
 
 # A word: starts with a letter, two characters or more, ends before trailing '+' and '#'.
-# Cleaned text holds no other separators, so the look-behind stands for a word boundary.
+# All other characters separate words, so the look-behind stands for a word boundary.
 TOKEN = r"(?<![a-z0-9À-ỹ])[a-zÀ-ỹ][a-z0-9+#À-ỹ]*[a-z0-9À-ỹ]"
 STOP_WORDS = rules.STOP_WORDS_VI + rules.STOP_WORDS_EN
 LARGE_PARTS = 1000
+#: Words that may be literals of a plan.
+FEW_WORDS = 10_000
+
+
+def _no_links(c: str | Column) -> Column:
+    return let(F.lower(text(c)), lambda low: F.when(
+        low.contains("http"), F.regexp_replace(low, r"https?://\S+", " ")).otherwise(low))
 
 
 def clean_keyword_text(c: str | Column) -> Column:
     """Lower case, links removed, every run of other characters one space."""
-    low = F.lower(text(c))
-    no_links = F.when(low.contains("http"), F.regexp_replace(low, r"https?://\S+", " ")).otherwise(low)
-    return F.trim(F.regexp_replace(no_links, r"[^a-z0-9+#À-ỹ]+", " "))
+    return F.trim(F.regexp_replace(_no_links(c), r"[^a-z0-9+#À-ỹ]+", " "))
 
 
 def tokens(c: str | Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    found = F.regexp_extract_all(clean_keyword_text(c), F.lit(TOKEN), F.lit(0))
+    """Words of a text; a word holds no character that cleaning replaces, so the text is cut without it."""
+    found = F.regexp_extract_all(_no_links(c), F.lit(TOKEN), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(*stop_words))
 
 
@@ -62,28 +68,67 @@ def keyword_weights(df: DataFrame, text_col: str, doc: str, by: Sequence[str] =
                     max_features: int = 300, min_df: int = 1, ngrams: int = 2) -> DataFrame:
     """(by..., doc, term, weight, docs) for the vocabulary terms of each document.
 
-    The text is read twice on purpose: first to choose the vocabulary, then to
-    keep only its terms.  The one shuffle by document thus carries at most
-    ``max_features`` short rows per document instead of every term.
+    The terms of a text that can be in the vocabulary are counted once and written, then
+    read twice: first to choose the vocabulary, then to keep only its terms.  The one
+    shuffle by document thus carries at most ``max_features`` short rows per document.
     """
     by = list(by)
-    full = df.where(F.trim(text(text_col)) != "")
-    vocab = vocabulary(with_terms(df, text_col, ngrams, [*by, doc]), by, max_features, min_df)
+    docs = written(_candidate_terms(df, text_col, doc, by, max_features, min_df, ngrams), "terms")
+    vocab = vocabulary(docs, by, max_features, min_df)
     if by:
-        vocab = vocab.join(full.groupBy(*by).agg(F.count("*").alias("docs")), by)
+        vocab = vocab.join(docs.groupBy(*by).agg(F.count("*").alias("docs")), by)
     else:
-        vocab = vocab.withColumn("docs", full.agg(F.count("*")).scalar())
+        vocab = vocab.withColumn("docs", docs.agg(F.count("*")).scalar())
     idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
     vocab = vocab.select(*by, "term", "docs", idf.alias("idf"))
     if by:
-        hits = _grouped_hits(full, text_col, doc, by, ngrams, written(vocab, "vocabulary"))
+        hits = _term_hits(docs, doc, by, written(vocab, "vocabulary"))
     else:                                                  # max_features rows
-        hits = inline_each(with_terms(full, text_col, ngrams, [doc]), "terms", "term", [doc]).join(F.broadcast(vocab), "term")
+        hits = inline_each(docs, "terms", "term", [doc]).join(F.broadcast(vocab), "term")
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(*by, doc)))
     return hits.select(*by, doc, "term", (raw / norm).alias("weight"), "docs")
 
 
+def _candidate_terms(df: DataFrame, text_col: str, doc: str, by: list[str], max_features: int, min_df: int, ngrams: int) -> DataFrame:
+    """``with_terms``, less terms that cannot be in a vocabulary.
+
+    A run of words is no more frequent than each of its words.  So the words of
+    which ``max_features`` are as frequent bound the vocabulary from below, and runs with a
+    rarer word are left out.  Where these words are more than ``FEW_WORDS`` (many groups, or
+    many ties), all terms stay.
+    """
+    keep = [*by, doc]
+    cut = df.where(F.trim(text(text_col)) != "").select(*keep, tokens(text_col).alias("_tokens"))
+    cut = written(cut, "tokens")
+    counts = (inline_each(cut.select(*by, run_lengths(F.col("_tokens")).alias("terms")), "terms", "term", by).groupBy(*by, "term")
+              .agg(F.sum("tf").alias("cf"), F.count("*").alias("df")))
+    counts = written(counts, "words")
+    enough = counts.where(F.col("df") >= min_df)
+    if by:
+        least = (K.top_per_group(enough, by, [F.desc("cf"), F.col("term")], max_features).groupBy(*by)
+                 .agg(F.min("cf").alias("_least"), F.count("*").alias("_n")).where(F.col("_n") == max_features))
+        same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+        words = counts.alias("a").join(least.alias("b"), same, "left").where(F.col("_least").isNull() | (F.col("cf") >= F.col("_least")))
+        words = words.select("a.term").distinct()
+    else:
+        least = enough.orderBy(F.desc("cf"), "term").limit(max_features).agg(F.min("cf").alias("_least"), F.count("*").alias("_n"))
+        words = counts.crossJoin(F.broadcast(least)).where((F.col("_n") < max_features) | (F.col("cf") >= F.col("_least"))).select("term")
+    few = [r.term for r in words.limit(FEW_WORDS + 1).collect()]
+    if 0 < len(few) <= FEW_WORDS:                          # one text, as thousands of literals are slow to hand over; a word holds no quote
+        one_of = ", ".join(f"'{w}'" for w in few)
+        cut = cut.withColumn("_tokens", F.expr(f"transform(_tokens, t -> CASE WHEN t IN ({one_of}) THEN t END)"))
+    runs = [_whole_runs(F.col("_tokens"), n) for n in range(2, ngrams + 1)]
+    return cut.select(*keep, run_lengths(F.concat(F.array_compact("_tokens"), *runs)).alias("terms"))
+
+
+def _whole_runs(words: Column, n: int) -> Column:
+    """``phrases`` without those that have a NULL."""
+    sides = [F.slice(words, i + 1, F.greatest(F.size(words) - n + 1, F.lit(0))).alias(f"t{i}") for i in range(n)]
+    joined = lambda z: F.concat(z["t0"], *[F.concat(F.lit(" "), z[f"t{i}"]) for i in range(1, n)])
+    return F.array_compact(F.transform(F.arrays_zip(*sides), joined))
+
+
 def large_groups(df: DataFrame, by: Sequence[str], parts: int = LARGE_PARTS) -> DataFrame:
     """Groups with at least 1/``parts`` of all rows, so at most ``parts`` of them; NULL is no group."""
     counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
@@ -92,20 +137,23 @@ def large_groups(df: DataFrame, by: Sequence[str], parts: int = LARGE_PARTS) ->
 
 
 def _grouped_hits(df: DataFrame, text_col: str, doc: str, by: list[str], ngrams: int, vocab: DataFrame) -> DataFrame:
-    """Term counts of the documents, reduced to their group's vocabulary.
+    """``_term_hits`` of texts."""
+    return _term_hits(written(with_terms(df, text_col, ngrams, [*by, doc]), "terms"), doc, by, vocab)
+
+
+def _term_hits(docs: DataFrame, doc: str, by: list[str], vocab: DataFrame) -> DataFrame:
+    """Term counts of the documents (by..., doc, terms), reduced to their group's vocabulary.
 
     Documents of large groups meet the vocabularies of these by broadcast, at most
     ``LARGE_PARTS`` times ``max_features`` rows whatever the size of the table: none of their terms is
     shuffled, so a group with a third of all documents is spread like its files.  Terms of
     the other groups are shuffled by group and term, a key with less than 1/``LARGE_PARTS``
-    of all documents.  The group of a document is looked up before its text is cut, so each
-    text is cut once.
+    of all documents.
     """
-    large = written(large_groups(df, by), "large_groups")
+    large = written(large_groups(docs, by), "large_groups")
 
     def hits(how: str, small) -> DataFrame:
-        docs = with_terms(df.join(F.broadcast(large), by, how), text_col, ngrams, [*by, doc])
-        return inline_each(docs, "terms", "term", [*by, doc]).join(
+        return inline_each(docs.join(F.broadcast(large), by, how), "terms", "term", [*by, doc]).join(
             small(vocab.join(F.broadcast(large), by, how)), [*by, "term"])
 
     return hits("left_semi", F.broadcast).unionByName(hits("left_anti", lambda v: v))
