@@ -309,9 +309,9 @@ SELECT resume_id, job_id, array_to_string({_bykey('list_filter(js, lambda s: lis
   array_to_string({_bykey('list_filter(rs, lambda s: NOT list_contains(js, s))')}, '|') AS resume_only_skills, round(so, 6) AS skill_overlap FROM mt"""))
 def _(spark, d):
     pairs, cv, jd = features(spark, d, keywords=False)
-    df = (pairs.join(jd.select("job_id", F.col("skills").alias("js")), "job_id")
-          .join(cv.select("resume_id", F.col("skills").alias("rs")), "resume_id"))
-    df = MT.with_skill_overlap(df, "rs", "js")
+    df = (pairs.join(jd.select("job_id", MT.keyed_skills("skills").alias("js")), "job_id")
+          .join(cv.select("resume_id", MT.keyed_skills("skills").alias("rs")), "resume_id"))
+    df = MT.with_skill_overlap(df, "rs", "js", keyed=True)
     return df.select("resume_id", "job_id", _J("matched_skills"), _J("missing_skills"), _J("resume_only_skills"),
                      F.round("skill_overlap", 6).alias("skill_overlap"))
 

@@ -120,21 +120,24 @@ def extract_skills(c: str | Column, table: Mapping[str, str] | None = None) -> C
     exactly those characters, one space between them.  One-word aliases are a
     hash intersection with the token list, longer ones a plain substring test:
     one projection, no join and no shuffle.  Accented letters separate tokens,
-    so they become a token no alias contains.
+    so a run of them is a token that no alias contains.
     """
     table = table or text_alias_table()
-    single = [k for k in table if " " not in k]
-    several = [k for k in table if " " in k]
-    marked = F.regexp_replace(normalize_text_col(c), r"[À-ỹ]+", " | ")
-    marked = F.regexp_replace(marked, r" +", " ")
+    keys = [k for k in table if re.fullmatch(r"[a-z0-9+#/]+( [a-z0-9+#/]+)*", k)]
+    single = [k for k in keys if " " not in k]
+    several = [k for k in keys if " " in k]
+    cut = F.regexp_extract_all(F.lower(text(c)), F.lit(r"[a-z0-9+#/]+|[À-ỹ]+"), F.lit(0))
     literal = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
-    def hits(m: Column) -> Column:
-        words = F.array_intersect(F.split(m, " "), F.array(*[F.lit(k) for k in single]))
-        runs = [F.when(m.contains(f" {k} "), F.lit(k)) for k in several]
-        return F.concat(words, F.array_compact(F.array(*runs))) if runs else words
+    def hits(words: Column) -> Column:
+        one = F.array_intersect(words, F.array(*[F.lit(k) for k in single]).cast("array<string>"))
+        if not several:
+            return one
+        runs = let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), lambda m: F.array_compact(
+            F.array(*[F.when(m.contains(f" {k} "), F.lit(k)) for k in several])))
+        return F.concat(one, runs)
 
-    names = F.transform(let(marked, hits), lambda h: F.element_at(literal, h))
+    names = F.transform(let(cut, hits), lambda h: F.element_at(literal, h))
     return let(F.array_distinct(names), sort_ci)
 
 
