@@ -86,16 +86,18 @@ def decode_entities(c: str | Column) -> Column:
 
     def every(t: Column) -> Column:
         parts = F.regexp_extract_all(t, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))
-        return F.when(t.rlike(ENTITY), F.array_join(F.transform(parts, decoded), "")).otherwise(t)
+        return F.when(t.contains("&") & t.rlike(ENTITY), F.array_join(F.transform(parts, decoded), "")).otherwise(t)
 
     return let(text(c), every)
 
 
 def strip_html(c: str | Column) -> Column:
     """Visible text of an HTML fragment: scripts, styles, comments and tags removed."""
-    out = F.regexp_replace(text(c), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?s)</?[A-Za-z!?][^>]*>", " ")
-    return F.trim(F.regexp_replace(decode_entities(out), r"\s+", " "))
+    def untagged(t: Column) -> Column:
+        out = F.regexp_replace(t, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+        return F.when(t.contains("<"), F.regexp_replace(out, r"(?s)</?[A-Za-z!?][^>]*>", " ")).otherwise(t)
+
+    return F.trim(F.regexp_replace(decode_entities(let(text(c), untagged)), r"\s+", " "))
 
 
 def remove_html_tags(c: str | Column) -> Column:

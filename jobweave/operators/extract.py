@@ -155,7 +155,8 @@ def posting_from_api(df: DataFrame, record: str = "record", base_url: str = "")
 
     A field may come under its older name; members of lists are objects or plain strings.
     """
-    df = df.withColumn("r", F.try_parse_json(record))
+    # a row of its own, or the filter on the title would parse the record a second time
+    df = explode_each(df, F.array(F.try_parse_json(record)), "r", [F.col(f"`{c}`") for c in df.columns if c != "r"])
     r = lambda c, kind="string": F.try_variant_get(F.col("r"), f"$.{c}", kind)
     first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
     none = F.array().cast("array<variant>")
