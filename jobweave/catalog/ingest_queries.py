@@ -469,7 +469,7 @@ def _(spark, d):
 def _(spark, d):
     ref, n = F.to_date("ts"), (F.col("user_id") % 9).cast("string")
     p = lambda c, name: dates.parse_relative_date(c, ref).cast("string").alias(name)
-    return L.table(spark, d, "events").select(
+    return D.events(spark, d).select(
         "event_id", p(F.concat(n, F.lit(" days ago")), "days"), p(F.concat(n, F.lit(" tuần trước")), "weeks"), p(F.concat(n, F.lit(" months ago")), "months"),
         p(F.concat(n, F.lit(" hours ago")), "hours"), p(F.lit("Hôm nay"), "today"), p(F.lit("yesterday"), "yesterday"), p(F.lit("soon"), "nothing"))
 

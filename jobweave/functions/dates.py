@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobweave import rules
-from jobweave.functions.common import as_col, alternation, text
+from jobweave.functions.common import as_col, alternation, contains_any, let, text
 
 # shape of the text -> date format.  The shape test keeps the parser from
 # throwing and catching an exception for every format that does not fit.
@@ -27,27 +29,46 @@ ISO_DATETIME = (r"^(\d{4}-\d{1,2}-\d{1,2})T([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d"
                 r"(?:Z|[+-]\d{2}:?\d{2})?$")
 
 
+# every shape has a year of four digits: other texts are asked for that alone
+YEAR = r"\d{4}"
+
+
 def parse_absolute_date(c: str | Column) -> Column:
-    t = F.trim(text(c))
-    tries = [F.when(t.rlike(shape), F.try_to_date(t, fmt)) for shape, fmt in DATE_SHAPES]
-    iso = F.when(t.rlike(ISO_DATETIME), F.try_to_date(F.regexp_extract(t, ISO_DATETIME, 1), "yyyy-M-d"))
-    return F.coalesce(*tries, iso)
+    def parsed(t: Column) -> Column:
+        tries = [F.when(t.rlike(shape), F.try_to_date(t, fmt)) for shape, fmt in DATE_SHAPES]
+        iso = F.when(t.rlike(ISO_DATETIME), F.try_to_date(F.regexp_extract(t, ISO_DATETIME, 1), "yyyy-M-d"))
+        return F.when(t.rlike(YEAR), F.coalesce(*tries, iso))
+
+    return let(F.trim(text(c)), parsed)
 
 
 DAYS_OF_ERA = 719_000
+# the word that ends the phrase of each rule
+RELATIVE_ENDS = sorted({re.search(r"\w+$", pattern)[0] for pattern, _ in rules.RELATIVE_DATE_RULES})
 
 
 def parse_relative_date(c: str | Column, reference: Column) -> Column:
-    """'3 days ago', 'hôm qua', '2 tuần trước' relative to ``reference``."""
-    t = text(c)
+    """'3 days ago', 'hôm qua', '2 tuần trước' relative to ``reference``.
+
+    Patterns are sought only in texts that hold one of their words; a pattern without
+    regard to case takes 'ſ' for 's', so the words are sought that way too.
+    """
     word = lambda words: rf"(?iuU)\b(?:{alternation(words)})\b"
-    out = (F.when(t.rlike(word(rules.TODAY_WORDS)), reference)
-            .when(t.rlike(word(rules.YESTERDAY_WORDS)), F.date_sub(reference, 1)))
-    for pattern, days in rules.RELATIVE_DATE_RULES:
+
+    def back(t: Column, pattern: str, days: int) -> Column:
         n = F.regexp_extract(t, pattern, 1).try_cast("int")
-        n = F.when(n <= DAYS_OF_ERA // max(days, 1), n)      # no date lies before year 1
-        out = out.when(n.isNotNull(), F.date_sub(reference, n * days))
-    return out
+        # no date lies before year 1
+        return let(n, lambda n: F.when(n <= DAYS_OF_ERA // max(days, 1), F.date_sub(reference, n * days)))
+
+    def parsed(t: Column) -> Column:
+        said = lambda low, words: contains_any(low, words) & t.rlike(word(words))
+        counted = F.coalesce(*[back(t, pattern, days) for pattern, days in rules.RELATIVE_DATE_RULES])
+        return let(F.replace(F.lower(t), F.lit("ſ"), F.lit("s")), lambda low: (
+            F.when(said(low, rules.TODAY_WORDS), reference)
+             .when(said(low, rules.YESTERDAY_WORDS), F.date_sub(reference, 1))
+             .when(contains_any(low, RELATIVE_ENDS), counted)))
+
+    return let(text(c), parsed)
 
 
 def posted_date(c: str | Column, reference: Column) -> tuple[Column, Column]:

@@ -26,6 +26,25 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+#: Rows of a task that reads postings or events out of their columns, some seconds of work.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``df`` over tasks of some ``TASK_ROWS`` rows of ``table``, at least one a core.
+
+    For work that is heavy beside the bytes it reads: a split of narrow columns, or a
+    partition put together by its bytes, holds millions of rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-table.count() // TASK_ROWS)), key)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    return dealt(df, df, "event_id")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -64,7 +83,7 @@ DESCRIPTIONS = ["<p>Require 3-5 years experience with <b>Python</b> and SQL.</p>
 BENEFITS = ["<ul><li>Insurance</li><li>Gym</li></ul>", "13th month bonus", "",
             "Laptop and team trips", "Two days remote"]
 
-RAW_JOBS_SELECT = f"""
+_RAW_JOBS = f"""
 SELECT {_K} AS ingest_seq, o_custkey,
   {_pick(f"{_K} % 12", _q(TITLES))} AS job_title,
   CASE WHEN {_K} % 97 = 0 THEN '' WHEN o_custkey % 3 = 0 THEN concat('CÔNG TY TNHH ', c_name)
@@ -96,16 +115,19 @@ SELECT {_K} AS ingest_seq, o_custkey,
   CASE WHEN o_custkey % 4 = 0 THEN c_mktsegment ELSE 'IT / Technology' END AS industry,
   'Full-time' AS job_type,
   '2001-08-02T00:00:00' AS crawled_at
-FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
 """
+_PLACED = "{orders} JOIN {customer} ON o_custkey = c_custkey"
+RAW_JOBS_SELECT = f"{_RAW_JOBS}FROM {_PLACED}\n"
 
 
 def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze postings; ``ingest_seq`` is the position in the ingest order."""
     from jobweave.functions.text import job_id
 
-    df = spark.sql(RAW_JOBS_SELECT, orders=spread(table(spark, sf_dir, "orders"), "o_orderkey"),
-                   customer=table(spark, sf_dir, "customer"))
+    orders = table(spark, sf_dir, "orders")
+    placed = spark.sql(f"SELECT o_orderkey, o_custkey, o_orderdate, c_name, c_mktsegment FROM {_PLACED}",
+                       orders=orders, customer=table(spark, sf_dir, "customer"))
+    df = spark.sql(f"{_RAW_JOBS}FROM {{placed}}", placed=dealt(placed, orders, "o_orderkey"))
     return df.withColumn("job_id", job_id())
 
 
