@@ -286,11 +286,18 @@ def _bykey(x):
     return (f"list_transform(list_sort(list_transform({x}, lambda s: {key} || chr(1) || s)), lambda s: string_split(s, chr(1))[2])")
 
 
+def _resume_features(spark, d, keywords=True, limited=False):
+    return MT.document_features(resumes(spark, d), "resume_id", "text", experience.candidate_years("text"), keywords=keywords, ranked=limited)
+
+
+def _posting_features(jobs, keywords=True):
+    return MT.document_features(jobs, "job_id", "jt", experience.required_years("jt"), keywords=keywords)
+
+
 def features(spark, d, keywords=True, limited=False):
-    cv = MT.document_features(resumes(spark, d), "resume_id", "text", experience.candidate_years("text"), keywords=keywords, ranked=limited)
-    jobs = L.raw(spark, d).select(F.col("ingest_seq").alias("job_id"), "o_custkey",
-                                  G.posting_text(skills_col="skills_required").alias("jt"))
-    jd = MT.document_features(jobs, "job_id", "jt", experience.required_years("jt"), keywords=keywords)
+    cv = _resume_features(spark, d, keywords, limited)
+    jobs = _posting_texts(L.raw(spark, d))
+    jd = _posting_features(jobs, keywords)
     many = D.table(spark, d, "documents").agg(F.count("*")).scalar()
     pairs = jobs.select((F.col("o_custkey") % many).alias("resume_id"), "job_id")
     return pairs, cv, jd
@@ -396,23 +403,25 @@ _TOP_RANK = """SELECT resume_id, job_id, score, CAST(row_number() OVER (PARTITIO
 FROM fl QUALIFY rank <= 10"""
 
 
-def _ranked(spark, d, postings):
-    _, cv, jd = features(spark, d)
-    # the features are read at every step of the ranking, so they are written first
-    jd = warehouse.staged(spark, d, "posting_features", lambda: jd)
-    return MT.top_postings(warehouse.staged(spark, d, "resume_features", lambda: cv), postings(jd))
+def _posting_texts(raw):
+    return raw.select(F.col("ingest_seq").alias("job_id"), "o_custkey", G.posting_text(skills_col="skills_required").alias("jt"))
+
+
+def _ranked(spark, d, raw, k=10):
+    # postings of one text score alike: features are found for the first k of each
+    jobs = MT.top_per_group(_posting_texts(raw).drop("o_custkey"), ["jt"], [F.col("job_id")], k).drop("rank")
+    return MT.top_postings(_resume_features(spark, d), _posting_features(jobs), k)
 
 
 @query("l13_top_postings", O.over(_TOP.replace("@where", ""), _TOP_RANK))
 def _(spark, d):
-    return _ranked(spark, d, lambda jd: jd)
+    return _ranked(spark, d, L.raw(spark, d))
 
 
 @query("l13_top_postings_of_a_role", O.over(_TOP.replace("@where", f"""WHERE job_id IN (
   SELECT ingest_seq FROM raw_jobs WHERE {O.role('job_title')} = 'Data Engineer')"""), _TOP_RANK))
 def _(spark, d):
-    of_role = L.raw(spark, d).where(roles.role_category() == "Data Engineer").select(F.col("ingest_seq").alias("job_id"))
-    return _ranked(spark, d, lambda jd: jd.join(of_role, "job_id", "left_semi"))
+    return _ranked(spark, d, L.raw(spark, d).where(roles.role_category() == "Data Engineer"))
 
 
 @query("j6_keyword_set_overlap", O.over(
