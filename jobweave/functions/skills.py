@@ -118,8 +118,8 @@ def extract_skills(c: str | Column, table: Mapping[str, str] | None = None) -> C
     A skill counts when it stands between characters outside ``[a-z0-9+#/]``.
     Instead of one regular expression per alias the text is cut into tokens of
     exactly those characters, one space between them.  One-word aliases are a
-    hash intersection with the token list, longer ones a plain substring test:
-    one projection, no join and no shuffle.  Accented letters separate tokens,
+    hash intersection with the token list, longer ones a plain substring test
+    where their first word is a token: one projection, no join and no shuffle.  Accented letters separate tokens,
     so a run of them is a token that no alias contains.
     """
     table = table or text_alias_table()
@@ -133,8 +133,12 @@ def extract_skills(c: str | Column, table: Mapping[str, str] | None = None) -> C
         one = F.array_intersect(words, F.array(*[F.lit(k) for k in single]).cast("array<string>"))
         if not several:
             return one
-        runs = let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), lambda m: F.array_compact(
-            F.array(*[F.when(m.contains(f" {k} "), F.lit(k)) for k in several])))
+        found = lambda heads, m: F.array_compact(F.array(*[
+            F.when(F.array_contains(heads, k.split(" ")[0]) & m.contains(f" {k} "), F.lit(k)) for k in several]))
+        joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        first = F.array(*[F.lit(w) for w in dict.fromkeys(k.split(" ")[0] for k in several)])
+        runs = let(F.array_intersect(words, first), lambda heads: F.when(
+            F.size(heads) > 0, let(joined, lambda m: found(heads, m))).otherwise(F.array().cast("array<string>")))
         return F.concat(one, runs)
 
     names = F.transform(let(cut, hits), lambda h: F.element_at(literal, h))
