@@ -13,6 +13,7 @@ is stored twice, by a merge that was broken off, changes nothing.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,8 @@ from jobweave.operators.cleaning import keep_first
 
 BUCKETS = 256
 MERGE_AT = 16
+#: Rows of a batch whose hashes are sent to the stored ids, some 64 bytes each.
+SENT_ROWS = 1_000_000
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:
@@ -37,6 +40,34 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def held(batch: DataFrame):
+    """The batch is kept while it is used more than once; one that is kept already stays so."""
+    level = batch.storageLevel
+    mine = not (level.useMemory or level.useDisk or level.useOffHeap)
+    if mine:
+        batch.persist()
+    try:
+        yield
+    finally:
+        if mine:
+            batch.unpersist()
+
+
+def met(stored: DataFrame, batch: DataFrame, key: str, rows: int) -> DataFrame:
+    """Those of the stored ids that a batch of so many rows may hold: all it does hold, and any of an equal hash.
+
+    The hashes of the batch go to the stored ids, at most ``SENT_ROWS`` of them, so that
+    no stored id is shuffled or sorted.  A larger batch takes all stored ids, as it
+    is joined with them once in any case.
+    """
+    if rows > SENT_ROWS or stored.schema[key].dataType != batch.schema[key].dataType:
+        return stored
+    hashed = F.xxhash64(F.col(f"`{key}`")).alias("_hash")
+    sent = batch.where(F.col(f"`{key}`").isNotNull()).select(hashed)
+    return stored.select(key, hashed).join(F.broadcast(sent), "_hash", "left_semi").select(key)
+
+
 @dataclass(frozen=True)
 class SeenIds:
     """The id store of one table.

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 MAX_RECORDS_PER_FILE = 5_000_000
+#: Bytes of a stored table from which on reducing its keys first costs less than a shuffle of them.
+LARGE_STORED = 128 * 2 ** 20
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:
@@ -37,20 +39,29 @@ def write_csv(df: DataFrame, path: str, bom: bool = True, mode: str = "overwrite
 def append_new(spark: SparkSession, batch: DataFrame, path: str, key: str = "job_id") -> DataFrame:
     """Append only rows whose key is not stored yet; returns what was appended.
 
-    Only the key column of the stored table is read.  The anti join is a hash
-    join on an id, so a hot source does not matter.
+    Only the key column of the stored table is read.  The anti join is a hash join on an
+    id, so a hot source does not matter.  Of a table larger than ``LARGE_STORED`` only the
+    keys that the batch may hold are joined (``seen.met``); the batch is then held.
     """
     from jobweave.operators.cleaning import keep_first
+    from jobweave.sources.seen import held, met
+
+    def append(fresh: DataFrame) -> DataFrame:
+        fresh.write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path)
+        return fresh
 
-    fresh = keep_first(batch, [key])
     try:
-        stored = spark.read.parquet(path).select(key)
-        fresh = fresh.join(stored, key, "left_anti")
+        table = spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":      # a stored table that cannot be read is not an empty one
             raise
-    fresh.write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path)
-    return fresh
+        return append(keep_first(batch, [key]))
+    stored = table.select(key)
+    if int(table._jdf.queryExecution().analyzed().stats().sizeInBytes()) <= LARGE_STORED:
+        return append(keep_first(batch, [key]).join(stored, key, "left_anti"))
+    with held(batch):
+        unseen = batch.join(met(stored, batch, key, batch.count()), key, "left_anti").select(*batch.columns)
+        return append(keep_first(unseen, [key]))
 
 
 def write_dated(df: DataFrame, path: str, source: str = "source_website", date: str = "crawl_date", mode: str = "append") -> None:

@@ -4,7 +4,9 @@ import os
 
 import pytest
 
+from jobweave.sources import seen, writers
 from jobweave.sources.seen import SeenIds, append_unseen
+from jobweave.sources.writers import append_new
 
 SCHEMA = "job_id string, n int"
 
@@ -98,3 +100,37 @@ def test_a_look_up_reads_the_buckets_it_touches(spark, ids, tmp_path):
     assert len(read) == 64 and {int(f.split("bucket=")[1].split("/")[0]) for f in files} <= touched
     assert [r.job_id for r in fresh.collect()] == ["other"]
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sent,large", [(0, 0), (1_000_000, 0), (0, 10 ** 9)])
+def test_appended_rows_equal_a_plain_set(spark, ids, tmp_path, monkeypatch, sent, large):
+    monkeypatch.setattr(seen, "SENT_ROWS", sent)
+    monkeypatch.setattr(writers, "LARGE_STORED", large)
+    path, known, want = str(tmp_path / "out"), set(), []
+    for values in [*batches()[:4], [None, None, "", "id1"], []]:
+        append_new(spark, ids(*values), path)
+        want += ["" if v is None else v for v in set(values) - known]
+        known |= set(values) - {None}
+    assert sorted(r.job_id or "" for r in spark.read.parquet(path).collect()) == sorted(want)
+
+
+def test_a_key_of_another_type_is_still_found(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "LARGE_STORED", 0)
+    path = str(tmp_path / "out")
+    append_new(spark, rows("job_id int, n int", [(1, 1), (2, 2)]), path)
+    batch = rows("job_id long, n int", [(2, 3), (3, 4)]).persist()
+    assert seen.met(spark.read.parquet(path), batch, "job_id", 2).count() == 2
+    unseen = append_new(spark, batch, str(tmp_path / "out"))
+    assert [r.job_id for r in unseen.collect()] == [3] and batch.storageLevel.useMemory
+
+
+def test_stored_ids_are_not_shuffled(spark, ids, tmp_path):
+    spark.range(5000).selectExpr("concat('k', id) AS job_id", "1 AS n").write.parquet(str(tmp_path / "out"))
+    stored, batch = spark.read.parquet(str(tmp_path / "out")).select("job_id"), ids("k1", "k2", "other", None)
+    found = seen.met(stored, batch, "job_id", 4)
+    assert "BroadcastHashJoin" in plan(found) and "Exchange hashpartitioning" not in plan(found)
+    assert sorted(r.job_id for r in found.collect()) == ["k1", "k2"]
