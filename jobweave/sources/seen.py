@@ -4,7 +4,7 @@
     <path>/parts/made=<k>/bucket=<b>/     ids of all earlier batches, cut by hash
 
 `fresh` looks a batch up, `record` stores its ids, `merge` moves the recent ids to
-the parts and `rewrite` joins small files.  A batch is known by its number, and its
+the parts and joins small files there, `rewrite` writes all parts anew.  A batch is known by its number, and its
 own ids are left out of its look-up, so that a batch that is repeated after a failure
 finds the same rows fresh and replaces what it wrote.  All are sets of ids: an id that
 is stored twice, by a merge that was broken off, changes nothing.
@@ -24,6 +24,8 @@ from jobweave.operators.cleaning import keep_first
 
 BUCKETS = 256
 MERGE_AT = 16
+#: Files of a bucket, on average, beyond which a merge joins the small ones.
+FILES = 6
 #: Rows of a batch whose hashes are sent to the stored ids, some 64 bytes each.
 SENT_ROWS = 1_000_000
 
@@ -35,6 +37,11 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -90,12 +97,12 @@ class SeenIds:
     def recent_batches(self, spark: SparkSession) -> list[int]:
         """Numbers of the batches whose ids are stored whole (the writer marks a finished one)."""
         found = [int(m[1]) for n in _names(spark, f"{self.path}/recent") if (m := re.fullmatch(r"batch=(\d+)", n))]
-        return sorted(b for b in found if "_SUCCESS" in _names(spark, f"{self.path}/recent/batch={b}"))
+        return sorted(b for b in found if _exists(spark, f"{self.path}/recent/batch={b}/_SUCCESS"))
 
     def parts(self, spark: SparkSession) -> str | None:
         """Folder of the newest complete set of parts."""
         made = [int(m[1]) for n in _names(spark, f"{self.path}/parts") if (m := re.fullmatch(r"made=(\d+)", n))]
-        whole = [k for k in made if "_SUCCESS" in _names(spark, f"{self.path}/parts/made={k}")]
+        whole = [k for k in made if _exists(spark, f"{self.path}/parts/made={k}/_SUCCESS")]
         return f"{self.path}/parts/made={max(whole)}" if whole else None
 
     def _schema(self, bucket: bool) -> T.StructType:
@@ -109,7 +116,8 @@ class SeenIds:
         out = None
         if (parts := self.parts(spark)) is not None:
             out = spark.read.schema(self._schema(True)).parquet(parts)
-            out = (out if touched is None else out.where(F.col("bucket").isin(touched))).select(self.key)
+            every = touched is None or len(touched) == self.buckets
+            out = (out if every else out.where(F.col("bucket").isin(touched))).select(self.key)
         batches = [b for b in self.recent_batches(spark) if before is None or b < before]
         if batches:
             recent = self._recent(spark, batches)
@@ -119,19 +127,17 @@ class SeenIds:
     def fresh(self, batch: DataFrame, number: int) -> DataFrame:
         """One row per id of the batch that no earlier batch had, rows without id as they are.
 
-        To the driver come the numbers of the buckets touched, at most ``buckets``.  The
-        stored ids are reduced to those of the batch first, so that Spark can send the
-        batch's ids to them and no stored id is shuffled while the batch is small.
+        To the driver come the buckets touched and their rows, at most ``buckets``.  The
+        stored ids are reduced to those of the batch first (``met``).
         """
         spark = batch.sparkSession
         has_id = F.col(self.key).isNotNull()
-        rows = keep_first(batch.where(has_id), [self.key])
-        ids = batch.where(has_id).select(self.key).distinct()
-        touched = sorted(r[0] for r in ids.select(self.bucket().alias("b")).distinct().collect())
-        stored = self.stored(spark, touched, number)
+        rows = batch.where(has_id)
+        touched = {r.b: r.n for r in rows.groupBy(self.bucket().alias("b")).agg(F.count("*").alias("n")).collect()}
+        stored = self.stored(spark, sorted(touched), number)
         if stored is not None:
-            rows = rows.join(stored.join(ids, self.key, "left_semi").distinct(), self.key, "left_anti")
-        return rows.select(*batch.columns).unionByName(batch.where(~has_id))
+            rows = rows.join(met(stored, rows, self.key, sum(touched.values())), self.key, "left_anti").select(*batch.columns)
+        return keep_first(rows, [self.key]).unionByName(batch.where(~has_id))
 
     def record(self, rows: DataFrame, number: int) -> None:
         """Store the ids of the rows as those of one batch, in place of what the batch stored before."""
@@ -141,8 +147,8 @@ class SeenIds:
     def merge(self, spark: SparkSession, before: int) -> None:
         """Add the recent ids of batches below ``before`` to the parts, as one file a bucket, then remove them there.
 
-        Stored parts are not read or written again; ``before`` is the batch about to
-        run, all earlier ones are complete and never repeated.
+        Of the stored parts only small files are read and written again; ``before`` is the
+        batch about to run, all earlier ones are complete and never repeated.
         """
         batches = [b for b in self.recent_batches(spark) if b < before]
         if not batches:
@@ -150,6 +156,28 @@ class SeenIds:
         self._write(self._recent(spark, batches), self.parts(spark) or f"{self.path}/parts/made=0", "append")
         for b in batches:
             _delete(spark, f"{self.path}/recent/batch={b}")
+        self._join_small(spark)
+
+    def _join_small(self, spark: SparkSession) -> None:
+        """Where buckets have more than ``FILES`` files, join those of at most a quarter of a bucket's bytes.
+
+        A joined file is larger, so an id is written again a number of times that grows with
+        the logarithm of the merges.  Files go once their ids are written; broken
+        off between the two, ids are stored twice.
+        """
+        path = self.parts(spark)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        whole = fs.getContentSummary(at)
+        folders = max(whole.getDirectoryCount() - 1, 1)
+        if whole.getFileCount() <= FILES * folders:
+            return
+        parts = spark.read.schema(self._schema(True)).parquet(path)
+        small = parts.where(F.col("_metadata.file_size") <= whole.getLength() // folders // 4)
+        joined = [r[0] for r in small.select("_metadata.file_path").distinct().collect()]
+        self._write(small.select(self.key), path, "append")
+        for f in joined:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)), False)
 
     def rewrite(self, spark: SparkSession) -> None:
         """Write all parts anew, each id once; not while another job uses the store.
@@ -181,10 +209,7 @@ def append_unseen(batch: DataFrame, out: str, store: SeenIds, number: int) -> No
     spark = batch.sparkSession
     if len(store.recent_batches(spark)) >= store.merge_at:
         store.merge(spark, number)
-    batch = batch.persist()
-    try:
+    with held(batch):
         folder = f"{out}/batch={number}"
         store.fresh(batch, number).write.mode("overwrite").parquet(folder)
         store.record(spark.read.schema(batch.schema).parquet(folder), number)
-    finally:
-        batch.unpersist()

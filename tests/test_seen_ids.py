@@ -134,3 +134,23 @@ def test_stored_ids_are_not_shuffled(spark, ids, tmp_path):
     found = seen.met(stored, batch, "job_id", 4)
     assert "BroadcastHashJoin" in plan(found) and "Exchange hashpartitioning" not in plan(found)
     assert sorted(r.job_id for r in found.collect()) == ["k1", "k2"]
+    store = SeenIds(str(tmp_path / "ids"), merge_at=1, buckets=4)
+    store.record(stored, 0)
+    scan = plan(store.fresh(batch, 1)).split("LeftSemi")
+    assert len(scan) == 2 and "hashpartitioning" not in scan[1]
+    assert sorted(r.job_id or "" for r in store.fresh(batch, 1).collect()) == ["", "other"]
+
+
+def test_merges_join_small_files(spark, ids, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen, "FILES", 2)
+    out, store = str(tmp_path / "out dir"), SeenIds(str(tmp_path / "ids dir"), merge_at=1, buckets=4)
+    known, most = set(), 0
+    for number in range(12):
+        values = [f"id{number}-{k}" for k in range(40)] + [f"id{number // 2}-1"]
+        append_unseen(ids(*values), out, store, number)
+        known |= set(values)
+        files = [f for _, _, names in os.walk(tmp_path / "ids dir" / "parts") for f in names if f.endswith(".parquet")]
+        most = max(most, len(files))
+    assert most <= 6 * 4
+    assert sorted(r.job_id for r in store.stored(spark).collect()) == sorted(known)
+    assert spark.read.parquet(out).count() == len(known)
